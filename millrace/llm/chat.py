@@ -16,6 +16,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +58,26 @@ def chosen_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     links = m.select(
         "tree", "msg", F.when(F.col("_known"), F.col("parent")).alias("up"), F.lit(1).alias("steps"), F.col("score").alias("total")
     )
-    n_messages, rounds = None, [materialise(links, "links")]
-    while rounds[-1].where("up is not null").limit(1).count():
+    # Messages that know their root leave the rounds; the longest path alone stays for all of them.
+    n_messages, rounds, settled = None, [materialise(links, "links")], []
+    while not rounds[-1].where("up is not null").isEmpty():
         n_messages = n_messages or rounds[0].count()
         if 1 << (len(rounds) - 1) > n_messages:  # only cycles are left
             break
-        above = rounds[-1].select(
+        every = reduce(DataFrame.unionByName, settled, rounds[-1])
+        above = every.select(
             "tree", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_s"), F.col("total").alias("_t")
         )
-        doubled = rounds[-1].join(above, ["tree", "up"], "left").select(
+        doubled = rounds[-1].where("up is not null").join(above, ["tree", "up"], "left").select(
             "tree", "msg", F.col("_up").alias("up"),
             (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
             (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"),
         )
+        settled.append(rounds[-1].where("up is null"))
         rounds.append(materialise(doubled, "links"))
+    rooted = reduce(DataFrame.unionByName, settled, rounds[-1].where("up is null"))
     parents = rounds[0].where("up is not null").select("tree", F.col("up").alias("msg"))
-    leaves = rounds[-1].where("up is null").join(parents, ["tree", "msg"], "left_anti")
+    leaves = rooted.join(parents, ["tree", "msg"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "msg")
     picked = leaves.withColumn("path_rank", F.row_number().over(best)).where(F.col("path_rank") <= paths_per_tree)
     on_path = materialise(picked.select("tree", F.col("msg").alias("leaf"), "path_rank", "msg"), "path")
@@ -79,7 +85,7 @@ def chosen_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
         ups = step.where("up is not null").select("tree", "msg", "up")
         more = on_path.join(ups, ["tree", "msg"]).select("tree", "leaf", "path_rank", F.col("up").alias("msg"))
         on_path = materialise(on_path.unionByName(more), "path")
-    depth = rounds[-1].select("tree", "msg", (F.col("steps") - 1).alias("pos"))
+    depth = rooted.select("tree", "msg", (F.col("steps") - 1).alias("pos"))
     return on_path.join(depth, ["tree", "msg"]).select("tree", "leaf", "path_rank", "msg", "pos")
 
 
