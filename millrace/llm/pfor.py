@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import doc_text, materialise, shared_dir
-from .encoding import VOCABULARY, encode
+from .encoding import BATCH, VOCABULARY, encode
 
 BLOCK = 128
 PERCENTILE = 90
@@ -169,9 +169,8 @@ def write_files(
             rows.append((name, part, doc_ids[0], len(doc_ids), total))
             doc_ids, ids, total = [], [], 0
 
-        for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1]):
-                own = encode([text.as_py()], vocabulary, end)[0]
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
+            for doc_id, own in zip(batch[0].to_pylist(), encode(batch[1].to_pylist(), vocabulary, end), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(own)
                 total += len(own)
