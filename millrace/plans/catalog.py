@@ -1,13 +1,479 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, each over whole tables, with its SQL."""
 
+from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import paths
+from ..functions import convert, dates, text
+from ..operators import aggregates as A
+from ..operators import fields, joins
+from ..sources import parse, sinks
+from ..streaming import pull
+from . import spec
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def t(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table; its zone-less timestamps become instants of the session's zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
+def access_lines(spark, sf_dir: str) -> DataFrame:
+    """Access-log lines of the events; every 97th is broken."""
+    e = t(spark, sf_dir, "events")
+    line = F.concat(
+        F.lit("10.0."), (F.col("user_id") % 250).cast("string"), F.lit(".7 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'),
+        F.col("event_type"), F.lit(' HTTP/1.1" '), (F.col("event_id") % 3 * 100 + 200).cast("string"), F.lit(" "), F.col("event_id").cast("string"),
+    )
+    return e.select(F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value"))
+
+
+SPEC = {
+    "parser": {"type": "grok", "patterns": ["^%{COMMONAPACHELOG}$"]},
+    "tags": {"env": "test"},
+    "transforms": [
+        {"type": "filter", "keys": ["request"], "pattern": "^/"},
+        {"type": "replace", "key": "request", "old": "/", "to": ""},
+        {"type": "case", "key": "request", "mode": "upper", "new": "kind"},
+    ],
+    "route": {"key": "response", "routes": [("equal", "200", 1), ("contains", "3", 2)], "default": 0},
+}
+
+FLAGSHIP_SQL = """
+SELECT CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS route, upper(event_type) AS kind, 'test' AS env, count(*) AS n,
+       sum(event_id)::BIGINT AS bytes, min(date_trunc('second', ts)) AS first_ts
+FROM events WHERE event_id % 97 <> 0 GROUP BY ALL"""
+
+
+@query(FLAGSHIP_SQL)
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    df = spec.compose(access_lines(spark, sf_dir), SPEC)
+    return df.groupBy(F.col("_route").alias("route"), "kind", "env").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("ts").alias("first_ts")
+    )
+
+
+@query("SELECT (event_id % 97 = 0) AS bad, count(*) AS n FROM events GROUP BY ALL")
+def error_channel(spark, sf_dir):
+    df = parse.grok(access_lines(spark, sf_dir), ["^%{COMMONAPACHELOG}$"])
+    return df.groupBy((F.size("_errors") > 0).alias("bad")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type AS kind, round(value, 6) AS value, date_trunc('second', ts) AS at, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def p1_delimited(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat_ws("\t", "event_id", "user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "props")
+    schema = [("event_id", "long"), ("user_id", "long"), ("kind", "string"), ("value", "float"), ("at", "date"), ("props", "jsonmap")]
+    df = parse.delimited(e.select(line.alias("value")).withColumnRenamed("value", "value"), schema)
+    return df.select("event_id", "user_id", "kind", F.round("value", 6).alias("value"), "at", F.col("props")["k"].alias("k"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def p2_json(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.to_json(F.struct("event_id", F.from_json("props", "k long").alias("props")))
+    df = parse.jsonl(e.select(line.alias("value")), "event_id long, props struct<k:long>")
+    return df.select("event_id", F.col("props.k").alias("k"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_custkey, o_orderkey FROM orders")
+def p2_json_arrays(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    pair = F.to_json(F.array(F.create_map(F.lit("o_orderkey"), F.col("o_orderkey"), F.lit("o_custkey"), F.col("o_custkey")), F.create_map(F.lit("o_orderkey"), F.col("o_custkey"), F.lit("o_custkey"), F.col("o_orderkey"))))
+    return parse.jsonl(o.select(pair.alias("value")), "o_orderkey long, o_custkey long").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id AS num, event_type AS word FROM events")
+def p3_grok(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    df = parse.grok(e.select(F.concat_ws(" ", "event_id", "event_type").alias("value")), ["%{WORD:word}=%{NUMBER:num:long}$", "^%{NUMBER:num:long} %{GREEDYDATA:word}$"])
+    return df.select("num", "word")
+
+
+@query("SELECT event_id AS bytes_sent, 200 + event_id % 3 * 100 AS status, event_type AS agent, date_trunc('second', ts) AS time_local FROM events")
+def p4_access_log(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.lit("1.2.3.4 - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET / HTTP/1.1" '), (F.col("event_id") % 3 * 100 + 200).cast("string"), F.lit(" "), F.col("event_id").cast("string"), F.lit(' "'), F.col("event_type"), F.lit('"'))
+    df = parse.access_log(e.select(line.alias("value")), '$remote_addr - [$time_local] "$request" $status $bytes_sent "$agent"', {"status": "long", "bytes_sent": "long", "time_local": "date"})
+    return df.select("bytes_sent", "status", "agent", "time_local")
+
+
+@query("SELECT event_id, event_type || ' x' AS kind FROM events")
+def p5_key_value(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit("  kind="), F.col("event_type"), F.lit(' x lvl="7"'))
+    df = parse.key_value(e.select(line.alias("value")))
+    return df.select(F.col("fields")["id"].cast("bigint").alias("event_id"), F.col("fields")["kind"].alias("kind"))
+
+
+@query("SELECT event_id::VARCHAR AS msg_id, event_type AS dev, user_id::VARCHAR AS dev_1, make_timestamp(epoch_us(date_trunc('second', ts)) + 243000) AS msg_timestamp FROM events")
+def p6_audit(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.lit("type=PATH msg=audit("), F.unix_seconds("ts").cast("string"), F.lit(".243:"), F.col("event_id").cast("string"), F.lit("): dev="), F.col("event_type"), F.lit(' dev="'), F.col("user_id").cast("string"), F.lit('"'))
+    return parse.audit(e.select(line.alias("value"))).select("msg_id", F.col("fields")["dev"].alias("dev"), F.col("fields")["dev_1"].alias("dev_1"), "msg_timestamp")
+
+
+@query("SELECT (event_id % 192)::INT AS priority, ((event_id % 192) // 8)::INT AS facility, ((event_id % 192) % 8)::INT AS severity, event_type AS message, user_id::VARCHAR AS proc_id, count(*) AS n FROM events GROUP BY ALL")
+def p7_syslog(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.lit("<"), (F.col("event_id") % 192).cast("string"), F.lit(">1 2003-10-11T22:14:15.003Z host app "), F.col("user_id").cast("string"), F.lit(' ID47 [x@1 a="b"] '), F.col("event_type"))
+    df = parse.syslog(e.select(line.alias("value")))
+    return df.groupBy("priority", "facility", "severity", "message", "proc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS \"Rows_sent\", user_id AS \"Rows_examined\", 'SELECT ' || event_type AS \"Statement\", date_trunc('second', ts) AS \"Timestamp\" FROM events")
+def p8_slow_log(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    body = F.concat(F.lit("# Time: x\n# User@Host: a[a] @ localhost [127.0.0.1]  Id: 3\n# Query_time: 0.5  Lock_time: 0.1 Rows_sent: "), F.col("event_id").cast("string"), F.lit("  Rows_examined: "), F.col("user_id").cast("string"),
+                    F.lit("\nSET timestamp="), F.unix_seconds("ts").cast("string"), F.lit(";\nuse foo;\nSELECT "), F.col("event_type"), F.lit("\n#"))
+    return parse.slow_log(e.select(body.alias("value"))).select("Rows_sent", "Rows_examined", "Statement", "Timestamp")
+
+
+@query("SELECT event_type AS log, 'INFO' AS level, date_trunc('second', ts) AS time, count(*) AS n FROM events GROUP BY ALL")
+def p9_header_log(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" [Wm0AAPg-IUMW-68U][INFO] bdc.go:573: "), F.col("event_type"))
+    df = parse.header_log(e.select(line.alias("value")), ["prefix", "date", "time", "reqid", "level", "file"])
+    return df.groupBy("log", "level", "time").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS resp_len, user_id AS duration, event_type AS topic, 200::BIGINT AS code FROM events")
+def p10_rest_proxy(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    # sixteen tokens: code, length and duration are the 13th to 15th
+    line = F.concat(F.lit("[2016-12-05 03:35:20,682] INFO 172.16.16.191 - - [05/Dec/2016:03:35:20 +0000] \"POST /topics/"), F.col("event_type"), F.lit(" HTTP/1.1\" x 200 "), F.col("event_id").cast("string"), F.lit(" "), F.col("user_id").cast("string"), F.lit(" (end)"))
+    return parse.rest_proxy(e.select(line.alias("value"))).select("resp_len", "duration", "topic", "code")
+
+
+@query("SELECT user_id AS pid, 'slave' AS role, 'notice' AS level, event_type AS message, count(*) AS n FROM events GROUP BY ALL")
+def p13_redis(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.col("user_id").cast("string"), F.lit(":S 19 May 18:11:58.145 * "), F.col("event_type"))
+    return parse.redis_log(e.select(line.alias("value"))).groupBy("pid", "role", "level", "message").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'INFO' AS level, 'unknown' AS host, user_id::VARCHAR AS pid, event_type AS message, count(*) AS n FROM events GROUP BY ALL")
+def p14_tode(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.concat(F.lit("[00:00:07 413]INFO::srv:"), F.col("user_id").cast("string"), F.lit(":[x.cpp:11]:  "), F.col("event_type"))
+    return parse.tode_log(e.select(line.alias("value"))).groupBy("level", "host", "pid", "message").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'pod-' || user_id AS pod, event_type AS namespace, 'admin' AS container_name, event_id::VARCHAR AS container_id FROM events WHERE event_type NOT LIKE '%\\_%' ESCAPE '\\'")
+def p15_container_path(spark, sf_dir):
+    e = t(spark, sf_dir, "events").where(~F.col("event_type").contains("_"))
+    path = F.concat(F.lit("/var/logs/containers/pod-"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_type"), F.lit("_admin-"), F.col("event_id").cast("string"), F.lit(".log"))
+    return parse.container_path(e.select(path.alias("path")), "path").select("pod", "namespace", "container_name", "container_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE coalesce(regexp_matches(c_mktsegment, '^A'), false) OR coalesce(regexp_matches(c_name, '7$'), false)")
+def f1_filter(spark, sf_dir):
+    return fields.filter_rows(t(spark, sf_dir, "customer"), ["c_mktsegment", "c_name", "none"], "^A|7$", "keep").where(F.col("c_mktsegment").rlike("^A") | F.col("c_name").rlike("7$")).select("c_custkey")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'License') AND strlen(text) <= 4000")
+def f2_f11_lines(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return fields.short_lines(fields.filter_lines(d, "License", "pick", "text"), 4000, "text").select("doc_id")
+
+
+def _nested(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_acctbal").alias("bal")).alias("acct")).alias("multi"))
+
+
+@query("SELECT c_custkey, c_name AS name FROM customer")
+def f3_discard(spark, sf_dir):
+    return paths.drop(_nested(spark, sf_dir), "multi.acct.bal").select("c_custkey", "multi.*")
+
+
+@query("SELECT c_acctbal AS bal FROM customer")
+def f4_pick(spark, sf_dir):
+    return paths.pick(_nested(spark, sf_dir), "multi.acct").select("multi.acct.bal")
+
+
+@query("SELECT c_custkey, c_name AS title FROM customer")
+def f5_rename(spark, sf_dir):
+    return fields.rename(_nested(spark, sf_dir), "multi.name", "multi.acct.title").select("c_custkey", "multi.acct.title")
+
+
+@query("SELECT c_custkey, c_name AS copied, c_name AS kept, 'x' AS tag FROM customer")
+def f6_f7_copy_label(spark, sf_dir):
+    df = fields.copy(_nested(spark, sf_dir), "multi.name", "copied")
+    df = df.withColumn("kept", F.col("multi.name"))
+    df = fields.label(fields.label(df, "kept", "other"), "tag", "x")
+    return df.select("c_custkey", "copied", "kept", "tag")
+
+
+@query('SELECT n_nationkey AS "K1_key", n_name AS a_b FROM nation')
+def f8_names(spark, sf_dir):
+    return fields.normalise_names(t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("1-key"), F.col("n_name").alias("_a。b")))
+
+
+@query("SELECT o_orderkey AS id, o_totalprice::BIGINT AS price, o_orderstatus FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice, o_orderstatus FROM orders)")
+def f9_conform(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("string").alias("o_totalprice"), "o_orderstatus")
+    return fields.conform(o, "o_orderkey id, o_totalprice price, ...", {"o_totalprice": "bigint", "o_orderkey": "bigint"})
+
+
+@query("SELECT user_id, 'web' AS host, round(sum(value), 4) AS cpu__value FROM events GROUP BY user_id")
+def f12_metric_rows(spark, sf_dir):
+    df = fields.metric_rows(t(spark, sf_dir, "events"), "cpu", ["props", "event_type", "event_id"], {"host": "web"}, ["user_id", "ts"])
+    return df.groupBy("user_id", "host").agg(F.round(F.sum("cpu__value"), 4).alias("cpu__value"))
+
+
+@query("""SELECT p_partkey, upper(p_name) AS up, p_name || '/' || p_brand AS joined, replace(p_type, ' ', '_') AS rep, string_split(p_name, ' ')[1] AS first,
+          substr(p_brand, 2, 3) AS part, trim(p_brand, 'B#') AS trimmed FROM part""")
+def x1_x6_text(spark, sf_dir):
+    p, c = t(spark, sf_dir, "part"), F.col
+    return p.select(
+        "p_partkey", text.change_case(c("p_name"), "upper").alias("up"), text.concatenated([c("p_name"), c("p_brand")], "/").alias("joined"), text.replaced(c("p_type"), " ", "_").alias("rep"),
+        F.get(text.split_by(c("p_name"), " "), F.lit(0)).alias("first"), text.byte_slice(c("p_brand"), 1, 4).alias("part"), text.trimmed(c("p_brand"), "B#").alias("trimmed"),
+    )
+
+
+@query("SELECT doc_id, text FROM documents")
+def x7_url_round_trip(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return d.select("doc_id", text.url_text(text.url_text(F.col("text"), "encode"), "decode").alias("text"))
+
+
+@query("""SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?]+)', 1), '') AS host, coalesce(regexp_extract(url, '^[a-z]+://[^/?]+(/[^?]*)', 1), '') AS path FROM pages""")
+def x8_url_params(spark, sf_dir):
+    p = t(spark, sf_dir, "pages").withColumn("m", text.url_params(F.col("url"), "u"))
+    return p.select("page_id", F.coalesce(F.col("m")["u_url_param_host"], F.lit("")).alias("host"), F.coalesce(F.col("m")["u_url_param_path"], F.lit("")).alias("path"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def x9_json_field(spark, sf_dir):
+    return fields.parse_json(t(spark, sf_dir, "events"), "props", "k long", extract=True, drop=True).select("event_id", "k")
+
+
+@query("SELECT event_id, user_id::VARCHAR AS u FROM events")
+def x10_key_value_field(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("raw", F.concat(F.lit('u="'), F.col("user_id").cast("string"), F.lit('" z=1')))
+    return fields.parse_key_values(e, "raw", "kv").select("event_id", F.col("kv")["u"].alias("u"))
+
+
+@query("SELECT event_id, event_type AS to, user_id AS id FROM events")
+def x11_xml_field(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("x", F.concat(F.lit("<note><to>"), F.col("event_type"), F.lit('</to><from attr="f"><id>'), F.col("user_id").cast("string"), F.lit("</id></from></note>")))
+    return fields.parse_xml(e.select("event_id", "x"), "x", "to string, from struct<`-attr`:string, id:bigint>", expand=True, no_attr=True, drop=True).select("event_id", "to", "id")
+
+
+@query("SELECT o_orderkey, o_custkey::DOUBLE AS cust, len(o_orderpriority) > 0 AS flag, o_custkey AS second FROM orders")
+def x12_convert(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("cust"), F.lit("true").alias("flag"), F.array(F.lit("1"), F.col("o_custkey").cast("string")).alias("arr"))
+    return convert.convert(o, "cust float, flag bool, arr a(l)").select("o_orderkey", "cust", "flag", F.get("arr", F.lit(1)).alias("second"))
+
+
+@query("SELECT o_orderkey, date_trunc('second', o_orderdate) AS at, epoch_ms(date_trunc('second', o_orderdate))::BIGINT AS ms, (epoch(o_orderdate)::BIGINT // 86400 * 86400)::BIGINT AS day, strftime(o_orderdate, '%Y/%m/%d') AS again FROM orders")
+def x13_x16_dates(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss").alias("d"), F.unix_seconds("o_orderdate").alias("s"))
+    return o.select("o_orderkey", dates.parsed(F.concat("d", F.lit(" -0000"))).alias("at"), dates.epoch(F.col("d"), "ms").alias("ms"), text.floored(F.col("s"), 86400).alias("day"), dates.reformatted(F.col("d"), after="yyyy/MM/dd").alias("again"))
+
+
+@query("SELECT event_id, ((event_id * 65537) % 4294967296 // 16777216) || '.' || ((event_id * 65537) % 16777216 // 65536) || '.' || ((event_id * 65537) % 65536 // 256) || '.' || ((event_id * 65537) % 256) AS ip FROM events")
+def x17_ip(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", text.ipv4_text(F.pmod(F.col("event_id") * 65537, F.lit(1 << 32))).alias("ip"))
+
+
+@query("SELECT p_partkey, p_brand AS a0, p_type AS a1 FROM part")
+def x18_array_expand(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select("p_partkey", F.array("p_brand", "p_type").alias("a"))
+    return fields.expand_array(p, "a", 2).select("p_partkey", "a0", "a1")
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN strlen(text) - 4000 ELSE 0 END AS rest FROM documents WHERE text IS NOT NULL")
+def x20_shorten(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.shortened(F.col("text"), 4000).alias("s"))
+    return d.select("doc_id", F.coalesce(F.nullif(F.regexp_extract("s", r"remain (\d+) bytes\)$", 1), F.lit("")).try_cast("bigint"), F.lit(0)).alias("rest"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
+def x21_explode_records(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus", F.lit(-1).alias("o_custkey"))).alias("Records"))
+    return fields.explode_records(o).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT doc_id, text, greatest(1, ceil(length(text) / 500.0))::BIGINT AS parts FROM documents WHERE text IS NOT NULL")
+def x22_split_rejoin(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where("text is not null")
+    pieces = fields.split_value(d.select("doc_id", "text"), "text", 500, F.col("doc_id"))
+    n = pieces.groupBy("part_id").agg(F.count("*").alias("parts"))
+    return fields.rejoin_value(pieces, "text").join(n, "part_id").select(F.col("part_id").alias("doc_id"), "text", "parts")
+
+
+@query("SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def j1_map_replace(spark, sf_dir):
+    table = t(spark, sf_dir, "nation").where("n_nationkey < 20").select("n_nationkey", "n_name")
+    return joins.map_replace(t(spark, sf_dir, "customer").withColumn("nation", F.col("c_nationkey").cast("string")), "nation", table).select("c_custkey", "nation")
+
+
+@query("SELECT event_id, n_name AS country FROM events LEFT JOIN nation ON n_nationkey = (user_id * 131) % 3276800 // 131072")
+def j2_ip_ranges(spark, sf_dir):
+    ranges = t(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("bigint") * 131072).alias("start"), (F.col("n_nationkey").cast("bigint") * 131072 + 131071).alias("end"), F.col("n_name").alias("country"))
+    e = t(spark, sf_dir, "events").withColumn("ip", text.ipv4_text(F.col("user_id") * 131 % 3276800))
+    return joins.ip_ranges(e, "ip", ranges).select("event_id", "country")
+
+
+@query("SELECT event_id, CASE WHEN event_type LIKE 'c%' THEN 'C' WHEN event_type LIKE '%e%' THEN 'E' END AS \"UA_agent_family\" FROM events")
+def j3_user_agent(spark, sf_dir):
+    rules = spark.createDataFrame([(1, "agent", "^c", "C"), (2, "agent", "e", "E")], "rule_no int, kind string, regex string, family string")
+    return joins.user_agent(t(spark, sf_dir, "events"), "event_type", rules).select("event_id", "UA_agent_family")
+
+
+@query("SELECT s_suppkey, n_name AS tag FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def j4_inherit_tags(spark, sf_dir):
+    top = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("tag"))
+    return joins.inherit_tags(t(spark, sf_dir, "supplier"), top, "s_nationkey", ["tag"]).select("s_suppkey", "tag")
+
+
+@query("SELECT user_id, round(2 * sum(value), 4) AS total FROM events GROUP BY user_id")
+def a1_accumulate(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    once = A.accumulate(e, ["user_id"], {"value": "total"})
+    return A.accumulate(e, ["user_id"], {"value": "total"}, once).select("user_id", F.round("total", 4).alias("total"))
+
+
+@query("SELECT date_trunc('hour', ts) AS period_start, event_type, round(avg(value), 6) AS load_average, max(value) AS load_maximum, min(value) AS load_minimum, round(sum(value), 4) AS load_sum, count(value) AS load_sample_count FROM events GROUP BY ALL")
+def a2_period_statistics(spark, sf_dir):
+    df = A.period_statistics(t(spark, sf_dir, "events"), "ts", "value", "Load", ["event_type"], "1 hour")
+    return df.withColumn("load_average", F.round("load_average", 6)).withColumn("load_sum", F.round("load_sum", 4))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND user_id::VARCHAR LIKE '1%'")
+def a3_select_series(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("z"), F.lit("q")).alias("dims"))
+    return A.select_series(e, ["click"], {"user": "1*", "z": "*"}).select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem")
+def a4_a5_long_wide(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    long = A.to_long(li.withColumn("rid", F.monotonically_increasing_id()), ["rid", "l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"])
+    return A.to_wide(long, ["rid", "l_orderkey", "l_linenumber"], "metric", "value", ["l_quantity", "l_tax"]).drop("rid")
+
+
+@query("SELECT event_type AS stage, count(*) AS batches, sum(user_id)::BIGINT AS ok, max(event_id)::VARCHAR AS last_error FROM events GROUP BY event_type")
+def a6_health(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("user_id").alias("ok"), F.lit(0).alias("failed"), F.col("event_id").cast("string").alias("message"), F.col("event_id").alias("at"))
+    return A.health(e).select("stage", "batches", "ok", "last_error")
+
+
+@query("SELECT count(*) AS n_rows, min(event_id) AS first_key FROM events WHERE event_id > 100")
+def a7_probe(spark, sf_dir):
+    return A.probe(t(spark, sf_dir, "events"), "event_id", 100)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def a8_distinct(spark, sf_dir):
+    return A.distinct_records(t(spark, sf_dir, "events").select("user_id", "event_type"))
+
+
+@query("""SELECT user_id, event_id, percent FROM (SELECT user_id, event_id, round(100.0 * (event_id - lag(event_id) OVER w) / (3 * (event_id - lag(event_id) OVER w)), 6) AS percent
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE percent IS NOT NULL""")
+def w1_counter_share(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("total", F.col("event_id") * 3)
+    return A.counter_share(e, ["user_id"], "event_id", "event_id", "total").select("user_id", "event_id", F.round("percent", 6).alias("percent"))
+
+
+@query("""SELECT user_id, event_id, CASE WHEN s > p THEN 'up' WHEN s < p THEN 'down' WHEN s IS NOT NULL THEN 'stable' END AS trend FROM (
+          SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY tm) AS p FROM (
+          SELECT user_id, event_id, tm, (event_id * event_id % 1009 - lag(event_id * event_id % 1009) OVER w)::DOUBLE / (epoch_us(tm) / 1e6 - lag(epoch_us(tm) / 1e6) OVER w) AS s
+          FROM (SELECT *, make_timestamp(event_id * 1000000) AS tm FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY tm)))""")
+def w2_speed(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", F.timestamp_seconds("event_id").alias("at"), (F.col("event_id") * F.col("event_id") % 1009).alias("v"))
+    return A.speed(e, ["user_id"], "at", "v").select("user_id", "event_id", "trend")
+
+
+@query("""SELECT user_id, n AS event_no, string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id) AS value FROM (
+          SELECT user_id, event_id, sum((event_id % 5 = 0)::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS n FROM events) GROUP BY ALL""")
+def r1_assemble(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("_source"), F.col("event_id").alias("_order"), F.col("event_id").cast("string").alias("value"))
+    return pull.assemble(e, "[05]$").withColumnRenamed("_source", "user_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 2 WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS route FROM orders")
+def u1_route(spark, sf_dir):
+    df = A.route(t(spark, sf_dir, "orders"), "o_orderpriority", [("contains", "URGENT", 2), ("equal", "5-LOW", 1)])
+    return df.select("o_orderkey", F.col("_route").alias("route"))
+
+
+@query("SELECT c_custkey AS k, c_name AS name, NULL::DOUBLE AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def u2_union(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    return A.union_all(c, t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")))
+
+
+@query("SELECT DISTINCT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def u3_not_done(spark, sf_dir):
+    names = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name")).distinct()
+    return A.not_done(names, t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name")))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 3000")
+def r4_range(spark, sf_dir):
+    return pull.in_range(t(spark, sf_dir, "orders"), "o_orderkey", 1000, 3000)
+
+
+@query("SELECT event_id FROM events WHERE event_id >= 500 AND NOT (event_id = 500)")
+def r5_unseen(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return pull.unseen(e, "event_id", 500, pull.boundary(e.where("event_id <= 500"), "event_id")).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE strftime(ts, '%H:%M') >= '22:30' OR strftime(ts, '%H:%M') < '06:00'")
+def r9_time_of_day(spark, sf_dir):
+    return t(spark, sf_dir, "events").where(dates.in_time_of_day(F.col("ts"), "22:30", "06:00")).select("event_id")
+
+
+@query("SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey >= 777")
+def t2_first_after(spark, sf_dir):
+    return A.first_at_or_after(t(spark, sf_dir, "orders"), "o_orderkey", 777).select("o_orderkey")
+
+
+@query("SELECT 'INSERT INTO nation (n_name, n_nationkey) VALUES (''' || replace(n_name, '''', '''''') || ''', ' || n_nationkey || ');' AS value FROM nation")
+def k5_sql_text(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return n.select(sinks.sql_inserts(n, "nation").alias("value"))
+
+
+@query("SELECT user_id % 16 AS b, '[' || string_agg('{\"event_id\":' || event_id || '}', ',' ORDER BY event_id) || ']' AS body FROM events GROUP BY ALL")
+def k9_http_bodies(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("b"), "event_id")
+    return sinks.http_bodies(e, "b", "event_id")
+
+
+@query("SELECT 'm,type=' || event_type || ' id=' || event_id || 'i,kind=\"' || event_type || '\" ' || (epoch_us(ts) * 1000) AS value FROM events")
+def k10_line_protocol(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"), "ts")
+    return sinks.line_protocol(e, "m", ["type"], ["kind", "id"], "ts")
+
+
+@query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS value, CASE WHEN n_regionkey = 1 THEN 'def' ELSE 'r' || n_regionkey END AS topic FROM nation")
+def k7_kafka_rows(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").withColumn("topic", F.when(F.col("n_regionkey") != 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))))
+    rows = sinks.kafka_rows(n.select("n_nationkey", "n_name", "topic"), "def", "topic")
+    return rows.select(F.regexp_replace("value", r',"topic":"[^"]*"', "").alias("value"), "topic")
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

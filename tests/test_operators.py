@@ -1,0 +1,171 @@
+"""Field, join, stream and sink operators on literal rows."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import paths
+from millrace.errors import split_errors
+from millrace.functions import convert, dates, text
+from millrace.operators import aggregates, fields, joins
+from millrace.plans import catalog, spec
+from millrace.sources import files, sinks
+from millrace.streaming import pull
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_filter_removes_rows_with_the_field(spark):
+    df = spark.createDataFrame([("hello", "x1 y2"), (None, "x1")], "myword string, abc string")
+    assert [r.myword for r in fields.filter_rows(df, ["myword"], None, "remove").collect()] == [None]
+
+
+def test_paths(spark):
+    df = spark.range(1).select(F.struct(F.lit("a").alias("myword"), F.lit("b").alias("abc")).alias("multi"))
+    assert paths.drop(df, "multi.myword").first().multi.asDict() == {"abc": "b"}
+    assert paths.pick(df, "multi.myword").first().multi.asDict() == {"myword": "a"}
+    assert paths.put(df, "multi.new.deep", F.lit(1)).first().multi.new.deep == 1
+    with pytest.raises(ValueError):
+        paths.put(df, "multi.abc.x", F.lit(1))
+
+
+def test_copy_refuses_and_notes(spark):
+    df = spark.createDataFrame([("v", None), ("v", "w")], "old string, new string")
+    rows = fields.copy(df, "old", "new").collect()
+    assert [r.new for r in rows] == ["v", "w"] and [len(r._errors) for r in rows] == [0, 1]
+
+
+@pytest.mark.parametrize(("name", "normal"), [("ts。ts2", "ts_ts2"), ("ts-tes2/1.2", "ts_tes2_1_2"), ("_xs1_2s.xs.1", "xs1_2s_xs_1"), ("200", "K200"), ("ts- ", "ts_")])
+def test_normal_names(name, normal):
+    assert fields.normal_name(name) == normal
+
+
+def test_text_functions(spark):
+    assert one(spark, text.concatenated([F.lit("20110218"), F.lit("190102")])) == "20110218190102"
+    assert one(spark, text.concatenated([F.lit(None).cast("string"), F.lit("a")])) is None
+    assert one(spark, text.ipv4_text(F.lit(223556667))) == "13.83.52.59"
+    assert one(spark, text.ipv4_text(F.lit("x"))) is None
+    assert one(spark, text.ipv4_number(F.lit("13.83.52.59"))) == 223556667
+    assert one(spark, text.url_text(F.lit("%zz"), "decode")) is None
+    got = one(spark, text.url_params(F.lit("http://h.com/p/q?a=1&b=&a=2&c=%20x"), "k"))
+    assert got == {"k_url_param_path": "/p/q", "k_url_param_host": "h.com", "k_a": "1&2", "k_c": " x"}
+    assert one(spark, text.byte_slice(F.lit("héllo"), 0, 3)) == "hé"
+
+
+def test_dates(spark):
+    utc = datetime.datetime(2017, 3, 28, 15, 41, 53)
+    assert one(spark, dates.parsed(F.lit("2017/03/28 15:41:53 -0000"))) == utc
+    assert one(spark, dates.epoch(F.lit("2017/03/28 15:41:53 -0000"))) == 1490715713
+    assert one(spark, dates.parsed(F.lit(1506049632))) == datetime.datetime(2017, 9, 22, 3, 7, 12)
+    assert one(spark, dates.parsed(F.lit("no date"))) is None
+    assert one(spark, dates.parsed(F.lit("Tue, 28 Mar 2017 15:41:53"))) == utc
+
+
+def test_convert(spark):
+    df = spark.createDataFrame([(["123", "456"], "", "x")], "myword array<string>, abc string, n string")
+    r = convert.convert(df, "myword array(long), abc long, n long 5, m map{a long}").first()
+    assert (r.myword, r.abc, r.n) == ([123, 456], None, 5)
+    assert convert.parse_dsl("a a(m{b l, c a(f)})")[0][1] == "array<struct<`b`:bigint,`c`:array<double>>>"
+
+
+def test_joins(spark):
+    df = spark.createDataFrame([("111.2.3.4",), ("x.x.x.x",)], "ip string")
+    ranges = spark.createDataFrame([(text_number("111.0.0.0"), text_number("111.255.255.255"), "wide"), (text_number("111.2.3.0"), text_number("111.2.3.9"), "narrow")], "start long, end long, country string")
+    rows = {r.ip: r for r in joins.ip_ranges(df, "ip", ranges).collect()}
+    assert rows["111.2.3.4"].country == "narrow" and rows["x.x.x.x"].country is None and rows["x.x.x.x"]._errors
+    assert joins.map_text("1 2,3,3,,4 aby") == {"1": "2", "4": "aby"}
+    at = datetime.datetime(2017, 2, 1, 16, 6, 19)
+    assert joins.expand_names("abcd@(YYYY)@(MM)efg*", at) == "abcd201702efg*"
+    assert joins.names_between(["o_201701", "o_201702", "o_x"], "o_@(YYYY)@(MM)", "20170201", "20170301") == ["o_201702"]
+
+
+def text_number(ip):
+    a, b, c, d = map(int, ip.split("."))
+    return a << 24 | b << 16 | c << 8 | d
+
+
+def test_user_agent_first_rule_wins(spark):
+    rules = spark.createDataFrame([(1, "agent", r"(Silk)/(\d+)", None), (2, "agent", "Mozilla", "Mozilla"), (3, "os", "Mac", "Mac OS")], "rule_no int, kind string, regex string, family string")
+    df = spark.createDataFrame([("Mozilla/5.0 (Macintosh) Silk/1.1",), ("none",)], "ua string")
+    rows = {r.ua: r for r in joins.user_agent(df, "ua", rules).collect()}
+    r = rows["Mozilla/5.0 (Macintosh) Silk/1.1"]
+    assert (r.UA_agent_family, r.UA_agent_version, r.UA_os_family) == ("Silk", "1", "Mac OS")
+    assert rows["none"].UA_agent_family is None
+
+
+def test_route(spark):
+    df = spark.createDataFrame([("a",), ("A",), ("B",), (None,)], "a string")
+    got = {r.a: r._route for r in aggregates.route(df, "a", [("equal", "a", 2), ("equal", "A", 1)]).collect()}
+    assert got == {"a": 2, "A": 1, "B": 0, None: 0}
+
+
+def test_events_assembled_from_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"f{i}.log").write_text("test123\n12\n34\n56\ntest\nxtestx\n123\n")
+    got = sorted(r.value for r in pull.assemble(files.lines(spark, str(tmp_path)), "^test*", order=files.ORDER).collect())
+    assert got == ["test123\n12\n34\n56"] * 3 + ["test\nxtestx\n123"] * 3 or sorted(got) == sorted(["test123\n12\n34\n56"] * 3 + ["test\nxtestx\n123"] * 3)
+    whole = pull.assemble_whole_files(spark, str(tmp_path), "test*").count()
+    assert whole == 6
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.log", "a\nb\n")
+        z.writestr("x/two.txt", "c\n")
+    rows = files.archives(spark, str(tmp_path / "a.zip"), "*.log").collect()
+    assert [(r.member, r.line_no, r.value) for r in rows] == [("x/one.log", 0, "a"), ("x/one.log", 1, "b")]
+
+
+def test_incremental_pull_and_late_rows(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x") for i in [1, 2, 3, 50, 51]], "id long, v string")
+    got = []
+    for _ in range(3):
+        pull.incremental_pull(lambda: df, "id", str(tmp_path / "state"), lambda b: got.extend(r.id for r in b.collect()), 0, 10)
+    assert got == [1, 2, 3, 50, 51]
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "t long, v string")
+    later = spark.createDataFrame([(2, "b"), (2, "late"), (3, "c"), (None, "n")], "t long, v string")
+    assert sorted(r.v for r in pull.unseen(later, "t", 2, pull.boundary(first, "t")).collect()) == ["c", "late", "n"]
+
+
+def test_dead_letters_are_replayed(spark, tmp_path):
+    df, dead, got = spark.range(3), str(tmp_path / "dead"), []
+
+    def broken(_):
+        raise RuntimeError("down")
+
+    failed = pull.deliver(df, {"bad": broken, "good": lambda d: got.append(d.count())}, dead, sleep=0)
+    assert list(failed) == ["bad"] and got == [3]
+    assert pull.replay(spark, dead, "bad", "id long", lambda d: got.append(d.count())) == 3 and got == [3, 3]
+
+
+def test_rendered_sinks(spark):
+    df = spark.createDataFrame([("a b", 1, "o'x")], "t string, n long, s string")
+    assert sinks.line_protocol(df, "m", ["t"], ["n", "s"]).first().value == "m,t=a\\ b n=1i,s=\"o'x\""
+    assert df.select(sinks.sql_inserts(df, "tab").alias("v")).first().v == "INSERT INTO tab (n, s, t) VALUES (1, 'o''x', 'a b');"
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("5 a\nbroken\n7 b\n")
+    plan = {"parser": {"type": "grok", "patterns": ["^%{INT:n:long} %{WORD:w}$"]}, "route": {"key": "w", "routes": [("equal", "a", 1)]}}
+    batch = spec.compose(files.lines(spark, str(tmp_path / "in")), plan).groupBy("_route").count().collect()
+    out = [[], []]
+    sinks_ = [lambda d, o=o: o.extend(r.value for r in d.collect()) for o in out]
+    spec.run_stream(files.stream_lines(spark, str(tmp_path / "in")), plan, sinks_, str(tmp_path / "cp")).awaitTermination(60)
+    assert {r["_route"]: r["count"] for r in batch} == {0: len(out[0]), 1: len(out[1])} == {0: 2, 1: 1}
+
+
+def test_split_and_rejoin(spark):
+    df = spark.createDataFrame([(1, "日本語abc" * 50), (2, "")], "k long, t string")
+    pieces = fields.split_value(df, "t", 7, F.col("k"))
+    assert {r.part_id: r.t for r in fields.rejoin_value(pieces, "t").collect()} == {1: "日本語abc" * 50, 2: ""}
+
+
+def test_flagship_runs(spark):
+    good = catalog.flagship(spark, "/root/testdata/sf0.001")
+    assert good.count() > 0 and split_errors(good)[1].count() == 0
