@@ -97,6 +97,13 @@ def coded(embeddings: DataFrame, bits: int, n_bands: int) -> DataFrame:
     return embeddings.mapInArrow(run, "vec_id long, unit binary, code binary, factor binary, ball_key long, keys array<long>")
 
 
+def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose vectors have one length, length by length."""
+    sizes = np.array([len(x.as_buffer()) for x in batch.column(column)])
+    for size in np.unique(sizes):
+        yield batch.filter(pa.array(sizes == size))
+
+
 def _cosines(a: pa.Array, b: pa.Array) -> np.ndarray:
     x, y = (np.frombuffer(b"".join(c.to_pylist()), np.float64).reshape(len(c), -1) for c in (a, b))
     return np.einsum("ij,ij->i", x, y)
@@ -107,8 +114,8 @@ def _with_cosine(df: DataFrame, a: str, b: str) -> DataFrame:
     keep = [c for c in df.columns if c not in (a, b)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in _by_length(whole, a):
                 columns = [batch.column(c) for c in keep]
                 cos = pa.array(_cosines(batch.column(a), batch.column(b)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*columns, cos], [*keep, "cosine"])
@@ -121,10 +128,8 @@ def plausible(pairs: DataFrame, theta: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_length(whole, "unit")):
             n = batch.num_rows
-            if not n:
-                continue
             unit = np.array([np.frombuffer(u.as_buffer(), np.float64) for u in batch.column("unit")])
             dim = unit.shape[1]
             if dim not in turned:

@@ -45,7 +45,7 @@ def term_hashes(text: Column) -> Column:
 
 def fingerprint(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     """keys, f0, f1 (the two halves of the fingerprint) from a column with term hashes; one row for each key."""
-    votes = df.select(*keys, F.explode_outer(hashes).alias("h0")).withColumn("h1", F.xxhash64("h0"))
+    votes = df.select(*keys, F.explode_outer(hashes).alias("h0")).withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")))
     sums = [
         F.sum(F.shiftrightunsigned(F.col(f"h{w}"), k).bitwiseAND(F.lit(_HALF))).alias(f"v{w}_{k}")
         for w in range(BITS // 64)
