@@ -26,7 +26,7 @@ from ._common import doc_text, materialise
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 2_000
 WEIGHTS = (5.0, 2.0, 1.0)
 ROUNDS = 12
 WORD = r"[^\x20\x09-\x0D]+"
