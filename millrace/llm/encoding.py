@@ -2,7 +2,7 @@
 
 The vocabulary's pre-tokenizer never lets a token cross white space and its normalizer works on single characters (and
 combining runs, which white space ends), so a text's ids are the ids of its white-space separated chunks in order.
-Each chunk is encoded by the tokenizers library once per worker and then looked up, in batches of some documents.
+Each chunk is encoded by the tokenizers library once per worker and then looked up.
 """
 
 from __future__ import annotations
@@ -16,34 +16,19 @@ from ._common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers; it forgets all of them when there are more.
-MEMORY = 500_000
-#: Documents that are encoded at a time.
-BATCH = 64
-
-
-_MARKS = b".,!?;:"
+MEMORY = 400_000
 
 
 class _Known(dict):
     def __init__(self, tokenizer):
         super().__init__()
-        self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.encode = tokenizer.encode
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Chunks not seen yet. A word and the marks behind it are separate tokens, so they are looked up apart."""
-        split, fresh = [], set()
-        for chunk in chunks:
-            word = chunk.lower()
-            bare = word.rstrip(_MARKS)
-            marks = word[len(bare) :]
-            if not bare or b"'" in bare or not (bare[-1:].isalnum() or bare.decode()[-1].isalpha()):
-                bare, marks = word, b""
-            split.append((chunk, bare, marks))
-            fresh.update(x for x in (bare, marks) if x and x not in self)
-        words = list(fresh)
-        found = self.batch([w.decode() for w in words], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(words, found, strict=True))
-        self.update((chunk, self[bare] + (self[marks] if marks else b"")) for chunk, bare, marks in split)
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.encode(chunk.decode(), add_special_tokens=False).ids
+        out = np.array(ids, "<u2").tobytes()
+        self[chunk] = out
+        return out
 
 
 _known: dict[str, _Known] = {}
@@ -61,11 +46,10 @@ def encode(texts: Iterable[str | None], vocabulary: str = VOCABULARY, end: int |
             raise ValueError("ids of this vocabulary need more than 16 bits")
         known = _known[vocabulary] = _Known(tokenizer)
     tail = b"" if end is None else np.array([end], "<u2").tobytes()
-    chunked = [(text or "").encode().split() for text in texts]
-    new = set().union(*chunked).difference(known)
-    if len(known) + len(new) > MEMORY:
-        known.clear()
-        new = set().union(*chunked)
-    if new:
-        known.learn(new)
-    return [np.frombuffer(b"".join(map(known.__getitem__, chunks)) + tail, "<u2") for chunks in chunked]
+    out = []
+    for text in texts:
+        if len(known) > MEMORY:
+            known.clear()
+        chunks = (text or "").encode().split()
+        out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)) + tail, "<u2"))
+    return out
