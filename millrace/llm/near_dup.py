@@ -9,9 +9,9 @@ a bound that grows until every component has one, so a document costs about its
 
 Exact copies are collapsed first. Equal bands make candidates: in each bucket every document is paired with the one
 that meets most others (a star, never all pairs), and the multiset overlap decides from the whole texts. After
-connected components, pairs of a bucket that are still apart are checked too, unless their distances to the bucket's
-leader differ by more than a link allows (the weighted Jaccard distance is a metric). Bands miss a pair of similarity
-0.8 with a probability of 3e-5.
+connected components, pairs of a bucket that are still apart are checked too, if they can link at all: two documents
+differ by what their differences to the bucket's leader do not share, so those that link share some of the rarest of
+these differences (a prefix filter that loses no pair). Bands miss a pair of similarity 0.8 with a probability of 3e-5.
 
 Defined cases: null text counts as empty; texts without a word link with nothing; rows that repeat an id count as one
 document; rows without an id are left out; ties go to the smaller id.
@@ -183,6 +183,100 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def difference(base: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One hash for each count by which two bags differ: two bags differ from each other where these sets do."""
+    elements = np.union1d(base[0], own[0])
+    by = np.zeros(len(elements), np.int64)
+    by[np.searchsorted(elements, own[0])] += own[1]
+    by[np.searchsorted(elements, base[0])] -= base[1]
+    elements, by = elements[by != 0], by[by != 0]
+    n = np.abs(by)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        mark = (step.astype(np.uint64) * np.uint64(2) + np.repeat(by > 0, n).astype(np.uint64)) * _C[1]
+        return _mixed(np.repeat(elements, n) + mark)
+
+
+def prefix_length(n_differ: int, size: int, base_size: int, threshold: float = THRESHOLD) -> int:
+    """How many of a document's differences to its leader must meet one of those of any document that it links with.
+
+    Two documents x, y link if they differ by at most r (|x| + |y|), r = (1 - t) / (1 + t), and differ by what their
+    differences to the leader do not share. Of two in different groups one at least does not link with the leader
+    itself. If x does, y differs from the leader by more than r (|y| + |leader|), so x and y share more than half of
+    n_differ + r (|leader| - |x|). If x does not, y may, and |y| <= |x| / t: they share n_differ - r (|x| + |y|) at least.
+    """
+    r = (1 - threshold) / (1 + threshold)
+    if n_differ <= r * (size + base_size):
+        shared = math.floor((n_differ + r * (base_size - size)) / 2 - 1e-9) + 1
+    else:
+        shared = math.ceil(n_differ - r * size * (1 + 1 / threshold) - 1e-9)
+    return max(0, n_differ - max(1, shared) + 1)
+
+
+def differences(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """leader, rep, size (of the rep's bag), keep (its prefix_length) and parts (its difference to the leader)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, base = None, None
+        for batch in batches:
+            size, keep, parts = [], [], []
+            for leader, s, t in zip(batch.column("leader").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+                if leader != last or base is None:
+                    last, base = leader, bag(s.as_py())
+                own = bag(t.as_py())
+                found = difference(base, own)
+                size.append(int(own[1].sum()))
+                keep.append(prefix_length(len(found), size[-1], int(base[1].sum()), threshold))
+                parts.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("leader"), batch.column("rep"), pa.array(size, pa.int64()), pa.array(keep, pa.int64()),
+                 pa.array(parts, pa.list_(pa.int64()))],
+                ["leader", "rep", "size", "keep", "parts"],
+            )
+
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_b")), "rep")
+    both = with_b.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("text_a")), "leader")
+    return both.select("leader", "rep", "text_a", "text_b").mapInArrow(
+        run, "leader long, rep long, size long, keep long, parts array<long>"
+    ).dropDuplicates(["leader", "rep"])
+
+
+def apart_pairs(differ: DataFrame, placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of one leader and different groups that share one of the rarest of their differences.
+
+    Whatever two documents that link must share meets in the first differences of both, rarest first. A pair is looked
+    at further only if sizes, numbers of differences and the places of the shared one allow a link.
+    """
+    r = (1 - threshold) / (1 + threshold)
+    part = differ.select("leader", "rep", F.explode("parts").alias("part"))
+    often = part.groupBy("leader", "part").agg(F.count("*").alias("often")).where("often > 1")
+    # Those of one document alone come first and meet nothing: only their number counts.
+    ranked = part.join(often, ["leader", "part"]).groupBy("leader", "rep").agg(F.array_sort(F.collect_list(F.struct("often", "part"))).alias("common"))
+    n_differ = F.size("parts").cast("bigint")
+    first = (
+        differ.join(ranked, ["leader", "rep"]).join(placed, ["leader", "rep"])
+        .select("leader", "rep", "group", "size", n_differ.alias("n_differ"), F.size("common").alias("n_common"),
+                F.posexplode(F.expr("slice(common, 1, greatest(0, int(keep - size(parts) + size(common))))")).alias("at", "one"))
+        .select("leader", "rep", "group", "size", "n_differ", (F.col("n_common") - F.col("at")).alias("left"), F.col("one.part").alias("part"))
+    )
+    first = materialise(first, "first")
+    other = first.select("leader", "part", *[F.col(c).alias(f"{c}_2") for c in ("rep", "group", "size", "n_differ", "left")])
+    # What a linked pair shares lies, from its first shared difference on, among what is left of both.
+    shared = (F.col("n_differ") + F.col("n_differ_2") - r * (F.col("size") + F.col("size_2"))) / 2
+    return (
+        first.join(other, ["leader", "part"])
+        .where(
+            (F.col("rep") < F.col("rep_2"))
+            & (F.col("group") != F.col("group_2"))
+            & (F.least("size", "size_2") >= threshold * F.greatest("size", "size_2") - 1e-9)
+            & (F.abs(F.col("n_differ") - F.col("n_differ_2")) <= r * (F.col("size") + F.col("size_2")) + 1e-9)
+            & (F.least("left", "left_2") >= shared - 1e-9)
+        )
+        .select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest id of its group of near copies), group_size, kept (it is that id)."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_text().alias("text")).where("doc_id is not null")
@@ -203,20 +297,13 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     group = materialise(components(links), "group")
     # What is still apart within a bucket.
     placed = (
-        starred.join(checked.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "similarity"), ["leader", "rep"], "left")
-        .join(group.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", "leader", F.coalesce("component", "rep").alias("group"),
-                (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"))
+        starred.join(group.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("key", "rep", "leader", F.coalesce("component", "rep").alias("group"))
     )
     open_keys = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    placed = materialise(placed.join(open_keys, "key", "left_semi").where("rep <> leader"), "open")
-    other = placed.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rep", "group", "far")])
-    apart = placed.join(other, "key").where(
-        (F.col("rep") < F.col("rep_2"))
-        & (F.col("group") != F.col("group_2"))
-        & (F.abs(F.col("far") - F.col("far_2")) <= 1 - threshold + 1e-9)
-    )
-    apart = apart.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    placed = placed.join(open_keys, "key", "left_semi").where("rep <> leader")
+    placed = materialise(placed.select("leader", "rep", "group").distinct(), "open")
+    apart = apart_pairs(materialise(differences(placed.select("leader", "rep"), docs, threshold), "differences"), placed, threshold)
     done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     apart = materialise(apart.join(done, ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
