@@ -1,14 +1,17 @@
 """Fast exact encoding with the word-level BPE vocabulary, shared by the binary writer and the packer.
 
 The vocabulary's pre-tokenizer never lets a token cross white space and its normalizer works on single characters (and
-combining runs, which white space ends), so a text's ids are the ids of its white-space separated chunks in order.
-Each chunk is encoded by the tokenizers library once per worker and then looked up.
+combining runs, which white space ends), so a text's ids are the ids of its white-space separated chunks in order. Nor
+does a token hold both letters and marks, so a chunk of letters with marks behind it is encoded as both in turn.
+
+Words not met before are encoded by the tokenizers library many at a time, as one text, whose word numbers give each
+word its ids (one by one where the numbers do not fit the words); a worker then looks them up.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -16,40 +19,85 @@ from ._common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers; it forgets all of them when there are more.
-MEMORY = 400_000
+MEMORY = 800_000
+#: Characters of texts whose new words are encoded together, and words in one call.
+_TOGETHER, _WORDS = 1 << 20, 1000
+_MARKS = b".,;:!?)"
+
+
+class _Vocabulary:
+    def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.known: dict[bytes, bytes] = {}
 
+    def _one(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u2").tobytes()
 
-class _Known(dict):
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
+    def _words(self, words: list[bytes]) -> None:
+        """Learn words of letters alone: each is one word of the pre-tokenizer, unless its lower case is not."""
+        done = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
+        number = np.array(done.word_ids, np.int64)
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        if len(first) != len(words):
+            self.known.update((w, self._one(w)) for w in words)
+            return
+        ids = np.array(done.ids, "<u2").tobytes()
+        edge = [*(2 * first).tolist(), len(ids)]
+        self.known.update((w, ids[edge[i] : edge[i + 1]]) for i, w in enumerate(words))
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.encode(chunk.decode(), add_special_tokens=False).ids
-        out = np.array(ids, "<u2").tobytes()
-        self[chunk] = out
-        return out
+    def learn(self, chunks: set[bytes]) -> None:
+        known, parts, words = self.known, [], set()
+        for chunk in chunks:
+            word = chunk.rstrip(_MARKS)
+            if not word.isalpha() and not word.decode().isalpha():
+                known[chunk] = self._one(chunk)
+                continue
+            word = word.lower()
+            if word not in known:
+                words.add(word)
+            if word != chunk:
+                parts.append((chunk, word, chunk[len(word) :]))
+        new = list(words)
+        for at in range(0, len(new), _WORDS):
+            self._words(new[at : at + _WORDS])
+        for chunk, word, marks in parts:
+            if marks and marks not in known:
+                known[marks] = self._one(marks)
+            known[chunk] = known[word] + known[marks] if marks else known[word]
 
 
-_known: dict[str, _Known] = {}
+_vocabularies: dict[str, _Vocabulary] = {}
+
+
+def _groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
+    group, size = [], 0
+    for text in texts:
+        group.append((text or "").encode())
+        size += len(group[-1])
+        if size >= _TOGETHER:
+            yield group
+            group, size = [], 0
+    yield group
 
 
 def encode(texts: Iterable[str | None], vocabulary: str = VOCABULARY, end: int | None = None) -> list[np.ndarray]:
     """One array of 16-bit ids for each text (null: empty), ending with the id `end` if given."""
-    known = _known.get(vocabulary)
-    if known is None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary need more than 16 bits")
-        known = _known[vocabulary] = _Known(tokenizer)
-    tail = b"" if end is None else np.array([end], "<u2").tobytes()
+    own = _vocabularies.get(vocabulary)
+    if own is None:
+        own = _vocabularies[vocabulary] = _Vocabulary(vocabulary)
+    known, tail = own.known, b"" if end is None else np.array([end], "<u2").tobytes()
     out = []
-    for text in texts:
+    for group in _groups(texts):
         if len(known) > MEMORY:
             known.clear()
-        chunks = (text or "").encode().split()
-        out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)) + tail, "<u2"))
+        split = [raw.split() for raw in group]
+        new = set().union(*split).difference(known)
+        if new:
+            own.learn(new)
+        out += [np.frombuffer(b"".join(map(known.__getitem__, chunks)) + tail, "<u2") for chunks in split]
     return out
