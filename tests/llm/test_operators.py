@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,6 +127,42 @@ def test_near_duplicates(spark, docs, nothing):
     assert near_dup.without_near_duplicates(docs).columns == docs.columns
 
 
+def test_differences_lose_no_link():
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    bags = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6, 8])):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = r.choice([[f"e{r.randrange(6)}"], [f"n{r.random()}"], w[k : k + 6], []])
+        bags.append(near_dup.bag(" ".join(w)))
+    for leader in bags[::40]:
+        differ = [near_dup.difference(leader, b) for b in bags]
+        often = Counter(x for d in differ for x in d.tolist())
+        first = []
+        for d, b in zip(differ, bags, strict=True):
+            n = near_dup.prefix_length(len(d), int(b[1].sum()), int(leader[1].sum()))
+            first.append(set(sorted(d.tolist(), key=lambda x: (often[x], x))[:n]))
+        direct = [near_dup.overlap(leader, b) >= 0.8 for b in bags]
+        for i in range(len(bags)):
+            for j in range(i):
+                size, apart = int(bags[i][1].sum() + bags[j][1].sum()), len(set(differ[i].tolist()) ^ set(differ[j].tolist()))
+                likeness = near_dup.overlap(bags[i], bags[j])
+                assert abs(likeness - (size - apart) / (size + apart)) < 1e-12
+                if likeness >= 0.8 and not (direct[i] and direct[j]):
+                    assert first[i] & first[j]
+
+
+def test_new_words_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = [*TEXTS, "İstanbul ΑΣ. ſ ŉ. ǅ a<|endoftext|>. é ́x", "it's 's. X's ,. ).", "가각 ᄀ 가 x1.2", "\x1c a\x1cb \x85 c a.̸ b"]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
 def test_bag_signatures_are_unbiased():
     r, off = np.random.default_rng(3), []
     for k in range(60):
