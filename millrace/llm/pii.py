@@ -10,8 +10,8 @@ after a key word, cloud access keys, titled names) get replacements drawn by a k
 * distinctness: two entities of a type never share one; where a draw meets another's or an existing entity, the smaller
   normal form keeps it and the other draws again, until all differ.
 
-Texts without a digit, an @ sign or a title pass untouched and are never shuffled. The rest meets its replacements by
-the hash of its text, so copies are looked up once.
+Texts without a digit, an @ sign, a title or the mark of a secret or key pass untouched and are never shuffled. The rest
+meets its replacements by the hash of its text, so copies are looked up once.
 
 Defined cases: null and empty texts stay as they are; repeated rows get equal results; null ids are kept; other columns
 are untouched.
@@ -27,11 +27,13 @@ from ._common import let, materialise
 KEY = "millrace"
 _TITLES_F, _TITLES_M = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra", "Mr|Herr|Monsieur|Señor|Sr"
 _NAME_WORD = r"\p{Lu}\p{Ll}{1,30}"
+#: What announces a secret, in any case; HINT and the secret pattern are both built from it.
+_SECRET_WORDS = "(?i:password|passwd|secret|token|api_key|apikey)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What counts as an entity, tried in this order at each place of the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
-    "secret": r"(?<=(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[^\s\"'=]{6,128}",
+    "secret": rf"(?<={_SECRET_WORDS} {{0,2}}[=:] {{0,2}}[\"']?)[^\s\"'=]{{6,128}}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -42,8 +44,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLES_F}|{_TITLES_M})\.? {_NAME_WORD}(?: {_NAME_WORD})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text that does not match this has no entity.
-HINT = rf"[0-9@]|(?:assw(?:or)?d|ecret|oken|pi_?key) {{0,2}}[=:]|(?:{_TITLES_F}|{_TITLES_M})\.? \p{{Lu}}"
+#: A text that does not match this has no entity. The key word is looked for backwards, from the sign behind it.
+HINT = rf"[0-9@]|[=:](?<={_SECRET_WORDS} {{0,2}}[=:])|AKIA|(?:{_TITLES_F}|{_TITLES_M})\.? \p{{Lu}}"
 _COUNTRY = r"^\+\d{1,3}(?=[ .(-])"
 _DIGITS = ("iban", "card", "ssn", "phone")
 #: Alphabets that letters are drawn from.
