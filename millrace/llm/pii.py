@@ -30,10 +30,11 @@ _NAME_WORD = r"\p{Lu}\p{Ll}{1,30}"
 #: What announces a secret, in any case; HINT and the secret pattern are both built from it.
 _SECRET_WORDS = "(?i:password|passwd|secret|token|api_key|apikey)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: What counts as an entity, tried in this order at each place of the text.
+#: What counts as an entity, tried in this order at each place of the text. Addresses and secrets have no
+#: longest length: they run to their delimiter.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
-    "secret": rf"(?<={_SECRET_WORDS} {{0,2}}[=:] {{0,2}}[\"']?)[^\s\"'=]{{6,128}}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "secret": rf"(?<={_SECRET_WORDS} {{0,2}}[=:] {{0,2}}[\"']?)[^\s\"'=]{{6,}}+",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -188,11 +189,7 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
         lambda s: F.concat(s["o"], F.substring(new, s["i"], F.length(new))),
     )
     capitals = F.array_join(
-        F.transform(
-            F.split(new, ""),
-            lambda c, i: F.when(F.substring(mention, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c),
-        ),
-        "",
+        F.zip_with(F.split(new, ""), F.split(mention, ""), lambda c, m: F.when(m.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), ""
     )
     return F.when(kind.isin(*_DIGITS), F.concat(prefix, shaped)).when(kind == "email", capitals).otherwise(new)
 

@@ -328,6 +328,19 @@ def test_pii_hint_is_as_wide_as_the_patterns(spark):
     assert all(r.n_entities == 1 and r.text != t and len(r.text) == len(t) for r, t in zip(got, texts, strict=True))
 
 
+def test_pii_long_entities_go_whole(spark):
+    r = random.Random(8)
+    odd = lambda n: "".join(r.choice("QXZJqxzj") for _ in range(n))
+    long = [odd(200), odd(20_000), odd(90)]
+    texts = [f"token: {long[0]} end", f'secret="{long[1]}" end', f"to {long[2]}@Mail.org end", f"to a@{'b.' * 12}{odd(80)}.org end"]
+    got = pii.replace_pii(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()
+    for g, t in zip(got, texts, strict=True):
+        assert g.n_entities == 1 and len(g.text) == len(t) and g.text.endswith(" end")
+    for g, x in zip(got, long, strict=False):
+        assert not any(x[i : i + 12] in g.text for i in range(len(x) - 11))
+    assert [c.isupper() for c in got[2].text] == [c.isupper() for c in texts[2]] and got[3].text[-84:-8] != texts[3][-84:-8]
+
+
 def test_pii_surrogates_stay_distinct(spark):
     ips = [f"{a}.{b}.1.{c}" for a in range(1, 9) for b in range(1, 9) for c in range(1, 9)]
     df = spark.createDataFrame([("ip", x) for x in ips], "kind string, norm string")
