@@ -68,6 +68,37 @@ def test_fingerprint_votes_and_radius(spark):
     assert {(x.f0, x.f1): x.n_within for x in near.collect()} == {(0, 0): 3, (7, 0): 4, (15, 0): 2, (-1, 3): 1}
 
 
+def test_fingerprint_radius_is_exact(spark):
+    r, mask = random.Random(6), (1 << 64) - 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    base = [r.getrandbits(128) for _ in range(3)]
+    own = [b ^ sum(1 << k for k in r.sample(range(128), n)) for b in base for n in range(28)]
+    rows = [(signed(v & mask), signed(v >> 64)) for v in own]
+    df = spark.createDataFrame(rows, "f0 long, f1 long")
+    name = [f"{v & mask:016x}{v >> 64:016x}" for v in own]
+    for radius in (1, 9, 16, fingerprints.RADIUS):
+        got = {(x.f0, x.f1): (x.n_within, x.near) for x in fingerprints.within_radius(df, df, radius).collect()}
+        for v, row in zip(own, rows, strict=True):
+            near = sorted({n for n, w in zip(name, own, strict=True) if (v ^ w).bit_count() <= radius})
+            assert got[row] == (sum((v ^ w).bit_count() <= radius for w in own), near)
+
+
+def test_fingerprints_find_near_copies(spark):
+    r = random.Random(11)
+    words, copies = [f"w{r.randrange(3000)}" for _ in range(400)], []
+    for i in range(20):  # a word in a hundred changed
+        w = list(words)
+        for k in r.sample(range(400), 4 if i else 0):
+            w[k] = f"n{r.random()}"
+        copies.append((i * 2, " ".join(w)))
+    far = [(i * 2 + 1, " ".join(f"w{r.randrange(3000)}" for _ in range(400))) for i in range(20)]
+    df = spark.createDataFrame(copies + far, "doc_id long, text string")
+    out = fingerprints.fingerprint_documents(df)
+    got = out.where("n_within_radius is not null").collect()
+    assert [(x.doc_id, x.n_within_radius) for x in got] == [(0, 19)]
+    assert {(x.doc_id, x.found_id) for x in fingerprints.found_pairs(out).collect()} == {(0, i * 2) for i in range(1, 20)}
+
+
 def test_pfor_blocks():
     r = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):
