@@ -226,6 +226,17 @@ def test_toxicity(spark):
     assert toxicity.with_scores(df, None).where("score = 0").count() == 502
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    texts = [prose(60) + (" " + prose(6000) + " scum" if i % 4 == 0 else "") for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(t.endswith(" scum"))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    assert {r.doc_id: r.text for r in toxicity.training_sample(df, labels).collect()} == dict(enumerate(texts))
+    few = toxicity.training_sample(df, labels, max_chars=100_000).collect()
+    assert all(r.text == texts[r.doc_id] for r in few) and sum(r.toxic == 0 for r in few) == 30
+    assert 1 <= sum(r.toxic for r in few) < 10 and sum(len(r.text) for r in few if r.toxic) <= 100_000
+    assert sorted(r.toxic for r in toxicity.training_sample(df, labels, max_chars=1).collect()) == [0, 1]
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(40, 32))
