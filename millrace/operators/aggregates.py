@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm._common import materialise
 from .fields import statistic_name
 
 
@@ -97,10 +98,22 @@ def speed(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
     return rows.withColumn("trend", trend)
 
 
-def event_number(head: Column, by: list[str], order: list[str]) -> Column:
-    """Running number of events: a head line begins a new one."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(F.when(head, 1).otherwise(0)).over(w)
+def event_numbers(df: DataFrame, head: Column, by: str, order: list[str], column: str = "_event") -> DataFrame:
+    """df with the running number of events of each source (by), where a head line begins a new one, and `_range`.
+
+    Lines are numbered within ranges of the order, then the heads of a source's ranges before are added: a source with
+    most of the lines is spread over many tasks.
+    """
+    ranges = df.withColumn("_head", F.when(head, 1).otherwise(0)).repartitionByRange(by, *order)
+    # Written once: a range that is drawn again could have other bounds.
+    ranges = materialise(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_by").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ranges.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_r")).agg(F.sum("_head").alias("_n"))
+    heads = heads.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranges.withColumn("_own", F.sum("_head").over(inside))
+    joined = rows.join(heads, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*df.columns, (F.col("_base") + F.col("_own")).alias(column), "_range")
 
 
 #: Predicates of routes, by name; more may be registered.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import event_number, record_hash
+from ..operators.aggregates import event_numbers, record_hash
 
 
 def in_range(df: DataFrame, key: str, low, high) -> DataFrame:
@@ -64,7 +64,7 @@ def assemble(lines: DataFrame, head: str, source: str = "_source", order: list[s
     max_chars ends an event early, as a full buffer would.
     """
     is_head = F.regexp_like("value", F.lit(head))
-    rows = lines.withColumn("_event", event_number(is_head, [source], list(order)))
+    rows = event_numbers(lines, is_head, source, list(order))
     keys = [source, "_event"]
     if max_chars:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -169,3 +169,21 @@ def test_split_and_rejoin(spark):
 def test_flagship_runs(spark):
     good = catalog.flagship(spark, "/root/testdata/sf0.001")
     assert good.count() > 0 and split_errors(good)[1].count() == 0
+
+
+def test_events_of_one_source_are_numbered_in_ranges(spark):
+    lines = [("a", i, f"{'H' if i % 7 == 3 else 'l'}{i}") for i in range(2000)] + [(None, i, f"{'H' if i % 5 == 0 else 'l'}{i}") for i in range(40)]
+    df = spark.createDataFrame(lines, "_source string, _order long, value string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = aggregates.event_numbers(df, F.col("value").startswith("H"), "_source", ["_order"]).collect()
+        events = pull.assemble(df, "^H").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r._range for r in rows if r._source == "a"}) > 1
+    want, at = {}, {}
+    for source, _, value in lines:
+        at[source] = at.get(source, 0) + value.startswith("H")
+        want.setdefault((source, at[source]), []).append(value)
+    assert len(rows) == len(lines) and {r.value for r in rows if r._event == 1 and r._source == "a"} == set(want["a", 1])
+    assert {(r._source, r.event_no): r.value for r in events} == {k: "\n".join(v) for k, v in want.items()}
