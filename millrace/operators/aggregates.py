@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm._common import materialise
+from ..storage import materialise
 from .fields import statistic_name
 
 
