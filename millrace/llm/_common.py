@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..storage import materialise, shared_dir
+
+__all__ = ["components", "doc_text", "let", "materialise", "plus_double", "shared_dir", "successors", "table", "tokenizer_path"]
+
 #: Where the public tokenizer files live; a parameter of every operator that reads one.
 TOKENIZER_PACKAGE = "public_tokenizers"
 
@@ -24,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests) an own one is set.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/millrace/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}-{tag}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def doc_text(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

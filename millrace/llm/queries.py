@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, embedding_dup, fingerprints, lm_scoring, mixing, near_dup, packing, pfor, pii, toxicity
 from ._common import table
 
@@ -79,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_fingerprints, op2_token_ids, op3_near_duplicates, op4_toxicity, op5_embedding_links, op6_packing, op7_chat,
         op8_mixing, op9_pii, op10_lm_scoring,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def _quoted(text: str) -> str:
@@ -114,7 +112,4 @@ FROM turns GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    named = {"op7_chat": OP7_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        named["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return named
+    return {"op7_chat": OP7_SQL}
