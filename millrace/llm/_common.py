@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["components", "doc_text", "let", "materialise", "plus_double", "shared_dir", "successors", "table", "tokenizer_path"]
+__all__ = ["components", "doc_text", "let", "materialise", "plus_double", "shared_dir", "table", "tokenizer_path"]
 
 #: Where the public tokenizer files live; a parameter of every operator that reads one.
 TOKENIZER_PACKAGE = "public_tokenizers"
@@ -39,26 +39,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def successors(ids: DataFrame, key: str) -> DataFrame:
-    """(key, next): the next larger distinct key, cyclic. ids must hold distinct non-null keys.
-
-    Range partitions are ordered among themselves, so only the first key of each partition is looked at in one
-    place: as many rows as there are partitions.
-    """
-    parts = materialise(ids.select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "range")
-    firsts = parts.groupBy("_part").agg(F.min(key).alias("_first"))
-    by_part = Window.orderBy("_part")
-    firsts = firsts.select(
-        "_part",
-        F.coalesce(
-            F.lead("_first").over(by_part),
-            F.first("_first").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        ).alias("_following"),
-    )
-    inside = parts.withColumn("_next", F.lead(key).over(Window.partitionBy("_part").orderBy(key)))
-    return inside.join(firsts, "_part", "left").select(key, F.coalesce("_next", "_following").alias("next"))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): connected components of an edge list, named by their smallest node.
 

@@ -16,10 +16,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import doc_text, let, materialise, successors
+from ._common import doc_text, let, materialise
 
 BITS = 128
 WORD_RUN = 3
@@ -28,6 +28,8 @@ WORD_RUN = 3
 #: 44,850 pairs of documents as they are lie within 24 (median 64). 23 is also the most that eight tables reach exactly
 #: with two differing bits of a block.
 RADIUS = 23
+#: Text that one bucket of neighbouring documents holds.
+BUCKET_BYTES = 32 << 20
 _HALF = 0x0000_0001_0000_0001
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -133,33 +135,50 @@ def found_pairs(result: DataFrame) -> DataFrame:
     return asked.join(members, "fingerprint").where("doc_id <> found_id").select("doc_id", "found_id").distinct()
 
 
-def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edited, next_id: the last floor(n/2) code points replaced by the start of the next document.
+def bucket_starts(lengths: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> list[int]:
+    """First doc_id of each bucket of neighbouring documents (doc_id, n bytes), ascending: one number for bucket_bytes of
+    text comes to the driver."""
+    parts = lengths.groupBy("doc_id").agg(F.sum("n").alias("n")).repartitionByRange("doc_id")
+    parts = materialise(parts.withColumn("_part", F.spark_partition_id()), "ids")
+    by_part = Window.partitionBy("_part").orderBy("doc_id")
+    before = F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = parts.select("_part", "doc_id", F.floor(before / F.lit(bucket_bytes)).alias("_cell"))
+    return sorted(r[0] for r in cells.groupBy("_part", "_cell").agg(F.min("doc_id")).select("min(doc_id)").collect())
 
-    The text is dealt out by id once; the start that a document needs of its follower is cut before it travels.
+
+def last_at_most(values: list[int], x: Column) -> Column:
+    """Place (from 1) of the last of the ascending values that is at most x: a binary search."""
+    held = F.array(*map(F.lit, values)).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(values).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(held, at + step) <= x, at + step).otherwise(at))
+
+
+def edited_texts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """_bucket, doc_id, text, edited, next_id: the last floor(n/2) code points replaced by the start of the next document.
+
+    Texts are dealt out once, to buckets of neighbouring ids; the first document of a bucket also goes to the bucket
+    before it (that of the first bucket to the last one), where it only serves as the next document.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_text().alias("text")).where(
-        "doc_id is not null"
-    )
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_text().alias("text")).where("doc_id is not null")
+    starts = bucket_starts(docs.select("doc_id", F.octet_length("text").alias("n")), bucket_bytes) or [0]
+    own = last_at_most(starts, F.col("doc_id"))
+    place = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
+    before = F.pmod(F.col("_own") - 2, F.lit(len(starts))) + 1
+    first = F.try_element_at(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.col("_own")) == F.col("doc_id")
+    places = F.when(first, F.array(place(F.col("_own"), 0), place(before, 1))).otherwise(F.array(place(F.col("_own"), 0)))
+    rows = docs.withColumn("_own", own).select("doc_id", "text", F.explode(places).alias("_at"))
+    rows = rows.select("doc_id", "text", F.col("_at.bucket").alias("_bucket"), F.col("_at.guest").alias("_guest"))
+    rows = rows.withColumn("_order", F.when(F.col("_guest") == 1, F.lit((1 << 63) - 1)).otherwise(F.col("doc_id")))
+    # Backwards, so that what follows a document has been seen when its turn comes.
+    w = Window.partitionBy("_bucket").orderBy(F.desc("_order"), F.desc("_guest"), F.desc("text"))
+    smaller = F.lead(F.struct("doc_id", "_guest")).over(w)
+    smallest = F.coalesce(smaller != F.struct("doc_id", "_guest"), F.lit(True))
+    rows = rows.withColumn("_head", F.when(smallest, F.struct("doc_id", "text")))
+    following = F.last("_head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    ids = docs.select("doc_id", half.alias("half")).groupBy("doc_id").agg(F.max("half").alias("half"))
-    ids = materialise(ids, "ids")
-    links = ids.join(successors(ids, "doc_id"), "doc_id").withColumnRenamed("doc_id", "own_id")
-    heads = (
-        docs.withColumnRenamed("doc_id", "next")
-        .join(links, "next")
-        .select("own_id", "next", F.substring("text", F.lit(1), F.col("half")).alias("head"))
-        .groupBy("own_id")
-        .agg(F.min("head").alias("head"), F.min("next").alias("next_id"))
-        .withColumnRenamed("own_id", "doc_id")
-    )
-    return docs.join(heads, "doc_id", "left").select(
-        "doc_id",
-        "text",
-        F.concat(
-            F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("head", F.lit(1), half)
-        ).alias("edited"),
-        "next_id",
+    edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("_next.text", F.lit(1), half))
+    return rows.withColumn("_next", following).where("_guest = 0").select(
+        "_bucket", "doc_id", "text", edited.alias("edited"), F.col("_next.doc_id").alias("next_id")
     )
 
 
@@ -170,6 +189,7 @@ def fingerprint_documents(documents: DataFrame, radius: int = RADIUS, query_ever
     texts = edited_texts(documents)
     sha = lambda c: F.unhex(F.sha2(F.col(c), 256))
     kinds = texts.select(
+        "_bucket",
         "doc_id",
         "next_id",
         F.char_length("text").cast("bigint").alias("n_chars"),
@@ -182,14 +202,15 @@ def fingerprint_documents(documents: DataFrame, radius: int = RADIUS, query_ever
             )
         ).alias("_k"),
     )
-    keys = ["doc_id", "next_id", "n_chars", "text_sha", "edited_sha"]
+    # The bucket is part of the key: what the texts are dealt out by serves the sums too.
+    keys = ["_bucket", "doc_id", "next_id", "n_chars", "text_sha", "edited_sha"]
     hashed = kinds.select(*keys, "_k.kind", term_hashes(F.col("_k.t")).alias("hashes"))
     prints = fingerprint(hashed, [*keys, "kind"], "hashes")
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     wide = prints.groupBy(*keys).agg(
         of(0, "f0").alias("f0"), of(0, "f1").alias("f1"), of(1, "f0").alias("e0"), of(1, "f1").alias("e1")
     )
-    wide = materialise(wide, "prints")
+    wide = materialise(wide.drop("_bucket"), "prints")
     following = (
         wide.groupBy("doc_id")
         .agg(F.min(F.struct("f0", "f1")).alias("_n"))

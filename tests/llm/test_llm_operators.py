@@ -59,6 +59,50 @@ def test_fingerprints(spark, docs):
     assert set(got[9].fingerprint) == {"0"}
 
 
+def brute_fingerprint(text):
+    """128-bit SimHash by the same hashes, as (f0, f1)."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def h64(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64(v if isinstance(v, bytes) else (v & mask).to_bytes(8, "little"), seed=seed).intdigest()
+        return seed
+
+    words = [h64(w.encode()) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    terms = [h64(*words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [h64(*words)] if words else []
+    halves = [terms, [h64(t) for t in terms]]
+    return tuple(sum(1 << k for k in range(64) if 2 * sum(t >> k & 1 for t in half) > len(terms)) for half in halves)
+
+
+@pytest.mark.parametrize("bucket_bytes", [4000, 1 << 25])
+def test_fingerprints_against_brute_force(spark, docs, bucket_bytes, monkeypatch):
+    texts, ids = [t or "" for t in TEXTS], [i * 3 for i in range(len(TEXTS))]
+    extra = spark.createDataFrame([(9, "zz other text of the same id"), (None, "no id")], "doc_id long, text string")
+    twice = docs.unionByName(docs.where("doc_id = 6")).select("doc_id", "text").unionByName(extra)
+    edits = {(r.doc_id, r.text): (r.edited, r.next_id) for r in fingerprints.edited_texts(twice, bucket_bytes).collect()}
+    for i, t in enumerate(texts):
+        n, after = len(t), texts[(i + 1) % len(texts)]
+        assert edits[ids[i], t] == (t[: n - n // 2] + after[: n // 2], ids[(i + 1) % len(ids)])
+    assert len(edits) == len(texts) + 1
+    monkeypatch.setattr(fingerprints.edited_texts, "__defaults__", (bucket_bytes,))
+    out = fingerprints.fingerprint_documents(docs, query_every=2)
+    got = {r.doc_id: r for r in out.collect()}
+    prints = [brute_fingerprint(t) for t in texts]
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    for i, t in enumerate(texts):
+        r, nxt = got[ids[i]], (i + 1) % len(texts)
+        edited = brute_fingerprint(edits[ids[i], t][0])
+        assert r.fingerprint == "".join(f"{h:016x}" for h in prints[i]) and r.edited_fingerprint == "".join(f"{h:016x}" for h in edited)
+        assert r.near_edited == 1 - far(prints[i], edited) / 128 and r.near_next == 1 - far(prints[i], prints[nxt]) / 128
+        within = sum(far(prints[i], p) <= fingerprints.RADIUS for p in prints) - 1
+        assert r.n_within_radius == (within if ids[i] % 2 == 0 else None)
+    assert fingerprints.fingerprint_documents(docs.where("false")).count() == 0
+    assert fingerprints.fingerprint_documents(docs.where("doc_id = 21")).first().near_next == 1.0
+
+
 def test_fingerprint_votes_and_radius(spark):
     df = spark.createDataFrame([(1, [5, 5, -7]), (2, [])], "k long, h array<long>")
     r = {x.k: x for x in fingerprints.fingerprint(df, ["k"], "h").collect()}
