@@ -1,19 +1,24 @@
 """Operator 10: document likelihood with a subword lattice.
 
-Words are scored by counts interpolated with a subword model: P(w) = max(c - D, 0) / N + D * V / N * L(w), where L(w)
-is the marginal probability of w over all its segmentations. L weighs the pieces of a public vocabulary by its own
-scores (a piece's score is minus its rank; weight 1 / (rank + RANK_SHIFT)), apart for pieces that begin a word and
-pieces that go on, with a fixed stop probability; single bytes close every gap, so each word has some segmentation.
-The forward recursion runs in log space along the bytes of a word. D is n1 / (n1 + 2 n2), from how many training words
-occur once and twice. The end of a document is a token with its own count.
+A document is a line of words and an end. `score` is log10 of its marginal probability over all segmentations:
+P = p_end * product of (1 - p_end) * L(w), where L(w) sums over the ways to write w as pieces of a public vocabulary, a
+piece that begins a word and pieces that go on, with a stop probability behind each; no piece holds white space, so the
+forward recursion, in log space along the bytes, runs word by word. Single bytes close every gap: each word has some
+segmentation. The vocabulary's own scores (a piece's score is minus its rank; weight 1 / (rank + RANK_SHIFT)) are the
+first weights; rounds of expectation-maximisation over the training words, each as often as it occurs, update them.
 
-The vocabulary of a corpus is not bounded, so nothing of it is broadcast. A task numbers the words of a block of
-documents and writes the documents as word numbers, and the block's distinct words with their counts; the words meet
-the corpus' counts by a join on the word; and each block then gets the values of its own words back (bounded by the
-block's size). The lattice runs once for each distinct word.
+`mixed_score` interpolates word counts with the lattice: P(w) = max(c - D, 0) / N + D * V / N * L(w), D being
+n1 / (n1 + 2 n2), from how many training words occur once and twice; the end is a token with its own count.
 
-Defined cases: null text counts as empty (its end token alone); rows that repeat an id are scored each; without any
-training document the model is the lattice alone; null ids are held out by no fold, so they are training rows.
+The vocabulary of a corpus is not bounded, so nothing of it is broadcast. A task numbers the words of a block of
+documents and writes the documents as compressed word numbers, and the block's distinct words with their counts. The
+words are dealt out by word once, where they get the corpus' count and the lattice's value (once for each distinct word
+of a batch), and go back to their block, which is scored there. A word has one row for each block, however often it
+occurs. Long texts make long blocks; a document is never cut.
+
+Defined cases: null text counts as empty (its end alone); rows that repeat an id are scored each; without any training
+document the weights are the vocabulary's own; null ids are held out by no fold, so they are training rows; other columns
+of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,20 +31,20 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import doc_text, materialise, plus_double, tokenizer_path
+from ._common import doc_text, materialise, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 30.0
 STOP = 0.35
-WORDS_PER_BLOCK = 1_000_000
+#: Words of the documents that are numbered together.
+WORDS_PER_BLOCK = 4_000_000
 #: Words' worth of weight that the vocabulary's own scores keep beside what the training words show.
 PRIOR = 200.0
-LEARNING_ROUNDS = 1
+LEARNING_ROUNDS = 2
 _P = 0x9E3779B97F4A7C15
 END = b"\n"  # no word holds white space
 
@@ -97,8 +102,9 @@ class Lattice:
         new_stop = (words + strength * stop) / (words + got_i.sum() + strength)
         self.set(got_b + begin * unit, got_i + inner * strength / inner.sum(), got_e + empty * unit, new_stop)
 
-    def run(self, words: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each word's probability; adds the expected number of each piece to counts."""
+    def run(self, words: list[bytes], counts: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each word's probability; adds the expected number of each piece, each word counted so many times,
+        to counts."""
         out = np.zeros(len(words))
         by_length = defaultdict(list)
         for i, w in enumerate(words):
@@ -108,10 +114,10 @@ class Lattice:
             for i in range(0, len(own), step):
                 some = own[i : i + step]
                 text = np.frombuffer(b"".join([words[k] for k in some]), np.uint8).reshape(len(some), n)
-                out[some] = self._forward(text, n, counts)
+                out[some] = self._forward(text, n, counts, None if times is None else times[some])
         return out / math.log(10)
 
-    def _forward(self, text: np.ndarray, n: int, counts: np.ndarray | None) -> np.ndarray:
+    def _forward(self, text: np.ndarray, n: int, counts: np.ndarray | None, times: np.ndarray | None) -> np.ndarray:
         m, chars = len(text), text.astype(np.uint64) + np.uint64(1)
         alpha = np.full((n + 1, m), -np.inf)
         alpha[0] = self.log_empty
@@ -135,6 +141,7 @@ class Lattice:
             alpha[j] = high + np.log(np.exp(stack - np.where(np.isfinite(high), high, 0)).sum(axis=0))
         total = alpha[n] + self.log_stop
         if counts is not None:
+            times = np.ones(m) if times is None else times
             beta = np.full((n + 1, m), -np.inf)
             beta[n] = self.log_stop
             after: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
@@ -147,14 +154,14 @@ class Lattice:
                 high = terms.max(axis=0)
                 beta[i] = high + np.log(np.exp(terms - high).sum(axis=0))
                 for (_, piece), term in zip(after[i], terms, strict=True):
-                    p = np.exp(alpha[i] + term - total)
+                    p = np.exp(alpha[i] + term - total) * times
                     counts[nb : nb + ni] += np.bincount(piece[piece >= 0], p[piece >= 0], ni)
             for j in range(1, n + 1):
                 if first[j] is not None and (own := first[j] >= 0).any():
-                    p = np.exp(self.log_begin[first[j]] + beta[j] - total)
+                    p = np.exp(self.log_begin[first[j]] + beta[j] - total) * times
                     counts[:nb] += np.bincount(first[j][own], p[own], nb)
-            counts[nb + ni] += np.exp(self.log_empty + beta[0] - total).sum()
-            counts[nb + ni + 1] += m
+            counts[nb + ni] += (np.exp(self.log_empty + beta[0] - total) * times).sum()
+            counts[nb + ni + 1] += times.sum()
         return total
 
     def blank_counts(self) -> np.ndarray:
@@ -173,9 +180,24 @@ def lattice(vocabulary: str = VOCABULARY) -> Lattice:
     return _lattices[vocabulary]
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """Rows of two kinds for each block of documents: a document as word numbers, and a distinct word with its count
-    in training documents."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Word numbers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+_BLOCK_SCHEMA = "block long, ids binary, flags binary, lengths binary, numbers binary, word binary, number int, n long"
+
+
+def _blocks(documents: DataFrame, words_per_block: int) -> DataFrame:
+    """Rows of two kinds for each block of documents: some of its documents (ids, flags: held out 1, null id 2, lengths
+    and word numbers), and a distinct word with its number and its count in training documents. Frequent words have
+    small numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,57 +206,53 @@ def _blocks(documents: DataFrame) -> DataFrame:
         number = defaultdict(count().__next__)
         docs, size = [], 0
 
-        def out(kind: int, ids, held, nums, words, counts):
-            n = len(ids) if kind == 0 else len(words)
-            none = [None] * n
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, (part << 24) + nth, np.int64)),
-                    pa.array(ids if kind == 0 else none, pa.int64()),
-                    pa.array(held if kind == 0 else none, pa.bool_()),
-                    pa.array(nums if kind == 0 else none, pa.binary()),
-                    pa.array(words if kind else none, pa.binary()),
-                    pa.array(np.arange(n, dtype=np.int32) if kind else none, pa.int32()),
-                    pa.array(counts if kind else none, pa.int64()),
-                ],
-                ["block", "doc_id", "held_out", "numbers", "word", "number", "n"],
-            )
+        def out(**own):
+            n = len(next(iter(own.values())))
+            kinds = [pa.int64(), *[pa.binary()] * 5, pa.int32(), pa.int64()]
+            names = ["block", "ids", "flags", "lengths", "numbers", "word", "number", "n"]
+            own["block"] = np.full(n, (part << 24) + nth, np.int64)
+            columns = [pa.array(own[c], k) if c in own else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         def flush():
             nonlocal number, docs, size, nth
             if docs:
-                counts = np.zeros(len(number), np.int64)
-                for _, held, nums in docs:
-                    if not held:
-                        counts += np.bincount(nums, minlength=len(number)) if len(nums) > len(number) // 8 else 0
-                        if len(nums) <= len(number) // 8:
-                            np.add.at(counts, nums, 1)
-                words = list(number)
+                seen, taught = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+                for _, flag, nums in docs:
+                    own, times = np.unique(nums, return_counts=True)
+                    seen[own] += times
+                    if not flag & 1:
+                        taught[own] += times
+                order = np.argsort(-seen, kind="stable")
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
                 for i in range(0, len(docs), 512):
-                    some = docs[i : i + 512]
-                    yield out(0, [d[0] for d in some], [d[1] for d in some], [d[2].tobytes() for d in some], None, None)
-                whole = out(1, None, None, None, words, counts)
+                    ids, flags, nums = zip(*docs[i : i + 512], strict=True)
+                    yield out(
+                        ids=[np.array([0 if x is None else x for x in ids], "<i8").tobytes()], flags=[bytes(flags)],
+                        lengths=[np.array([len(x) for x in nums], "<u4").tobytes()], numbers=[packed(place[np.concatenate(nums)])],
+                    )
+                words, taught = list(number), taught[order]
                 for i in range(0, len(words), 50_000):
-                    yield whole.slice(i, 50_000)
+                    some = order[i : i + 50_000]
+                    yield out(word=[words[k] for k in some.tolist()], number=np.arange(i, i + len(some), dtype=np.int32), n=taught[i : i + len(some)])
             number, docs, size, nth = defaultdict(count().__next__), [], 0, nth + 1
 
         for batch in batches:
             for doc_id, held, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2]):
                 words = text.as_py().encode().lower().split()
                 words.append(END)
-                docs.append((doc_id, bool(held), np.fromiter(map(number.__getitem__, words), np.uint32, len(words))))
+                docs.append((doc_id, held + 2 * (doc_id is None), np.fromiter(map(number.__getitem__, words), np.uint32, len(words))))
                 size += len(words)
-                if size >= WORDS_PER_BLOCK:
+                if size >= words_per_block:
                     yield from flush()
         yield from flush()
 
-    return documents.mapInArrow(
-        run, "block long, doc_id long, held_out boolean, numbers binary, word binary, number int, n long"
-    )
+    return documents.mapInArrow(run, _BLOCK_SCHEMA)
 
 
 def learned(words: DataFrame, rounds: int = LEARNING_ROUNDS) -> Lattice:
-    """The lattice after rounds of expectation-maximisation over the distinct training words.
+    """The lattice after rounds of expectation-maximisation over the training words (word, c: how often it occurs).
 
     Expected counts are added up by piece: the driver gets one number for each piece of the vocabulary.
     """
@@ -244,11 +262,11 @@ def learned(words: DataFrame, rounds: int = LEARNING_ROUNDS) -> Lattice:
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             counts = own.blank_counts()
             for batch in batches:
-                own.run(batch.column("word").to_pylist(), counts)
+                own.run(batch.column("word").to_pylist(), counts, batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["piece", "expected"])
 
-        got = words.select("word").mapInArrow(run, "piece long, expected double")
+        got = words.select("word", "c").mapInArrow(run, "piece long, expected double")
         rows = got.groupBy("piece").agg(F.sum("expected")).collect()
         if rows:
             counts = own.blank_counts()
@@ -259,58 +277,82 @@ def learned(words: DataFrame, rounds: int = LEARNING_ROUNDS) -> Lattice:
     return own
 
 
-def _with_lattice(words: DataFrame, own: Lattice, column: str = "lattice") -> DataFrame:
+def _valued(words: DataFrame, own: Lattice) -> DataFrame:
+    """block, number, c and lattice (not a number for the end) of words in the order of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = own.run(batch.column("word").to_pylist())
-            yield batch.append_column(column, pa.array(values, pa.float64()))
-
-    return words.mapInArrow(run, plus_double(words.schema, column))
+            coded = batch.column("word").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            values = own.run(distinct)
+            values[[i for i, w in enumerate(distinct) if w == END]] = np.nan
+            each = values[coded.indices.to_numpy()]
+            yield batch.select(["block", "number", "c"]).append_column("lattice", pa.array(each, pa.float64(), from_pandas=False))
+
+    return words.select("block", "number", "c", "word").mapInArrow(run, "block long, number int, c long, lattice double")
+
+
+def word_scores(c: np.ndarray, lat: np.ndarray, totals: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of each word by the base's rule, by the lattice alone, and by counts mixed with the lattice."""
+    n, v, n1, n2, ends = (totals[k] for k in ("n", "v", "n1", "n2", "ends"))
+    end = np.isnan(lat)
+    p_end = (ends + 1) / (n + 2)
+    base = np.log10((c + 1) / (n + v + 1))
+    pure = np.where(end, math.log10(p_end), lat + math.log10(1 - p_end))
+    if not n:
+        return base, pure, pure
+    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    back = math.log10(d * v / n)
+    share = np.where(end, 0.0, np.power(10.0, back + np.where(end, 0.0, lat)))
+    with np.errstate(divide="ignore"):
+        known = np.log10(np.maximum(c - d, 0) / n + share)
+    unseen = np.where(end, math.log10(p_end), back + lat)
+    return base, pure, np.where(c > 0, known, unseen)
 
 
-def score_documents(documents: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """Base and lattice log10 probability of each document; fold by the crc32 of the id's text."""
+def score_documents(documents: DataFrame, folds: int = 7, held_fold: int = 2, words_per_block: int = WORDS_PER_BLOCK) -> DataFrame:
+    """Base, lattice and mixed log10 probability of each document; fold by the crc32 of the id's text."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold
     rows = documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), doc_text().alias("text")
     )
-    blocks = materialise(_blocks(rows), "blocks")
-    words = blocks.where("word is not null").select("block", "word", "number", "n")
-    # Summed where the words are first: a frequent word sends one row from each task.
-    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    own = learned(counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))))
-    one, two = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), one, two).first()
-    n, v, n1, n2 = map(int, row)
-    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    back = math.log10(d * v / n) if n else 0.0
-    base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    share = F.pow(F.lit(10.0), F.lit(back) + F.when(F.col("word") == F.lit(END), F.lit(-300.0)).otherwise(F.col("lattice")))
-    if n:
-        model = F.when(
-            F.col("c") > 0, F.log10(F.greatest(F.col("c") - F.lit(d), F.lit(0.0)) / F.lit(float(n)) + share)
-        ).otherwise(F.lit(back) + F.col("lattice"))
-    else:
-        model = F.col("lattice")
-    counts = _with_lattice(counts, own)
-    values = words.select("block", "word", "number").join(counts.select("word", "c", base.alias("base"), model.alias("model")), "word")
-    values = values.select("block", "number", "base", "model", (F.col("c") > 0).alias("known"))
-    docs = blocks.where("numbers is not null").select("block", "doc_id", "held_out", "numbers")
-    docs = docs.toDF("own_block", *docs.columns[1:])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        size = len(right)
-        base, model, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-        at = right["number"].to_numpy()
-        base[at], model[at], known[at] = right["base"], right["model"], right["known"]
+    blocks = materialise(_blocks(rows, words_per_block), "blocks")
+    same = Window.partitionBy("word")
+    words = blocks.where("word is not null").select(
+        "word", "block", "number", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")
+    )
+    words = materialise(words, "words")
+    distinct = words.where("first").select("word", "c")
+    if_end = F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))
+    c = F.col("c")
+    row = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2), if_end).first()
+    totals = dict(zip(("n", "v", "n1", "n2", "ends"), map(int, row), strict=True))
+    own = learned(distinct.where((F.col("c") > 0) & (F.col("word") != F.lit(END))))
+    values = _valued(words, own)
+    docs = blocks.where("numbers is not null").select(F.col("block").alias("own_block"), "ids", "flags", "lengths", "numbers")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        size = right.num_rows
+        counts, lat, at = np.zeros(size, np.int64), np.zeros(size), right["number"].to_numpy()
+        counts[at], lat[at] = right["c"].to_numpy(), right["lattice"].to_numpy()
+        value = [*word_scores(counts, lat, totals), (counts > 0).astype(np.float64)]
         out = []
-        for doc_id, held_out, raw in zip(left["doc_id"], left["held_out"], left["numbers"], strict=True):
-            nums = np.frombuffer(raw, np.uint32)
-            out.append((doc_id, held_out, len(nums), int(known[nums].sum()), n, float(base[nums].sum()), float(model[nums].sum())))
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return frame.astype({"doc_id": "Int64"})
-
-    return docs.groupBy("own_block").cogroup(values.groupBy("block")).applyInPandas(
+        for ids, flags, lengths, numbers in zip(*(left[k].to_pylist() for k in ("ids", "flags", "lengths", "numbers")), strict=True):
+            ids, flags, lengths = np.frombuffer(ids, "<i8"), np.frombuffer(flags, np.uint8), np.frombuffer(lengths, "<u4").astype(np.int64)
+            nums, start = unpacked(numbers, int(lengths.sum())), np.cumsum(lengths) - lengths
+            base, pure, mixed, known = (np.add.reduceat(x[nums], start) for x in value)
+            out.append(
+                pa.table(
+                    {
+                        "doc_id": pa.array(ids, pa.int64(), mask=(flags & 2) > 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": lengths,
+                        "n_known": np.round(known).astype(np.int64), "train_tokens": np.full(len(ids), totals["n"], np.int64),
+                        "base_score": base, "score": pure, "mixed_score": mixed,
+                    }
+                )
+            )
+        return pa.concat_tables(out)
+
+    return docs.groupBy("own_block").cogroup(values.groupBy("block")).applyInArrow(
         run,
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double",
     )

@@ -434,39 +434,74 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len(got) == len(ips) == len({r.new for r in got}) and not {r.new for r in got} & set(ips)
 
 
-def test_lm_scoring(docs, nothing):
-    got = {r.doc_id: r for r in lm_scoring.score_documents(docs).collect()}
-    own = {i * 3: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [""] for i, t in enumerate(TEXTS)}
+def segmentations(own, word):
+    """Probability of a word, summed over all its segmentations one by one."""
+    begin = dict(zip(own.begin.keys.tolist(), np.exp(own.log_begin[:-1]).tolist(), strict=True))
+    inner = dict(zip(own.inner.keys.tolist(), np.exp(own.log_inner[:-1]).tolist(), strict=True))
+
+    def key(b):
+        h = 0
+        for x in b:
+            h = (h * lm_scoring._P + x + 1) % (1 << 64)
+        return h
+
+    def rest(b):
+        return math.exp(own.log_stop) if not b else sum(inner.get(key(b[:i]), 0) * rest(b[i:]) for i in range(1, len(b) + 1))
+
+    return math.exp(own.log_empty) * rest(word) + sum(begin.get(key(word[:i]), 0) * rest(word[i:]) for i in range(1, len(word) + 1))
+
+
+@pytest.mark.parametrize("words_per_block", [50, 1 << 22])
+def test_lm_scoring(spark, docs, nothing, words_per_block, monkeypatch):
+    taught, kept = {}, {}
+    real = lm_scoring.learned
+
+    def learned(words, rounds=lm_scoring.LEARNING_ROUNDS):
+        taught.update({r.word: r.c for r in words.collect()})
+        kept["lattice"] = real(words, rounds)
+        return kept["lattice"]
+
+    monkeypatch.setattr(lm_scoring, "learned", learned)
+    texts = [t if t is None or len(t) < 3000 or " " in t else t[:12] for t in TEXTS]
+    texts[7] = texts[7][:3000]
+    df = spark.createDataFrame([(i * 3, t, 1.0) for i, t in enumerate(texts)] + [(None, "no id", 2.0)], "doc_id long, text string, score double")
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, words_per_block=words_per_block).collect()}
+    texts = {**{i * 3: t for i, t in enumerate(texts)}, None: "no id"}
+    own = {k: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [""] for k, t in texts.items()}
     c = collections.Counter()
     for k, w in own.items():
-        if zlib.crc32(str(k).encode()) % 7 != 2:
+        if k is None or zlib.crc32(str(k).encode()) % 7 != 2:
             c.update(w)
+    assert taught == {w.encode(): n for w, n in c.items() if w}
     n, v = sum(c.values()), len(c)
+    p_end, lat = (c[""] + 1) / (n + 2), kept["lattice"]
+    value = {w: math.log10(segmentations(lat, w.encode()) * (1 - p_end)) if w else math.log10(p_end) for w in set().union(*own.values()) if len(w) < 20}
     for k, w in own.items():
         r = got[k]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert math.isfinite(r.score) and r.score < 0
+        assert math.isfinite(r.mixed_score) and r.mixed_score < 0 and r.held_out == (k is not None and zlib.crc32(str(k).encode()) % 7 == 2)
+        if all(len(x) < 20 for x in w):
+            assert r.score == pytest.approx(sum(value[x] for x in w))
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
-def test_lattice_against_all_segmentations():
+def test_lattice_learns_from_counts():
     own = lm_scoring.lattice()
-    begin = {k: math.exp(w) for k, w in zip(own.begin.keys.tolist(), own.log_begin[:-1], strict=True)}
-    inner = {k: math.exp(w) for k, w in zip(own.inner.keys.tolist(), own.log_inner[:-1], strict=True)}
-
-    def key(b):
-        h = 0
-        for x in b:
-            h = (h * lm_scoring._P + x + 1) % (1 << 64)
-        return h
+    words, times = [b"the", b"of", b"thofof"], np.array([50.0, 7.0, 2.0])
+    counts, one_by_one = own.blank_counts(), own.blank_counts()
+    own.run(words, counts, times)
+    own.run([w for w, n in zip(words, times, strict=True) for _ in range(int(n))], one_by_one)
+    assert np.allclose(counts, one_by_one) and counts[-1] == 59
+    assert np.allclose(sum(len(w) * n for w, n in zip(words, times, strict=True)), 6 * 2 + 50 * 3 + 7 * 2)
+    data = np.array([0, 1, 70_000, 2**32 - 1, 5], np.uint32)
+    assert lm_scoring.unpacked(lm_scoring.packed(data), 5).tolist() == data.tolist()
 
-    def rest(b):
-        return math.exp(own.log_stop) if not b else sum(inner.get(key(b[:i]), 0) * rest(b[i:]) for i in range(1, len(b) + 1))
 
+def test_lattice_against_all_segmentations():
+    own = lm_scoring.lattice()
     for word in (b"the", b"inthe", "né".encode()):
-        total = math.exp(own.log_empty) * rest(word) + sum(begin.get(key(word[:i]), 0) * rest(word[i:]) for i in range(1, len(word) + 1))
-        assert own.run([word])[0] == pytest.approx(math.log10(total))
+        assert own.run([word])[0] == pytest.approx(math.log10(segmentations(own, word)))
 
 
 def test_components(spark):
