@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["components", "doc_text", "let", "materialise", "plus_double", "shared_dir", "table", "tokenizer_path"]
+__all__ = ["components", "doc_text", "let", "materialise", "plus_double", "shared_dir", "spread_join", "table", "tokenizer_path", "unused"]
 
 #: Where the public tokenizer files live; a parameter of every operator that reads one.
 TOKENIZER_PACKAGE = "public_tokenizers"
@@ -39,6 +39,36 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (Spark's names do not tell case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that spread_join broadcasts at most.
+HEAVY_KEYS = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], weight: str, fits: Column | None = None) -> DataFrame:
+    """left joined with right, which has one row for each key and in `weight` how many rows of left have it.
+
+    The HEAVY_KEYS keys of the greatest weight are broadcast; of any other key left holds less than one row in
+    HEAVY_KEYS, so a hot key never meets in one task. fits bounds the rows that may be broadcast, where rows of right
+    have no fixed size. Both are read twice: they should be written tables.
+    """
+    keys = [on] if isinstance(on, str) else on
+    top = right if fits is None else right.where(fits)
+    top = F.broadcast(materialise(top.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS), "heavy"))
+    names = top.select(*keys)
+    rest = left.join(names, keys, "left_anti").join(right.join(names, keys, "left_anti"), keys)
+    return left.join(top, keys).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): connected components of an edge list, named by their smallest node.
 

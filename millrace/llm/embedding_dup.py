@@ -6,13 +6,16 @@ depends on the factor and the dimension. Where estimate plus bound stays below w
 the others are recomputed exactly, in double precision.
 
 Candidates share a band of sign bits. Bands are as long as the logarithm of the number of vectors and as many as a
-pair at the threshold needs to be met with probability RECALL. Dense groups are collapsed first: vectors within BALL
-degrees of the first vector of their bucket are one ball. A ball's vectors are all linked; two balls are linked or
-apart as a whole by the angle of their centres and their radii, and only balls at the threshold are compared vector by
-vector. So a group of copies costs its size, not its square.
+pair at the threshold needs to be met with probability RECALL. Dense groups are collapsed first, to balls: vectors
+within half the threshold's angle of a centre, so that all vectors of a ball are linked. A vector's centre is found by
+BALL_KEYS short keys: in each bucket the best centre is the one whose vector shares most buckets with others, and a second
+round passes it on to those that only share a bucket with one of its members. Two balls are linked or apart as a whole by
+the angle of their centres and their radii, and only balls at the threshold are compared vector by vector. So a group of
+near copies costs its size, not its square.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components link with nothing, nor do
-vectors of different length; of rows that repeat an id the smallest vector counts; rows without an id are left out.
+vectors of different length; of rows that repeat an id the smallest vector counts; rows without an id are left out; other
+columns are ignored, whatever their names; long vectors are taken whole (more than 65,535 components are refused).
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialise
+from ._common import components, materialise, spread_join
 
 THRESHOLD = 0.9
 RECALL = 0.999
-BALL = 5.0
-BALL_BITS = 24
+BALL_BITS = 16
+BALL_KEYS = 4
+BALL_ROUNDS = 2
 CODES = 4
 BOUND = 4.0
 SEED = 11
@@ -55,12 +59,14 @@ def band_shape(n: int, threshold: float, recall: float = RECALL) -> tuple[int, i
 
 def _hashed(bits: np.ndarray, dim: int) -> np.ndarray:
     """(rows, groups, width) of 0 / 1 to one long for each group, apart for each group and dim."""
+    if dim >= 1 << 16:
+        raise ValueError("vectors of more than 65,535 components")
     value = (bits.astype(np.int64) << np.arange(bits.shape[2], dtype=np.int64)).sum(axis=2)
-    return value | (np.arange(bits.shape[1], dtype=np.int64) << 31) | (np.int64(dim % 4096) << 48)
+    return value | (np.arange(bits.shape[1], dtype=np.int64) << 31) | (np.int64(dim) << 46)
 
 
 def coded(embeddings: DataFrame, bits: int, n_bands: int) -> DataFrame:
-    """vec_id, unit vector, codes, factors, ball key and band keys of all usable vectors."""
+    """vec_id, unit vector, codes, factors, ball keys and band keys of all usable vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
@@ -73,7 +79,7 @@ def coded(embeddings: DataFrame, bits: int, n_bands: int) -> DataFrame:
                 for dim, own in by_dim.items():
                     n_rot = max(CODES + 1, 1 + -(-bits * n_bands // dim))
                     if dim not in turned:
-                        turned[dim] = rotations(dim, n_rot + -(-BALL_BITS // dim))
+                        turned[dim] = rotations(dim, n_rot + -(-BALL_BITS * BALL_KEYS // dim))
                     x = np.array([v for _, v in own], np.float64)
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     y = unit @ turned[dim]
@@ -81,20 +87,20 @@ def coded(embeddings: DataFrame, bits: int, n_bands: int) -> DataFrame:
                     head = sign[:, : CODES * dim]
                     factor = np.abs(y[:, : CODES * dim]).reshape(len(own), CODES, dim).sum(axis=2) / math.sqrt(dim)
                     keys = _hashed(sign[:, : bits * n_bands].reshape(len(own), n_bands, bits), dim)
-                    ball = _hashed(sign[:, None, -BALL_BITS:], dim)[:, 0]
+                    balls = _hashed(sign[:, -BALL_BITS * BALL_KEYS :].reshape(len(own), BALL_KEYS, BALL_BITS), dim)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([i for i, _ in own], pa.int64()),
                             pa.array([u.tobytes() for u in unit], pa.binary()),
                             pa.array([c.tobytes() for c in np.packbits(head, axis=1)], pa.binary()),
                             pa.array([f.tobytes() for f in factor], pa.binary()),
-                            pa.array(ball, pa.int64()),
+                            pa.array(list(balls), pa.list_(pa.int64())),
                             pa.array(list(keys), pa.list_(pa.int64())),
                         ],
-                        ["vec_id", "unit", "code", "factor", "ball_key", "keys"],
+                        ["vec_id", "unit", "code", "factor", "ball_keys", "keys"],
                     )
 
-    return embeddings.mapInArrow(run, "vec_id long, unit binary, code binary, factor binary, ball_key long, keys array<long>")
+    return embeddings.mapInArrow(run, "vec_id long, unit binary, code binary, factor binary, ball_keys array<long>, keys array<long>")
 
 
 def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -148,6 +154,37 @@ def plausible(pairs: DataFrame, theta: float) -> DataFrame:
     return pairs.select("a", "b", "reach", "code", "factor", "unit").mapInArrow(run, "a long, b long, reach double")
 
 
+def in_balls(vectors: DataFrame, theta: float) -> DataFrame:
+    """vec_id, ball (the id of its centre, its own if it has none) and angle to the centre, at most theta / 2."""
+    keyed = vectors.select("vec_id", F.explode("ball_keys").alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "ball_sizes")
+    met = materialise(spread_join(keyed, shared, "key", "n"), "ball_keys")
+    degree = met.groupBy("vec_id").agg(F.sum("n").alias("degree"))
+    start = vectors.select("vec_id").join(degree, "vec_id", "left")
+    members = start.select("vec_id", F.col("vec_id").alias("ball"), F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0.0).alias("angle"))
+    inside = F.col("cosine") >= math.cos(theta / 2 - 1e-6)
+    for _ in range(BALL_ROUNDS):
+        members = materialise(members, "members")
+        centre = F.struct("degree", (-F.col("ball")).alias("ball"))
+        best = met.select("vec_id", "key").join(members, "vec_id").groupBy("key").agg(F.max(centre).alias("_c"), F.count("*").alias("n"))
+        best = materialise(best.select("key", (-F.col("_c.ball")).alias("to"), F.col("_c.degree").alias("to_degree"), "n"), "best")
+        offers = spread_join(met.select("vec_id", "key"), best.where("n > 1"), "key", "n").select("vec_id", "to", "to_degree").distinct()
+        better = (F.col("to_degree") > F.col("degree")) | ((F.col("to_degree") == F.col("degree")) & (F.col("to") < F.col("ball")))
+        offers = materialise(offers.join(members.select("vec_id", "ball", "degree"), "vec_id").where(better).select("vec_id", "to", "to_degree"), "offers")
+        asked = offers.groupBy("to").agg(F.count("*").alias("n"))
+        asked = asked.join(vectors.select(F.col("vec_id").alias("to"), F.col("unit").alias("other")), "to")
+        tried = offers.join(vectors.select("vec_id", "unit"), "vec_id").select("vec_id", "to", "to_degree", "unit")
+        tried = spread_join(materialise(tried, "tried"), materialise(asked, "asked"), "to", "n", F.length("other") <= 1 << 16)
+        tried = _with_cosine(tried.select("vec_id", "to", "to_degree", "unit", "other"), "unit", "other").where(inside)
+        angle = F.acos(F.least(F.col("cosine"), F.lit(1.0)))
+        chosen = tried.groupBy("vec_id").agg(F.max(F.struct("to_degree", (-F.col("to")).alias("to"), angle.alias("angle"))).alias("_b"))
+        new = lambda own, c: F.when(F.col("_b").isNull(), F.col(own)).otherwise(c).alias(own)
+        members = members.join(chosen, "vec_id", "left").select(
+            "vec_id", new("ball", -F.col("_b.to")), new("degree", F.col("_b.to_degree")), new("angle", F.col("_b.angle"))
+        )
+    return materialise(members.select("vec_id", "ball", "angle"), "members")
+
+
 def linked_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector."""
     theta = math.acos(threshold)
@@ -157,20 +194,11 @@ def linked_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataF
     usable = rows.where(F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
     bits, n_bands = band_shape(usable.count(), threshold)
     vectors = materialise(coded(usable, bits, n_bands), "codes")
-    first = vectors.groupBy("ball_key").agg(F.min(F.struct("vec_id", "unit")).alias("_c"))
-    near = vectors.select("vec_id", "unit", "ball_key").join(first, "ball_key")
-    near = _with_cosine(near.select("vec_id", F.col("_c.vec_id").alias("centre"), "unit", F.col("_c.unit").alias("other")), "unit", "other")
-    inside = F.col("cosine") >= math.cos(math.radians(BALL))
-    angle = F.acos(F.least(F.col("cosine"), F.lit(1.0)))
-    members = materialise(
-        near.select("vec_id", F.when(inside, F.col("centre")).otherwise(F.col("vec_id")).alias("ball"), F.when(inside, angle).otherwise(0.0).alias("angle")),
-        "members",
-    )
+    members = in_balls(vectors, theta)
     # Angles near zero carry the rounding error of the arc cosine.
-    balls = materialise(
-        members.groupBy("ball").agg(F.count("*").alias("size"), F.when(F.count("*") > 1, F.max("angle") + 1e-6).otherwise(0.0).alias("radius")),
-        "balls",
-    )
+    alone = F.max((F.col("ball") != F.col("vec_id")).cast("int")) == 0
+    radius = F.when(alone, 0.0).otherwise(F.max("angle") + 1e-6).alias("radius")
+    balls = materialise(members.groupBy("ball").agg(F.count("*").alias("size"), F.min("vec_id").alias("lowest"), radius), "balls")
     keyed = vectors.select("vec_id", F.explode("keys").alias("key")).join(members.select("vec_id", "ball"), "vec_id")
     keyed = materialise(keyed.select("key", "ball").distinct(), "keys")
     pairs = keyed.select("key", F.col("ball").alias("a")).join(keyed.select("key", F.col("ball").alias("b")), "key")
@@ -204,13 +232,20 @@ def linked_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataF
     each = materialise(each.select("a", "b", "x", "y"), "each")
     singly = each.select("x").unionByName(each.select(F.col("y").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
     named = components(whole.select("a", "b").unionByName(each.select("a", "b").distinct()))
-    links = (
-        members.join(balls.select("ball", "size"), "ball")
+    # A component is named by its smallest vector.
+    named = materialise(balls.join(named.withColumnRenamed("node", "ball"), "ball", "left").select("ball", "lowest", F.coalesce("component", "ball").alias("component")), "named")
+    named = named.select("ball", "component").join(named.groupBy("component").agg(F.min("lowest").alias("lowest")), "component")
+    by_ball = (
+        balls.select("ball", "size")
         .join(from_balls.select(F.col("a").alias("ball"), F.col("n").alias("n_balls")), "ball", "left")
+        .join(named.select("ball", F.col("lowest").alias("component")), "ball", "left")
+    )
+    by_ball = materialise(by_ball, "by_ball")
+    links = (
+        spread_join(members, by_ball, "ball", "size")
         .join(singly.select(F.col("x").alias("vec_id"), F.col("n").alias("n_each")), "vec_id", "left")
-        .join(named.select(F.col("node").alias("ball"), "component"), "ball", "left")
         .select("vec_id", (F.col("size") - 1 + F.coalesce("n_balls", F.lit(0)) + F.coalesce("n_each", F.lit(0))).alias("n_links"),
-                F.coalesce("component", "ball").alias("component_id"))
+                F.col("component").alias("component_id"))
     )
     return rows.select("vec_id").join(links, "vec_id", "left").select(
         "vec_id",

@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import doc_text, let, materialise
+from ._common import doc_text, let, materialise, spread_join
 
 BITS = 128
 WORD_RUN = 3
@@ -29,7 +29,7 @@ WORD_RUN = 3
 #: with two differing bits of a block.
 RADIUS = 23
 #: Text that one bucket of neighbouring documents holds.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 _HALF = 0x0000_0001_0000_0001
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -216,11 +216,17 @@ def fingerprint_documents(documents: DataFrame, radius: int = RADIUS, query_ever
         .agg(F.min(F.struct("f0", "f1")).alias("_n"))
         .select(F.col("doc_id").alias("next_id"), F.col("_n.f0").alias("n0"), F.col("_n.f1").alias("n1"))
     )
-    near = within_radius(wide.select("f0", "f1"), wide.where(F.col("doc_id") % query_every == 0), radius)
+    asked = F.col("doc_id") % query_every == 0
+    near = within_radius(wide.select("f0", "f1"), wide.where(asked), radius)
+    named = wide.where(asked).select("doc_id", "f0", "f1", "text_sha").distinct()
+    copies = named.groupBy("f0", "f1").agg(F.count("*").alias("copies"))
+    near = materialise(near.join(copies, ["f0", "f1"]), "near")
+    short = F.size("near") <= 1000
+    near = spread_join(named, near, ["f0", "f1"], "copies", short).select("doc_id", "text_sha", "n_within", "near")
     f = [F.col("f0"), F.col("f1")]
     return (
         wide.join(following, "next_id", "left")
-        .join(near, ["f0", "f1"], "left")
+        .join(near, ["doc_id", "text_sha"], "left")
         .select(
             "doc_id",
             "n_chars",
@@ -229,7 +235,7 @@ def fingerprint_documents(documents: DataFrame, radius: int = RADIUS, query_ever
             as_hex("e0", "e1").alias("edited_fingerprint"),
             likeness(f, [F.col("e0"), F.col("e1")]).alias("near_edited"),
             likeness(f, [F.col("n0"), F.col("n1")]).alias("near_next"),
-            F.when(F.col("doc_id") % query_every == 0, F.col("n_within") - 1).alias("n_within_radius"),
-            F.when(F.col("doc_id") % query_every == 0, F.col("near")).alias("near_fingerprints"),
+            (F.col("n_within") - 1).alias("n_within_radius"),
+            F.col("near").alias("near_fingerprints"),
         )
     )

@@ -14,7 +14,9 @@ differ by what their differences to the bucket's leader do not share, so those t
 these differences (a prefix filter that loses no pair). Bands miss a pair of similarity 0.8 with a probability of 3e-5.
 
 Defined cases: null text counts as empty; texts without a word link with nothing; rows that repeat an id count as one
-document; rows without an id are left out; ties go to the smaller id.
+document; rows without an id are left out; ties go to the smaller id; very long texts are taken whole, in slices of a
+megabyte; other columns of the input are ignored by near_duplicates and kept by without_near_duplicates, whatever their
+names and types.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, doc_text, materialise
+from ._common import components, doc_text, materialise, spread_join, unused
 
 RUN = 5
 THRESHOLD = 0.8
@@ -260,19 +262,22 @@ def apart_pairs(differ: DataFrame, placed: DataFrame, threshold: float = THRESHO
         .select("leader", "rep", "group", "size", "n_differ", (F.col("n_common") - F.col("at")).alias("left"), F.col("one.part").alias("part"))
     )
     first = materialise(first, "first")
+    # Pairs of one group are never made: the groups that meet are paired first, then their documents.
+    met = first.select("leader", "part", "group").distinct()
+    met = met.join(met.groupBy("leader", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["leader", "part"])
+    met = materialise(met, "met_groups")
+    groups = met.join(met.withColumnRenamed("group", "group_2"), ["leader", "part"]).where(F.col("group") < F.col("group_2"))
     other = first.select("leader", "part", *[F.col(c).alias(f"{c}_2") for c in ("rep", "group", "size", "n_differ", "left")])
+    pairs = groups.join(first, ["leader", "part", "group"]).join(other, ["leader", "part", "group_2"])
     # What a linked pair shares lies, from its first shared difference on, among what is left of both.
     shared = (F.col("n_differ") + F.col("n_differ_2") - r * (F.col("size") + F.col("size_2"))) / 2
     return (
-        first.join(other, ["leader", "part"])
-        .where(
-            (F.col("rep") < F.col("rep_2"))
-            & (F.col("group") != F.col("group_2"))
-            & (F.least("size", "size_2") >= threshold * F.greatest("size", "size_2") - 1e-9)
+        pairs.where(
+            (F.least("size", "size_2") >= threshold * F.greatest("size", "size_2") - 1e-9)
             & (F.abs(F.col("n_differ") - F.col("n_differ_2")) <= r * (F.col("size") + F.col("size_2")) + 1e-9)
             & (F.least("left", "left_2") >= shared - 1e-9)
         )
-        .select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
+        .select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
         .distinct()
     )
 
@@ -281,7 +286,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     """doc_id, class_id (smallest id of its group of near copies), group_size, kept (it is that id)."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_text().alias("text")).where("doc_id is not null")
     rows = materialise(signed(docs), "signed")
-    classes = rows.where("bands is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = rows.where("bands is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = materialise(classes, "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     banded = banded.select("rep", F.xxhash64("band", "value").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -309,16 +315,24 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     if not apart.isEmpty():
         more = materialise(verified(apart, docs), "checked2").where(F.col("similarity") >= threshold).select("a", "b")
         group = materialise(components(links.unionByName(more)), "group2")
-    reps = classes.select("sha", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("sha", F.coalesce("component", "rep").alias("class_id"))
-    named = rows.select("doc_id", "sha", F.col("bands").isNull().alias("_blank")).join(reps, "sha", "left")
-    named = named.groupBy("doc_id").agg(F.min(F.when(F.col("_blank"), F.col("doc_id")).otherwise(F.col("class_id"))).alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("group_size"))
-    return named.join(sizes, "class_id").select("doc_id", "class_id", "group_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    reps = classes.select("sha", "rep", "copies").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    reps = materialise(reps.select("sha", "copies", F.coalesce("component", "rep").alias("class_id")), "reps")
+    named = spread_join(rows.where("bands is not null").select("doc_id", "sha"), reps, "sha", "copies").select("doc_id", "class_id")
+    blank = rows.where("bands is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    named = materialise(named.unionByName(blank).groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "named")
+    sizes = materialise(named.groupBy("class_id").agg(F.count("*").alias("group_size")), "sizes")
+    kept = (F.col("doc_id") == F.col("class_id")).alias("kept")
+    return spread_join(named, sizes, "class_id", "group_size").select("doc_id", "class_id", "group_size", kept)
 
 
 def without_near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each group of near copies; rows without an id stay."""
-    found = near_duplicates(documents, threshold).where("not kept").select(F.col("doc_id").alias("_gone"))
-    stay = documents.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return stay.dropDuplicates(documents.columns)
+    """One row of each group of near copies: its smallest id, of rows that repeat this id the one with the smallest text;
+    rows without an id stay. Texts are dealt out only for ids that repeat."""
+    gone_id, row = unused(documents.columns, "_gone", "_row")
+    found = near_duplicates(documents, threshold).where("not kept").select(F.col("doc_id").alias(gone_id))
+    same = F.col("doc_id").cast("bigint") == F.col(gone_id)
+    stay = documents.join(found, same, "left_anti")
+    ids = documents.select(F.col("doc_id").cast("bigint").alias(gone_id))
+    repeated = materialise(ids.where(F.col(gone_id).isNotNull()).groupBy(gone_id).agg(F.count("*").alias("_n")).where("_n > 1").select(gone_id), "repeated")
+    one = stay.join(repeated, same).groupBy(gone_id).agg(F.min_by(F.struct(*documents.columns), doc_text()).alias(row)).select(f"{row}.*")
+    return stay.join(repeated, same, "left_anti").unionByName(one)

@@ -31,10 +31,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the dealt columns: limit, the threshold of the document's language, and whether the score reaches it."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model, _ = toxicity.fit(documents, labels.where(~held_out()))
-    scored = toxicity.with_scores(documents.select("doc_id", "text"), model, keep=["doc_id"])
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+    model, limits = toxicity.fit(documents, labels.where(~held_out()))
+    scored = toxicity.with_scores(documents.select("doc_id", "text", "lang"), model, keep=["doc_id", "lang"])
+    predicted = (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
+    limit = toxicity.limit_of(F.col("lang"), limits).alias("limit")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, limit, toxicity.toxic_flag(F.col("score"), F.col("lang"), limits).alias("toxic_by_lang"))
 
 
 def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +64,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("_row")
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+#: The key of the registered query alone; a user's own key is secret and comes from the user.
+PII_KEY = "key of the registered query"
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents"))
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
