@@ -262,22 +262,22 @@ def apart_pairs(differ: DataFrame, placed: DataFrame, threshold: float = THRESHO
         .select("leader", "rep", "group", "size", "n_differ", (F.col("n_common") - F.col("at")).alias("left"), F.col("one.part").alias("part"))
     )
     first = materialise(first, "first")
-    # Pairs of one group are never made: the groups that meet are paired first, then their documents.
-    met = first.select("leader", "part", "group").distinct()
-    met = met.join(met.groupBy("leader", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["leader", "part"])
-    met = materialise(met, "met_groups")
-    groups = met.join(met.withColumnRenamed("group", "group_2"), ["leader", "part"]).where(F.col("group") < F.col("group_2"))
+    # Differences that only one group has make no pair.
+    several = first.groupBy("leader", "part").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    first = materialise(first.join(several, ["leader", "part"], "left_semi"), "several")
     other = first.select("leader", "part", *[F.col(c).alias(f"{c}_2") for c in ("rep", "group", "size", "n_differ", "left")])
-    pairs = groups.join(first, ["leader", "part", "group"]).join(other, ["leader", "part", "group_2"])
     # What a linked pair shares lies, from its first shared difference on, among what is left of both.
     shared = (F.col("n_differ") + F.col("n_differ_2") - r * (F.col("size") + F.col("size_2"))) / 2
     return (
-        pairs.where(
-            (F.least("size", "size_2") >= threshold * F.greatest("size", "size_2") - 1e-9)
+        first.join(other, ["leader", "part"])
+        .where(
+            (F.col("rep") < F.col("rep_2"))
+            & (F.col("group") != F.col("group_2"))
+            & (F.least("size", "size_2") >= threshold * F.greatest("size", "size_2") - 1e-9)
             & (F.abs(F.col("n_differ") - F.col("n_differ_2")) <= r * (F.col("size") + F.col("size_2")) + 1e-9)
             & (F.least("left", "left_2") >= shared - 1e-9)
         )
-        .select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
+        .select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
         .distinct()
     )
 
