@@ -93,25 +93,36 @@ def url_params(c: Column, key: str) -> Column:
     return F.map_from_entries(F.concat(head, joined))
 
 
-#: Keys and values of `key=value` text: a value runs up to the next key.
-KEY_VALUE = r'([^\s="]+)\s*=\s*("[^"]*"|[^="]*?)(?=\s+[^\s="]+\s*=|\s*$)'
+def key_values(c: Column, splitter: str = "=") -> Column:
+    """Ordered array of (key, value) of key=value text, quotes taken off; null where a key is missing.
 
-
-def key_values(c: Column) -> Column:
-    """Ordered array of (key, value) of key=value text, quotes taken off; null where a key is missing."""
-    text = F.trim(F.regexp_replace(c, r"[\r\n]+", " "))
-    found_k = F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(1))
-    found_v = F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(2))
-    pairs = F.zip_with(found_k, found_v, lambda k, v: F.struct(k.alias("key"), F.btrim(F.trim(v), F.lit('"')).alias("value")))
-    return F.when(F.regexp_like(text, F.lit(r'^[^\s="]+\s*=')) & (F.size(pairs) > 0), pairs)
+    One search marks the keys (a value in quotes is taken with its key), two splits part them. A value runs up to the
+    next key and may hold blanks. The control characters U+0001 and U+0002 count as blanks.
+    """
+    text = F.trim(F.translate(c, "\r\n\u0001\u0002", "    "))
+    stop, sep = re.escape(splitter[0]), re.escape(splitter)
+    marked = F.regexp_replace(text, rf'(?:^|\s+)([^\s"{stop}]+)\s*{sep}\s*((?:"[^"]*")?)', "\u0001$1\u0002$2")
+    items = F.slice(F.split(marked, "\u0001", -1), 2, 1 << 30)
+    pairs = F.transform(
+        items,
+        lambda x: F.struct(
+            F.substring_index(x, "\u0002", 1).alias("key"),
+            F.btrim(F.trim(F.substring(x, F.instr(x, "\u0002") + 1, F.length(x))), F.lit('"')).alias("value"),
+        ),
+    )
+    return F.when(marked.startswith("\u0001"), pairs)
 
 
 def last_of_each(pairs: Column) -> Column:
     """Map of ordered (key, value) pairs; the last value of a repeated key stays."""
-    names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_entries(
-        F.transform(names, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")))
-    )
+
+    def to_map(p: Column) -> Column:
+        keys = p["key"]
+        # Mostly no key repeats: then the pairs are the map.
+        last = F.filter(p, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), p).otherwise(last))
+
+    return F.element_at(F.transform(F.array(pairs), to_map), 1)
 
 
 def ipv4_text(c: Column) -> Column:

@@ -42,8 +42,10 @@ def access_lines(spark, sf_dir: str) -> DataFrame:
     return e.select(F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value"))
 
 
+ACCESS = {"ACCESS": r'%{IPORHOST:clientip} %{USER:ident} %{USER:auth} \[%{HTTPDATE:ts:date}\] "(?:%{WORD:verb} %{NOTSPACE:request}(?: HTTP/%{NUMBER:httpversion})?|%{DATA:rawrequest})" %{NUMBER:response:long} (?:%{NUMBER:bytes:long}|-)'}
+
 SPEC = {
-    "parser": {"type": "grok", "patterns": ["^%{COMMONAPACHELOG}$"]},
+    "parser": {"type": "grok", "patterns": ["^%{ACCESS}$"], "custom": ACCESS},
     "tags": {"env": "test"},
     "transforms": [
         {"type": "filter", "keys": ["request"], "pattern": "^/"},

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import with_error
 from ..functions import dates, text
+from . import grok_library
 
 LINE = "value"
 
@@ -105,28 +106,41 @@ def _colons(ddl: str) -> str:
     return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
 
 
-#: Pattern definitions; users add their own.
-GROK = {
-    "USERNAME": r"[a-zA-Z0-9._-]+", "USER": "%{USERNAME}", "INT": r"[+-]?[0-9]+", "BASE10NUM": r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)",
-    "NUMBER": "%{BASE10NUM}", "POSINT": r"\b[1-9][0-9]*\b", "NONNEGINT": r"\b[0-9]+\b", "WORD": r"\b\w+\b", "NOTSPACE": r"\S+", "SPACE": r"\s*",
-    "DATA": r".*?", "GREEDYDATA": r".*", "QUOTEDSTRING": r"\"(?:\\.|[^\\\"])*\"|'(?:\\.|[^\\'])*'", "QS": "%{QUOTEDSTRING}",
-    "UUID": r"[A-Fa-f0-9]{8}-(?:[A-Fa-f0-9]{4}-){3}[A-Fa-f0-9]{12}", "MAC": r"(?:[A-Fa-f0-9]{2}[:-]){5}[A-Fa-f0-9]{2}",
-    "IPV4": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)", "IPV6": r"[0-9A-Fa-f:]*:[0-9A-Fa-f:.]+", "IP": "(?:%{IPV6}|%{IPV4})",
-    "HOSTNAME": r"\b[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62})*\.?\b", "HOST": "%{HOSTNAME}", "IPORHOST": "(?:%{IP}|%{HOSTNAME})",
-    "HOSTPORT": "%{IPORHOST}:%{POSINT}", "PATH": r"(?:/[^\s?*]*)+", "URIPROTO": r"[A-Za-z]+(?:\+[A-Za-z+]+)?", "URIHOST": "%{IPORHOST}(?::%{POSINT})?",
-    "URIPATH": r"(?:/[^\s?#]*)+", "URIPARAM": r"\?[^\s#]*", "URIPATHPARAM": "%{URIPATH}(?:%{URIPARAM})?", "URI": "%{URIPROTO}://(?:%{USER}@)?%{URIHOST}(?:%{URIPATHPARAM})?",
-    "MONTH": r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\b", "MONTHNUM": r"(?:0?[1-9]|1[0-2])", "MONTHDAY": r"(?:0[1-9]|[12][0-9]|3[01]|[1-9])",
-    "DAY": r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*", "YEAR": r"(?:\d\d){1,2}", "HOUR": r"(?:2[0123]|[01]?[0-9])", "MINUTE": r"[0-5][0-9]", "SECOND": r"(?:[0-5]?[0-9]|60)(?:[:.,][0-9]+)?",
-    "TIME": "%{HOUR}:%{MINUTE}(?::%{SECOND})?", "ISO8601_TIMEZONE": r"(?:Z|[+-]\d\d:?\d\d)", "TIMESTAMP_ISO8601": "%{YEAR}-%{MONTHNUM}-%{MONTHDAY}[T ]%{HOUR}:?%{MINUTE}(?::?%{SECOND})?%{ISO8601_TIMEZONE}?",
-    "HTTPDATE": "%{MONTHDAY}/%{MONTH}/%{YEAR}:%{TIME} %{INT}", "SYSLOGTIMESTAMP": "%{MONTH} +%{MONTHDAY} %{TIME}", "PROG": r"[\w._/%-]+", "LOGLEVEL": r"(?i:trace|debug|notice|info|warn(?:ing)?|err(?:or)?|crit(?:ical)?|fatal|severe|emerg(?:ency)?|alert)",
-    "COMMONAPACHELOG": r'%{IPORHOST:clientip} %{NOTSPACE:ident} %{NOTSPACE:auth} \[%{HTTPDATE:ts:date}\] "(?:%{WORD:verb} %{NOTSPACE:request}(?: HTTP/%{NUMBER:httpversion})?|%{DATA:rawrequest})" %{NUMBER:response:long} (?:%{NUMBER:bytes:long}|-)',
-    "COMBINEDAPACHELOG": "%{COMMONAPACHELOG} %{QS:referrer} %{QS:agent}",
-}
-
-
-def compile_grok(pattern: str, custom: dict[str, str] | None = None) -> tuple[str, list[tuple[str, str]]]:
+#: Separates the captures of one match; in a line it counts as a blank.
+_MARK = "\u0001"
+
+
+def without_captures(pattern: str) -> str:
+    """The pattern with all its groups made non-capturing. In character classes and escapes brackets stay; a [ in a class
+    is itself, where Java would open another one."""
+    out, at, opened = [], 0, -1
+    while at < len(pattern):
+        ch, step = pattern[at], 1
+        piece = ch
+        if ch == "\\":
+            piece, step = pattern[at : at + 2], 2
+        elif opened >= 0:
+            first = at == opened + 1 or (at == opened + 2 and pattern[at - 1] == "^")
+            if ch == "[":
+                piece = "\\["
+            elif ch == "]" and first:
+                piece = "\\]"
+            elif ch == "]":
+                opened = -1
+        elif ch == "[":
+            opened = at
+        elif ch == "(":
+            named = re.match(r"\(\?P?<\w+>", pattern[at:])
+            if named or pattern[at + 1 : at + 2] != "?":
+                piece, step = "(?:", len(named[0]) if named else 1
+        out.append(piece)
+        at += step
+    return "".join(out)
+
+
+def compile_grok(pattern: str, custom: dict[str, str] | None = None, files: list[str] = ()) -> tuple[str, list[tuple[str, str]]]:
     """One Java regex, and (field, modifier) of each of its groups in order."""
-    library, fields = GROK | (custom or {}), []
+    known, fields = grok_library.library(files) | (custom or {}), []
 
     def expand(p: str, depth: int = 0) -> str:
         if depth > 30:
@@ -134,46 +148,62 @@ def compile_grok(pattern: str, custom: dict[str, str] | None = None) -> tuple[st
 
         def one(m: re.Match) -> str:
             name, field, modifier = (m[1].split(":") + ["", ""])[:3]
-            if name not in library:
+            if name not in known:
                 raise ValueError(f"unknown pattern {name}")
             if field and modifier != "drop":
-                fields.append((field, modifier or "string"))
-                return f"({expand(library[name], depth + 1)})"
-            return f"(?:{expand(library[name], depth + 1)})"
+                fields.append((field, {"int": "long"}.get(modifier, modifier) or "string"))
+                return f"({expand(known[name], depth + 1)})"
+            return f"(?:{expand(known[name], depth + 1)})"
 
-        return re.sub(r"%\{([^}]+)\}", one, re.sub(r"(?<!\\)\((?!\?)", "(?:", re.sub(r"\(\?P?<\w+>", "(", p)))
+        return re.sub(r"%\{([^}]+)\}", one, without_captures(p))
 
     return expand(pattern), fields
 
 
+def with_captures(df: DataFrame, patterns: list[str], n_groups: list[int], line: Column, out: str = "_cap") -> DataFrame:
+    """df with `out`: (which pattern matched first, its captures), null if none did. Each pattern is matched once a line."""
+    clean = F.translate(line, _MARK, " ")
+    df = df.withColumn("_clean", clean)
+    for k, (rx, n) in enumerate(zip(patterns, n_groups, strict=True)):
+        shape = _MARK + str(k) + "".join(f"{_MARK}${i + 1}" for i in range(n))
+        marked = F.regexp_replace(F.col("_clean"), F.lit(rf"^[\s\S]*?(?:{rx})[\s\S]*\z"), F.lit(shape))
+        # A line that one pattern marked begins with the mark: no other is tried.
+        df = df.withColumn("_clean", marked if k == 0 else F.when(F.col("_clean").startswith(_MARK), F.col("_clean")).otherwise(marked))
+    return df.withColumn(out, F.when(F.col("_clean").startswith(_MARK), F.split(F.col("_clean"), _MARK, -1))).drop("_clean")
+
+
 def _captured(df: DataFrame, compiled: list[tuple[str, list[tuple[str, str]]]], op: str, labels, override: bool, keep_raw: bool, offset_hours: int, numbers_dash: bool = False) -> DataFrame:
     """Columns of the first regex that matches; empty captures and failed casts are null."""
     kinds: dict[str, str] = {}
     for _, fields in compiled:
         for name, kind in fields:
             kinds.setdefault(name, kind)
-    hits = [F.regexp_like(LINE, F.lit(rx)) for rx, _ in compiled]
+    df = with_captures(df, [rx for rx, _ in compiled], [len(fields) for _, fields in compiled], F.col(LINE))
     columns = []
     for name, kind in kinds.items():
         value = None
-        for (rx, fields), hit in reversed(list(zip(compiled, hits, strict=True))):
-            places = [i + 1 for i, (n, _) in enumerate(fields) if n == name]
-            own = F.coalesce(*[F.nullif(F.btrim(F.regexp_extract(LINE, rx, i), F.lit(' "')), F.lit("")) for i in places]) if places else F.lit(None).cast("string")
-            value = F.when(hit, own) if value is None else F.when(hit, own).otherwise(value)
+        for k, (_, fields) in reversed(list(enumerate(compiled))):
+            places = [i + 2 for i, (n, _) in enumerate(fields) if n == name]
+            own = F.coalesce(*[F.nullif(F.btrim(F.get("_cap", F.lit(i)), F.lit(' "')), F.lit("")) for i in places]) if places else F.lit(None).cast("string")
+            value = own if len(compiled) == 1 else F.when(F.get("_cap", F.lit(1)) == str(k), own).otherwise(value if value is not None else F.lit(None).cast("string"))
         if numbers_dash and kind in ("long", "float"):
             value = F.when(value == "-", F.lit("0")).otherwise(value)
-        columns.append(_typed(value, kind, offset_hours).alias(name))
-    df = df.select("*", *columns, reduce(lambda a, b: a | b, hits).alias("_hit"))
-    df = _failed(df, ~F.coalesce(F.col("_hit"), F.lit(False)), op, "no pattern matches", keep_raw).drop("_hit")
+        columns.append((name, kind, value))
+    others = [c for c in df.columns if c not in ("_cap", *kinds)]
+    df = df.select(*others, *[v.alias(n) for n, _, v in columns], F.col("_cap").isNotNull().alias("_hit"))
+    df = df.withColumns({n: _typed(F.col(f"`{n}`"), kind, offset_hours) for n, kind, _ in columns if kind != "string"})
+    df = _failed(df, ~F.col("_hit"), op, "no pattern matches", keep_raw).drop("_hit")
     return _labels(df, labels, override)
 
 
-def grok(df: DataFrame, patterns: list[str], custom: dict[str, str] | None = None, multi: bool = False, labels: dict | None = None, keep_raw: bool = False, offset_hours: int = 0) -> DataFrame:
-    """First matching pattern wins; modifiers long, float, string, date, drop."""
+def grok(df: DataFrame, patterns: list[str], custom: dict[str, str] | None = None, multi: bool = False, labels: dict | None = None, keep_raw: bool = False,
+         offset_hours: int = 0, pattern_files: list[str] = ()) -> DataFrame:
+    """First matching pattern wins; modifiers long (or int), float, string, date, drop. pattern_files: libraries beside the
+    core, on the driver."""
     df = _lines(df)
     if multi:
         df = df.withColumn(LINE, F.regexp_replace(LINE, r"[\r\n]+", " "))
-    return _captured(df, [compile_grok(p, custom) for p in patterns], "grok", labels, False, keep_raw, offset_hours)
+    return _captured(df, [compile_grok(p, custom, pattern_files) for p in patterns], "grok", labels, False, keep_raw, offset_hours)
 
 
 def log_format_regex(log_format: str) -> tuple[str, list[str]]:
@@ -201,10 +231,18 @@ def access_log(df: DataFrame, log_format: str, types: dict[str, str] | None = No
     return _captured(_lines(df), [(rx, fields)], "nginx", labels, True, False, offset_hours, True)
 
 
-def key_value(df: DataFrame, out: str = "fields", labels: dict | None = None) -> DataFrame:
-    """key=value lines to a map column; a missing key is an error."""
-    pairs = text.key_values(F.col(LINE))
+def key_value(df: DataFrame, out: str = "fields", labels: dict | None = None, splitter: str = "=", typed: dict[str, str] | None = None, keep_string: bool = False) -> DataFrame:
+    """key=value lines to a map column; a missing key is an error.
+
+    typed: columns of requested keys, as long, float, bool, date or string; keep_string leaves all of them text.
+    """
+    pairs = text.key_values(F.col(LINE), splitter)
     df = _failed(_lines(df).withColumn(out, text.last_of_each(pairs)), F.col(out).isNull(), "kv", "no key=value")
+    for name, kind in (typed or {}).items():
+        c = F.try_element_at(F.col(out), F.lit(name))
+        if not keep_string:
+            c = c.try_cast("boolean") if kind == "bool" else _typed(c, kind)
+        df = df.withColumn(name, c)
     return _labels(df, labels, True)
 
 
@@ -246,25 +284,29 @@ def syslog(df: DataFrame, year: int | None = None, names: bool = False, offset_h
     RFC 3164 has no year: `year`, or the current one.
     """
     df = _lines(df).withColumn("_l", F.regexp_replace(LINE, r"^\d+ (?=<\d{1,3}>)", ""))
-    new = r"(?s)^<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: (.*))?$"
-    old = r"(?s)^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) (\S+) (?:([^\s:\[]+)(?:\[(\d+)\])?: ?)?(.*)$"
-    is_new, is_old = F.regexp_like("_l", F.lit(new)), F.regexp_like("_l", F.lit(old))
-
-    def pick(i_new: int | None, i_old: int | None) -> Column:
-        a = F.regexp_extract("_l", new, i_new) if i_new else F.lit(None).cast("string")
-        b = F.regexp_extract("_l", old, i_old) if i_old else F.lit(None).cast("string")
-        return F.nullif(F.nullif(F.when(is_new, a).when(is_old, b), F.lit("-")), F.lit(""))
+    # Structured data is what stands in brackets; anything else there is the message's beginning.
+    new = r"^<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (?:(\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: ([\s\S]*))?|(\S+) ([\s\S]*))$"
+    old = r"^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d) (\S+) (?:([^\s:\[]+)(?:\[(\d+)\])?: ?)?([\s\S]*)$"
+    df = with_captures(df, [new, old], [11, 6], F.col("_l"))
+    which = F.get("_cap", F.lit(1))
+    is_new, is_old = which == "0", which == "1"
+    group = lambda i: F.nullif(F.get("_cap", F.lit(i + 1)), F.lit(""))
+
+    def pick(i_new: list[int], i_old: int | None) -> Column:
+        a = F.coalesce(*map(group, i_new)) if i_new else F.lit(None).cast("string")
+        b = group(i_old) if i_old else F.lit(None).cast("string")
+        return F.nullif(F.when(is_new, a).when(is_old, b), F.lit("-"))
 
     the_year = F.lit(str(year)) if year else F.year(F.current_date()).cast("string")
-    then = F.try_to_timestamp(F.concat(the_year, F.lit(" "), F.regexp_replace(F.regexp_extract("_l", old, 2), r" +", " ")), F.lit("yyyy MMM d HH:mm:ss"))
+    then = F.try_to_timestamp(F.concat(the_year, F.lit(" "), F.regexp_replace(F.when(is_old, group(2)), r" +", " ")), F.lit("yyyy MMM d HH:mm:ss"))
     if offset_hours:
         then = then + F.make_dt_interval(hours=F.lit(offset_hours))
-    priority = pick(1, 1).try_cast("int")
+    priority = pick([1], 1).try_cast("int")
     df = df.select(
         "*", priority.alias("priority"), F.shiftright(priority, 3).alias("facility"), (priority % 8).alias("severity"),
-        pick(2, None).try_cast("int").alias("version"), F.when(is_new, dates.parsed(F.regexp_extract("_l", new, 3))).when(is_old, then).alias("timestamp"),
-        pick(4, 3).alias("hostname"), pick(5, 4).alias("app_name"), pick(6, 5).alias("proc_id"), pick(7, None).alias("msg_id"), pick(9, 6).alias("message"),
-        (F.coalesce(is_new | is_old, F.lit(False))).alias("_ok"), F.when(is_new, F.regexp_extract("_l", new, 8)).alias("_sd"),
+        pick([2], None).try_cast("int").alias("version"), F.when(is_new, dates.parsed(group(3))).when(is_old, then).alias("timestamp"),
+        pick([4], 3).alias("hostname"), pick([5], 4).alias("app_name"), pick([6], 5).alias("proc_id"), pick([7, 10], None).alias("msg_id"), pick([9, 11], 6).alias("message"),
+        (F.coalesce(is_new | is_old, F.lit(False))).alias("_ok"), F.when(is_new, group(8)).alias("_sd"),
     )
     elements = F.regexp_extract_all("_sd", F.lit(r"\[((?:[^\]\\]|\\.)*)\]"), F.lit(1))
     param = r'(\S+?)="((?:[^"\\]|\\.)*)"'
@@ -275,7 +317,7 @@ def syslog(df: DataFrame, year: int | None = None, names: bool = False, offset_h
     if names:
         df = df.withColumn("facility_name", F.get(F.array(*map(F.lit, FACILITIES)), F.col("facility")))
         df = df.withColumn("severity_name", F.get(F.array(*map(F.lit, SEVERITIES)), F.col("severity")))
-    return _failed(df, ~F.col("_ok"), "syslog", "no known head").drop("_l", "_ok", "_sd")
+    return _failed(df, ~F.col("_ok"), "syslog", "no known head").drop("_l", "_ok", "_sd", "_cap")
 
 
 def slow_log(df: DataFrame) -> DataFrame:
@@ -293,23 +335,31 @@ def slow_log(df: DataFrame) -> DataFrame:
     return _failed(df, F.col("Query_time").isNull(), "mysqllog", "no query time")
 
 
-#: Head fields of a service log line.
+#: Head fields of a service log line, and the two that combine: a request id and a level in either order, of
+#: which both may be missing, and a module or a file in brackets or before a line number.
 HEADERS = {
     "prefix": r"(?P<prefix>[^\d\s]\S*)\s*", "date": r"(?P<date>\d{4}/\d{2}/\d{2})\s+", "time": r"(?P<time>\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)\s*",
     "reqid": r"\[(?P<reqid>[A-Za-z0-9_-]{8,})\]\s*", "level": r"\[(?P<level>[A-Z]{4,5})\]\s*", "module": r"\[(?P<module>[^\]]*)\]\s*", "file": r"(?P<file>[^\s:\[\]]+:\d+):?\s*",
+    "combinedReqidLevel": r"(?:\[(?P<level>[A-Z]{4,5})\]\s*(?:\[(?P<reqid>[A-Za-z0-9_-]{8,})\]\s*)?|\[(?P<reqid>[A-Za-z0-9_-]{8,})\]\s*\[(?P<level>[A-Z]{4,5})\]\s*|\[(?P<reqid>[A-Za-z0-9_-]{8,})\]\s*)",
+    "combinedModuleFile": r"(?:\[(?P<module>[^\]]*)\]\s*(?:(?P<file>[^\s:\[\]]+:\d+):\s*)?|(?P<file>[^\[\]]*?[^\s:\[\]]+:\d+):\s*)",
 }
+DEFAULT_HEADERS = ("date", "time", "combinedReqidLevel", "combinedModuleFile")
+#: What an event of a service log begins with, for streaming.pull.assemble.
+HEADER_HEAD = r"^[1-9]\d{3}/[0-1]\d/[0-3]\d [0-2]\d:[0-6]\d:[0-6]\d(\.\d{6})? \["
 
 
-def header_log(df: DataFrame, headers: list[str], optional: list[str] = ("prefix", "reqid", "level", "module", "file")) -> DataFrame:
+def header_log(df: DataFrame, headers: list[str] = DEFAULT_HEADERS,
+               optional: list[str] = ("prefix", "reqid", "level", "module", "file", "combinedReqidLevel", "combinedModuleFile")) -> DataFrame:
     """Service log lines with a declared order of head fields; the rest of a line is `log`."""
-    rx = "(?s)^" + "".join(f"(?:{HEADERS[h]})?" if h in optional else HEADERS[h] for h in headers) + r"(?P<log>.*)$"
+    rx = "^" + "".join(f"(?:{HEADERS[h]})?" if h in optional else HEADERS[h] for h in headers) + r"(?P<log>[\s\S]*)$"
     order = re.findall(r"\(\?P<(\w+)>", rx)
-    rx = re.sub(r"\(\?P<\w+>", "(", rx)
-    got = {n: F.nullif(F.regexp_extract(LINE, rx, i + 1), F.lit("")) for i, n in enumerate(order)}
-    df = _lines(df).select("*", *[c.alias(n) for n, c in got.items()])
+    df = with_captures(_lines(df), [re.sub(r"\(\?P<\w+>", "(", rx)], [len(order)], F.col(LINE))
+    group = lambda i: F.nullif(F.get("_cap", F.lit(i + 2)), F.lit(""))
+    got = {n: F.coalesce(*[group(i) for i, m in enumerate(order) if m == n]) for n in dict.fromkeys(order)}
+    df = df.select("*", *[c.alias(n) for n, c in got.items()])
     if "date" in got and "time" in got:
         df = df.withColumn("time", dates.parsed(F.concat_ws(" ", "date", "time"))).drop("date")
-    return _failed(df, ~F.regexp_like(LINE, F.lit(rx)), "headerlog", "head does not match")
+    return _failed(df, F.col("_cap").isNull(), "headerlog", "head does not match").drop("_cap")
 
 
 def rest_proxy(df: DataFrame) -> DataFrame:

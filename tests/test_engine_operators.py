@@ -64,6 +64,31 @@ def test_dates(spark):
     assert one(spark, dates.parsed(F.lit("Tue, 28 Mar 2017 15:41:53"))) == utc
 
 
+@pytest.mark.parametrize(
+    ("text_", "iso"),
+    [
+        ("2017-03-28T15:41:53Z", "2017-03-28T15:41:53"), ("2017-03-28T15:41:53.123456+08:00", "2017-03-28T07:41:53.123456"), ("28/Mar/2017:15:41:53 +0800", "2017-03-28T07:41:53"),
+        ("2017/03/28 15:41:53", "2017-03-28T15:41:53"), ("20170328T154153+08", "2017-03-28T07:41:53"), ("2017-03-28 15:41:53 +0800 CST", "2017-03-28T07:41:53"),
+        ("2017-03-28 15:41:53 -0700", "2017-03-28T22:41:53"), ("2017-03-28 15:41:53", "2017-03-28T15:41:53"), ("2017/03/28 15:41:53 +0800 CST", "2017-03-28T07:41:53"),
+        ("2017/03/28 15:41:53 -0700", "2017-03-28T22:41:53"), ("2017-03-28 +0800 CST", "2017-03-27T16:00:00"), ("2017-03-28 -0700", "2017-03-28T07:00:00"), ("2017-03-28", "2017-03-28T00:00:00"),
+        ("2017/03/28 +0800 CST", "2017-03-27T16:00:00"), ("2017/03/28 -0700", "2017-03-28T07:00:00"), ("2017/03/28", "2017-03-28T00:00:00"), ("28/03/2017--15:41:53", "2017-03-28T15:41:53"),
+        ("28 Mar 17 15:41", "2017-03-28T15:41:00"), ("Tue Mar 28 15:41:53 2017", "2017-03-28T15:41:53"), ("Tue Mar  7 15:41:53 UTC 2017", "2017-03-07T15:41:53"),
+        ("Tue Mar 28 15:41:53 -0700 2017", "2017-03-28T22:41:53"), ("28 Mar 17 15:41 MST", "2017-03-28T15:41:00"), ("28 Mar 99 15:41 -0700", "1999-03-28T22:41:00"),
+        ("Tuesday, 28-Mar-17 15:41:53 UTC", "2017-03-28T15:41:53"), ("Tue, 28 Mar 2017 15:41:53 GMT", "2017-03-28T15:41:53"), ("Tue, 28 Mar 2017 15:41:53 -0700", "2017-03-28T22:41:53"),
+        ("2017-03-28 15:41:53,678", "2017-03-28T15:41:53.678000"), ("2017/09/22/11/07/12", "2017-09-22T11:07:12"), ("28/03/2017", "2017-03-28T00:00:00"), ("20170328", "2017-03-28T00:00:00"),
+        ("12:00", None), ("2017", None), ("2017-13-41", None), ("31/Feb/2017:99:00:00 +0000", None), ("", None),
+    ],
+)
+def test_date_layouts(spark, text_, iso):
+    got = one(spark, dates.parsed(F.lit(text_)))
+    assert (got and got.isoformat()) == iso
+
+
+def test_dates_without_a_year(spark):
+    for given, shown in [("3:04PM", "01-01 15:04:00"), ("12:04AM", "01-01 00:04:00"), ("Jan 2 15:04:05", "01-02 15:04:05"), ("Mar 28 15:04:05.123456", "03-28 15:04:05")]:
+        assert one(spark, F.date_format(dates.parsed(F.lit(given)), "MM-dd HH:mm:ss")) == shown
+
+
 def test_convert(spark):
     df = spark.createDataFrame([(["123", "456"], "", "x")], "myword array<string>, abc string, n string")
     r = convert.convert(df, "myword array(long), abc long, n long 5, m map{a long}").first()
