@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import with_error
+from ..paths import unused
 from ..storage import materialise
 from .fields import statistic_name
 
@@ -81,11 +83,13 @@ def by_content(df: DataFrame) -> DataFrame:
 
 
 def counter_share(df: DataFrame, by: list[str], time: str, value: str, total: str, out: str = "percent") -> DataFrame:
-    """Counters to the percentage of the total's change since the sample before; first samples and no change give no row."""
+    """Counters to the percentage of the total's change since the sample before; first samples and no change give no row,
+    a total that falls (a counter that began anew) gives a row without a percentage and an error."""
+    dv, dt = unused(df.columns, "_dv", "_dt")
     w = Window.partitionBy(*by).orderBy(time)
-    dv, dt = F.col(value) - F.lag(value).over(w), F.col(total) - F.lag(total).over(w)
-    rows = df.withColumn("_dv", dv).withColumn("_dt", dt).where("_dt > 0")
-    return rows.withColumn(out, 100.0 * F.col("_dv") / F.col("_dt")).drop("_dv", "_dt")
+    rows = df.withColumn(dv, F.col(value) - F.lag(value).over(w)).withColumn(dt, F.col(total) - F.lag(total).over(w)).where(F.col(dt) != 0)
+    rows = with_error(rows, F.col(dt) < 0, "counter", total, "the total fell")
+    return rows.withColumn(out, F.when(F.col(dt) > 0, 100.0 * F.col(dv) / F.col(dt))).drop(dv, dt)
 
 
 def speed(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:

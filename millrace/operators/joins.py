@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import paths
 from ..errors import with_error
 from ..functions.text import ipv4_number
 
-#: A lookup table is broadcast up to so many rows; beyond that it is joined by a shuffle.
+#: A lookup table is broadcast up to so many rows and bytes of text; beyond either it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table holds at most so many rows and bytes, as JSON text; reads no more rows than that."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return n <= rows and held <= n_bytes
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is known to have at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it is known to be small."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def map_text(text: str) -> dict[str, str]:
@@ -28,57 +38,95 @@ def map_text(text: str) -> dict[str, str]:
 
 def map_replace(df: DataFrame, key: str, table: DataFrame, new: str | None = None) -> DataFrame:
     """Values looked up by their text in table (key, value); unmatched ones stay (or are null in a new field)."""
-    lookup = table.select(F.col(table.columns[0]).cast("string").alias("_k"), F.col(table.columns[1]).alias("_v")).dropDuplicates(["_k"])
-    old = paths.get(df, key)
-    joined = df.withColumn("_key", old.cast("string")).join(sized(lookup), F.col("_key") == F.col("_k"), "left")
-    value = F.coalesce("_v", "_key") if not new or new == key else F.col("_v")
-    return paths.put(joined, new or key, value).drop("_key", "_k", "_v")
+    k, v, own = paths.unused(df.columns, "_k", "_v", "_key")
+    lookup = table.select(F.col(table.columns[0]).cast("string").alias(k), F.col(table.columns[1]).alias(v)).dropDuplicates([k])
+    joined = df.withColumn(own, paths.get(df, key).cast("string")).join(sized(lookup), F.col(own) == F.col(k), "left")
+    value = F.coalesce(v, own) if not new or new == key else F.col(v)
+    return paths.put(joined, new or key, value).drop(own, k, v)
+
+
+def narrowest_segments(ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, number of the range) of disjoint segments: of the ranges that hold an address the narrowest counts,
+    of equally narrow ones the first."""
+    edges = sorted({s for s, _ in ranges} | {e + 1 for _, e in ranges})
+    order = sorted(range(len(ranges)), key=lambda i: ranges[i][0])
+    out, waiting, at = [], [], 0
+    for low, high in zip(edges, edges[1:], strict=False):
+        while at < len(order) and ranges[order[at]][0] <= low:
+            i = order[at]
+            heapq.heappush(waiting, (ranges[i][1] - ranges[i][0], i))
+            at += 1
+        while waiting and ranges[waiting[0][1]][1] < low:
+            heapq.heappop(waiting)
+        if waiting:
+            i = waiting[0][1]
+            if out and out[-1][1] == low - 1 and out[-1][2] == i:
+                out[-1] = (out[-1][0], high - 1, i)
+            else:
+                out.append((low, high - 1, i))
+    return out
 
 
 def ip_ranges(df: DataFrame, key: str, ranges: DataFrame, prefix: bool = False) -> DataFrame:
-    """Attributes of the range (start, end, ...) that holds an IPv4 address.
+    """Attributes of the narrowest range (start, end, ...) that holds an IPv4 address.
 
-    Ranges are cut at their /16 prefixes, so it is an equi-join on the prefix with a bound; each distinct address is
-    looked up once.
+    Ranges are cut at their /16 prefixes, so it is an equi-join on the prefix with a bound. A small table is turned to
+    disjoint segments and looked up in place; with a large one each distinct address is looked up once, by a shuffle.
     """
     attrs = [c for c in ranges.columns if c not in ("start", "end")]
     number = ipv4_number(paths.get(df, key).cast("string"))
     df = with_error(df, paths.get(df, key).isNotNull() & number.isNull(), "ip", key, "not an IPv4 address")
-    df = df.withColumn("_ip", number)
-    cut = ranges.withColumn("_p", F.explode(F.sequence(F.shiftright(F.col("start"), 16), F.shiftright(F.col("end"), 16))))
-    asked = df.select("_ip").where("_ip is not null").distinct().withColumn("_p", F.shiftright("_ip", 16))
-    found = asked.join(sized(cut), "_p").where((F.col("_ip") >= F.col("start")) & (F.col("_ip") <= F.col("end")))
-    # Of nested ranges the narrowest counts.
-    best = found.groupBy("_ip").agg(F.min_by(F.struct(*attrs), F.col("end") - F.col("start")).alias("_a"))
+    ip, at, low, high, found = paths.unused([*df.columns, *ranges.columns], "_ip", "_p", "_low", "_high", "_a")
     names = {a: f"{key.replace('.', '_')}_{a}" if prefix or a in df.columns else a for a in attrs}
-    joined = df.join(best, "_ip", "left")
-    return joined.select(*[c for c in df.columns if c != "_ip"], *[F.col(f"_a.{a}").alias(n) for a, n in names.items()])
+    columns = df.columns
+    df = df.withColumn(ip, number)
+    grid = lambda a, b: F.explode(F.sequence(F.shiftright(F.col(a), 16), F.shiftright(F.col(b), 16))).alias(at)
+    if is_small(ranges):
+        rows = ranges.where("start <= end").select("start", "end", F.struct(*attrs).alias(found)).collect()  # bounded by is_small
+        parts = [(s, e, rows[i][found]) for s, e, i in narrowest_segments([(r["start"], r["end"]) for r in rows])]
+        kind = ranges.select(F.struct(*attrs).alias(found)).schema[found].dataType
+        schema = StructType().add(low, "long").add(high, "long").add(found, kind)
+        cut = df.sparkSession.createDataFrame(parts, schema).select(low, high, found, grid(low, high))
+        inside = (F.shiftright(F.col(ip), 16) == F.col(at)) & F.col(ip).between(F.col(low), F.col(high))
+        joined = df.join(F.broadcast(cut), inside, "left")
+    else:
+        cut = ranges.select("start", "end", F.struct(*attrs).alias(found), grid("start", "end"))
+        asked = df.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn(at, F.shiftright(F.col(ip), 16))
+        met = asked.join(cut, at).where(F.col(ip).between(F.col("start"), F.col("end")))
+        joined = df.join(met.groupBy(ip).agg(F.min_by(found, F.col("end") - F.col("start")).alias(found)), ip, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], *[F.col(f"{found}.`{a}`").alias(n) for a, n in names.items()])
+
+
+#: Rules of a kind in one expression; longer lists are a chain of such.
+RULES_IN_PLACE = 1_000
 
 
 def user_agent(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """First matching rule for each kind of a user agent: rules (rule_no, kind, regex, family).
 
-    family null means group 1 of the regex. Each distinct agent is matched once; rules are a bounded list. Output columns
-    UA_<kind>_family and UA_<kind>_version (group 2) for the kinds of the list.
+    family null means group 1 of the regex. Rules are a bounded list, tried in place in their order, each a constant
+    pattern. Output columns UA_<kind>_family and UA_<kind>_version (group 2) for the kinds of the list.
     """
-    listed = rules.select("rule_no", "kind", "regex", "family").limit(BROADCAST_ROWS + 1).collect()
+    listed = rules.select("rule_no", "kind", "regex", "family").orderBy("rule_no").limit(BROADCAST_ROWS + 1).collect()
     if len(listed) > BROADCAST_ROWS:
         raise ValueError("a rule list is matched as a whole and must be small")
-    kinds = sorted({r.kind for r in listed})
-    counted = [(r.rule_no, r.kind, r.regex, r.family, re.compile(r.regex).groups) for r in listed]
-    schema = "rule_no int, kind string, regex string, family string, n_groups int"
-    agents = df.select(F.col(key).alias("_ua")).where("_ua is not null").distinct()
-    hits = agents.join(F.broadcast(df.sparkSession.createDataFrame(counted, schema)), F.expr("_ua rlike regex"))
-    first = hits.groupBy("_ua", "kind").agg(F.min_by(F.struct("regex", "family", "n_groups"), "rule_no").alias("_r"))
-
-    def group(i: int):
-        got = F.expr(f"nullif(regexp_extract(_ua, _r.regex, least(_r.n_groups, {i})), '')")
-        return F.when(F.col("_r.n_groups") >= i, got)
-
-    found = first.select("_ua", "kind", F.coalesce(F.col("_r.family"), group(1)).alias("family"), group(2).alias("version"))
-    wide = found.groupBy("_ua").pivot("kind", kinds).agg(F.first("family").alias("family"), F.first("version").alias("version"))
-    wide = wide.withColumnsRenamed({c: f"UA_{c}" for c in wide.columns if c != "_ua"})
-    return df.join(wide, df[key] == wide["_ua"], "left").drop("_ua")
+    by_kind: dict[str, list] = {}
+    for r in listed:
+        by_kind.setdefault(r.kind, []).append(r)
+    agent = paths.get(df, key)
+    (hit,) = paths.unused(df.columns, "_hit")
+    for kind, own in sorted(by_kind.items()):
+        out = F.lit(None).cast("struct<family:string,version:string>")
+        for chunk in reversed([own[i : i + RULES_IN_PLACE] for i in range(0, len(own), RULES_IN_PLACE)]):
+            tried = F
+            for r in chunk:
+                groups = re.compile(r.regex).groups
+                group = lambda i, r=r, groups=groups: F.nullif(F.regexp_extract(agent, r.regex, i), F.lit("")) if groups >= i else F.lit(None).cast("string")
+                family = F.lit(r.family) if r.family is not None else group(1)
+                tried = tried.when(F.regexp_like(agent, F.lit(r.regex)), F.struct(family.alias("family"), group(2).alias("version")))
+            out = tried.otherwise(out)
+        df = df.withColumn(hit, out).withColumns({f"UA_{kind}_family": F.col(f"{hit}.family"), f"UA_{kind}_version": F.col(f"{hit}.version")}).drop(hit)
+    return df
 
 
 def inherit_tags(rows: DataFrame, top: DataFrame, key: str, tags: list[str]) -> DataFrame:

@@ -84,3 +84,14 @@ def pick(df: DataFrame, *paths: str) -> DataFrame:
         return F.when(column.isNotNull(), F.struct(*[build([*prefix, k], v) for k, v in own.items()])).alias(prefix[-1])
 
     return df.select(*[build([k], v) for k, v in tree.items()])
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (names do not tell case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

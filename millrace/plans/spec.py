@@ -6,9 +6,10 @@ A spec is a dict: {"pre": [...], "parser": {...}, "tags": {...}, "transforms": [
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import paths
@@ -16,6 +17,7 @@ from ..errors import split_errors, with_error
 from ..functions import convert, dates, text
 from ..operators import aggregates, fields, joins
 from ..sources import files, parse
+from ..sources import sinks as sinks_
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {
     "csv": parse.delimited, "json": parse.jsonl, "grok": parse.grok, "nginx": parse.access_log, "kv": parse.key_value, "logfmt": parse.key_value,
@@ -53,8 +55,8 @@ TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
 
 
 def register(kind: str, name: str, fn: Callable[..., DataFrame]) -> None:
-    """Add a parser or transform of one's own."""
-    {"parser": PARSERS, "transform": TRANSFORMS}[kind][name] = fn
+    """Add a parser, transform, source or sink of one's own."""
+    {"parser": PARSERS, "transform": TRANSFORMS, "source": SOURCES, "sink": SINKS}[kind][name] = fn
 
 
 def compose(df: DataFrame, spec: dict) -> DataFrame:
@@ -75,10 +77,13 @@ def compose(df: DataFrame, spec: dict) -> DataFrame:
 
 
 def _apply(df: DataFrame, step: dict, registry: dict) -> DataFrame:
-    name, args = step["type"], {k: v for k, v in step.items() if k != "type"}
+    return _known(registry, step["type"])(df, **{k: v for k, v in step.items() if k != "type"})
+
+
+def _known(registry: dict, name: str) -> Callable:
     if name not in registry:
         raise ValueError(f"unknown step {name}")
-    return registry[name](df, **args)
+    return registry[name]
 
 
 def preview(df: DataFrame, spec: dict, n: int = 10) -> DataFrame:
@@ -99,10 +104,39 @@ def write_routed(df: DataFrame, sinks: list[Callable[[DataFrame], None]], dead:
         good.unpersist()
 
 
-def run_stream(stream: DataFrame, spec: dict, sinks: list[Callable[[DataFrame], None]], checkpoint: str, **trigger):
-    """The spec on each micro-batch; offsets are committed after all sinks succeeded."""
+def run_stream(stream: DataFrame, spec: dict, sinks: list[Callable[[DataFrame], None]], checkpoint: str, dead: Callable[[DataFrame], None] | None = None, **trigger):
+    """The spec on each micro-batch, rows with errors to dead, if given; offsets are committed after all sinks succeeded."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_routed(compose(df, spec), sinks)
+        write_routed(compose(df, spec), sinks, dead)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+#: Sources and sinks that a spec can name; more may be registered.
+SOURCES: dict[str, Callable[..., DataFrame]] = {
+    "dir": files.lines, "file": files.lines, "tailx": files.lines, "dirx": files.lines, "fileauto": files.auto, "archive": files.archives,
+    "charset": files.decoded, "jdbc": files.jdbc, "kafka": files.kafka, "socket": files.socket, "httpfetch": files.pages,
+    "parquet": lambda spark, path: spark.read.parquet(path),
+}
+SINKS: dict[str, Callable[..., None]] = {
+    "file": sinks_.json_files, "raw": sinks_.raw_files, "csv": sinks_.csv_files, "mysql": sinks_.jdbc_append, "discard": sinks_.throw_away,
+    "sqlfile": lambda df, path, table: df.select(sinks_.sql_inserts(df, table).alias("value")).write.mode("append").text(path),
+    "parquet": lambda df, path: df.write.mode("append").parquet(path),
+}
+
+
+def run(spark: SparkSession, config: dict) -> None:
+    """A whole pipeline from its config: `source` (a type and its arguments), the parts of a spec, `sinks` (a list of types
+    and arguments, routed by number if the spec has a route, else each gets all rows) and maybe `dead` (one sink for rows
+    with errors)."""
+    config = dict(config)
+    source, sinks, dead = config.pop("source"), config.pop("sinks"), config.pop("dead", None)
+    own = lambda registry, step: functools.partial(_known(registry, step["type"]), **{k: v for k, v in step.items() if k != "type"})
+    writers = [own(SINKS, s) for s in sinks]
+    df = compose(own(SOURCES, source)(spark), config)
+    if "route" not in config:
+        each = writers
+        writers = [lambda d: [w(d) for w in each]]
+        df = df.withColumn("_route", F.lit(0))
+    write_routed(df, writers, own(SINKS, dead) if dead else None)

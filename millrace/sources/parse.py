@@ -160,16 +160,39 @@ def compile_grok(pattern: str, custom: dict[str, str] | None = None, files: list
     return expand(pattern), fields
 
 
+def _top_level(pattern: str) -> str:
+    """The pattern without what stands in brackets and escapes."""
+    out, depth, in_class, at = [], 0, False, 0
+    while at < len(pattern):
+        ch = pattern[at]
+        if ch == "\\":
+            at += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif not depth:
+            out.append(ch)
+        at += 1
+    return "".join(out)
+
+
 def with_captures(df: DataFrame, patterns: list[str], n_groups: list[int], line: Column, out: str = "_cap") -> DataFrame:
     """df with `out`: (which pattern matched first, its captures), null if none did. Each pattern is matched once a line."""
     clean = F.translate(line, _MARK, " ")
     df = df.withColumn("_clean", clean)
     for k, (rx, n) in enumerate(zip(patterns, n_groups, strict=True)):
+        whole = rx if rx.startswith("^") and rx.endswith("$") and not rx.endswith("\\$") and "|" not in _top_level(rx) else rf"^[\s\S]*?(?:{rx})[\s\S]*\z"
         shape = _MARK + str(k) + "".join(f"{_MARK}${i + 1}" for i in range(n))
-        marked = F.regexp_replace(F.col("_clean"), F.lit(rf"^[\s\S]*?(?:{rx})[\s\S]*\z"), F.lit(shape))
+        marked = F.regexp_replace(F.col("_clean"), F.lit(whole), F.lit(shape))
         # A line that one pattern marked begins with the mark: no other is tried.
         df = df.withColumn("_clean", marked if k == 0 else F.when(F.col("_clean").startswith(_MARK), F.col("_clean")).otherwise(marked))
-    return df.withColumn(out, F.when(F.col("_clean").startswith(_MARK), F.split(F.col("_clean"), _MARK, -1))).drop("_clean")
+    cap = F.when(F.col("_clean").startswith(_MARK), F.split(F.col("_clean"), _MARK, -1))
+    # A generated column: a filter on a capture stays above it and does not match the line once more.
+    return df.withColumn(out, F.explode(F.array(cap))).drop("_clean")
 
 
 def _captured(df: DataFrame, compiled: list[tuple[str, list[tuple[str, str]]]], op: str, labels, override: bool, keep_raw: bool, offset_hours: int, numbers_dash: bool = False) -> DataFrame:

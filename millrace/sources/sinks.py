@@ -76,7 +76,9 @@ def http_bodies(df: DataFrame, batch: str, order: str, mode: str = "body_json",
     if mode in ("json", "body_json"):
         row = F.to_json(F.struct(*fields))
     elif mode == "csv":
-        row = F.concat_ws(",", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+        text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit(""))
+        quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+        row = F.concat_ws(",", *[quoted(text(f)) for f in fields])
     else:
         row = F.lit(template)
         for f in fields:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import event_numbers, record_hash
+from ..storage import materialise
 
 
 def in_range(df: DataFrame, key: str, low, high) -> DataFrame:
@@ -50,7 +52,8 @@ def incremental_pull(read: Callable[[], DataFrame], key: str, state_path: str, s
             raise
         position = start
     source = read()
-    batch = in_range(source, key, position, position + step)
+    # What is counted is what the sink gets, though the source grows.
+    batch = materialise(in_range(source, key, position, position + step), "pull")
     n = batch.count()
     sink(batch)
     after = next_position(source, key, position, position + step)
@@ -108,11 +111,20 @@ def deliver(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], dead:
 
 
 def replay(spark: SparkSession, dead: str, name: str, schema: str, sink: Callable[[DataFrame], None]) -> int:
-    """Give a sink its dead letters again; returns how many."""
+    """Give a sink its dead letters again; returns how many. Those delivered are marked by their time (in <dead>_done) and
+    not given again."""
     letters = spark.read.parquet(dead).where(F.col("sink") == name)
-    rows = letters.select(F.from_json("row", schema).alias("r")).select("r.*")
-    sink(rows)
-    return letters.count()
+    try:
+        done = spark.read.parquet(f"{dead}_done").where(F.col("sink") == name).agg(F.max("upto")).first()[0]
+    except AnalysisException:
+        done = None
+    letters = letters if done is None else letters.where(F.col("at") > F.lit(done))
+    letters = materialise(letters, "letters")
+    n, upto = letters.agg(F.count("*"), F.max("at")).first()
+    if n:
+        sink(letters.select(F.from_json("row", schema).alias("r")).select("r.*"))
+        spark.createDataFrame([(name, upto)], "sink string, upto timestamp").write.mode("append").parquet(f"{dead}_done")
+    return n
 
 
 def windowed(df: DataFrame, time: str, period: str, delay: str, by: list[str], *aggregates: Column) -> DataFrame:

@@ -166,6 +166,7 @@ def test_dead_letters_are_replayed(spark, tmp_path):
     failed = pull.deliver(df, {"bad": broken, "good": lambda d: got.append(d.count())}, dead, sleep=0)
     assert list(failed) == ["bad"] and got == [3]
     assert pull.replay(spark, dead, "bad", "id long", lambda d: got.append(d.count())) == 3 and got == [3, 3]
+    assert pull.replay(spark, dead, "bad", "id long", lambda d: got.append(d.count())) == 0 and got == [3, 3]
 
 
 def test_rendered_sinks(spark):
@@ -212,3 +213,52 @@ def test_events_of_one_source_are_numbered_in_ranges(spark):
         want.setdefault((source, at[source]), []).append(value)
     assert len(rows) == len(lines) and {r.value for r in rows if r._event == 1 and r._source == "a"} == set(want["a", 1])
     assert {(r._source, r.event_no): r.value for r in events} == {k: "\n".join(v) for k, v in want.items()}
+
+
+def test_large_range_table_gives_the_same(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    data = [(s := r.randrange(1 << 20), s + r.randrange(1, 1 << r.randrange(4, 19)), f"n{i}") for i in range(60)]
+    ranges = spark.createDataFrame(data, "start long, end long, country string")
+    df = spark.range(0, 1 << 20, 997).select(text.ipv4_text(F.col("id")).alias("ip"), F.lit(1).alias("_p"), "id")
+    small = {x.id: x.country for x in joins.ip_ranges(df, "ip", ranges).collect()}
+    monkeypatch.setattr(joins, "is_small", lambda *_: False)
+    assert {x.id: x.country for x in joins.ip_ranges(df, "ip", ranges).collect()} == small
+    for i, got in small.items():
+        fits = sorted((e - s, n) for s, e, n in data if s <= i <= e)
+        assert got == (fits[0][1] if fits else None) or fits[0][0] == fits[1][0]
+
+
+def test_map_replace_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c")], "x int, _k string, _v string, _key string")
+    table = spark.createDataFrame([(1, "one")], "k int, v string")
+    assert joins.map_replace(df, "x", table).first().asDict() == {"x": "one", "_k": "a", "_v": "b", "_key": "c"}
+
+
+def test_falling_total_is_an_error(spark):
+    df = spark.createDataFrame([(1, 10, 100), (2, 20, 200), (3, 1, 5), (4, 2, 15), (5, 2, 15)], "t int, v int, total int")
+    rows = aggregates.counter_share(df.withColumn("h", F.lit(1)), ["h"], "t", "v", "total").orderBy("t").collect()
+    assert [(r.t, r.percent, len(r._errors)) for r in rows] == [(2, 10.0, 0), (3, None, 1), (4, 10.0, 0)]
+
+
+def test_pipeline_from_a_config(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("5 a\nbroken\n7 b\n9 a\n")
+    out = lambda n: {"type": "file", "path": f"{tmp_path}/{n}"}
+    spec.run(spark, {
+        "source": {"type": "dir", "path": str(tmp_path / "in")}, "parser": {"type": "grok", "patterns": ["^%{INT:n:long} %{WORD:w}$"]},
+        "transforms": [{"type": "pick", "keys": ["n", "w", "_errors"]}], "route": {"key": "w", "routes": [("equal", "a", 1)]},
+        "sinks": [out("zero"), out("one")], "dead": {"type": "parquet", "path": f"{tmp_path}/dead"},
+    })
+    assert [r.n for r in spark.read.json(f"{tmp_path}/one").orderBy("n").collect()] == [5, 9] and spark.read.json(f"{tmp_path}/zero").first().n == 7
+    assert spark.read.parquet(f"{tmp_path}/dead").count() == 1
+    with pytest.raises(ValueError):
+        spec.run(spark, {"source": {"type": "nowhere"}, "sinks": []})
+
+
+def test_csv_bodies_are_quoted(spark):
+    df = spark.createDataFrame([(1, 1, 'a,"b"'), (1, 2, None)], "b int, o int, t string")
+    assert sinks.http_bodies(df, "b", "o", "csv").first().body == 'o,t\n1,"a,""b"""\n2,'
+    raw = sinks.http_bodies(df, "b", "o", "raw", template="${o}=${t};").first().body
+    assert raw == '1=a,"b";\n2=;'
