@@ -9,7 +9,8 @@ from .. import paths
 from ..functions import convert, dates, text
 from ..operators import aggregates as A
 from ..operators import fields, joins
-from ..sources import parse, sinks
+from ..sources import files, parse, sinks
+from ..storage import shared_dir
 from ..streaming import pull
 from . import spec
 
@@ -184,7 +185,7 @@ def p15_container_path(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE coalesce(regexp_matches(c_mktsegment, '^A'), false) OR coalesce(regexp_matches(c_name, '7$'), false)")
 def f1_filter(spark, sf_dir):
-    return fields.filter_rows(t(spark, sf_dir, "customer"), ["c_mktsegment", "c_name", "none"], "^A|7$", "keep").where(F.col("c_mktsegment").rlike("^A") | F.col("c_name").rlike("7$")).select("c_custkey")
+    return fields.filter_rows(t(spark, sf_dir, "customer"), ["c_mktsegment", "c_name", "none"], "^A|7$", "keep").select("c_custkey")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'License') AND strlen(text) <= 4000")
@@ -473,6 +474,192 @@ def k7_kafka_rows(spark, sf_dir):
     return rows.select(F.regexp_replace("value", r',"topic":"[^"]*"', "").alias("value"), "topic")
 
 
+@query("SELECT DISTINCT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def u3_not_done_large(spark, sf_dir):
+    names = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"))
+    return A.not_done(names.distinct(), t(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("name")))
+
+
+@query("""SELECT user_id, event_id, CASE WHEN dt > 0 THEN round(100.0 * dv / dt, 6) END AS percent, dt < 0 AS fell FROM (
+          SELECT user_id, event_id, event_id % 7 - lag(event_id % 7) OVER w AS dv, event_id * 7919 % 1009 - lag(event_id * 7919 % 1009) OVER w AS dt
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE dt <> 0""")
+def w1_counter_reset(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("used"), (F.col("event_id") * 7919 % 1009).alias("total"))
+    rows = A.counter_share(e, ["user_id"], "event_id", "used", "total")
+    return rows.select("user_id", "event_id", F.round("percent", 6).alias("percent"), (F.size("_errors") > 0).alias("fell"))
+
+
+@query("SELECT event_id, event_type || '+%26' || user_id || '%3D%2F' AS encoded, event_type || ' &' || user_id || '=/' AS decoded FROM events")
+def x7_url_texts(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    plain = F.concat("event_type", F.lit(" &"), F.col("user_id").cast("string"), F.lit("=/"))
+    coded = F.concat("event_type", F.lit("%20%26"), F.col("user_id").cast("string"), F.lit("%3d/"))
+    return e.select("event_id", text.url_text(plain, "encode").alias("encoded"), text.url_text(coded, "decode").alias("decoded"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey WHEN 1 THEN 7 WHEN 2 THEN 2 ELSE 7 END AS n, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS bad,
+          o_orderstatus = 'F' AS flag, o_custkey + 1 AS a, o_custkey AS head, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS s
+          FROM orders""")
+def x12_convert_kinds(spark, sf_dir):
+    """A number, a text, a fraction and an empty text in one field; texts of flags, maps and lists; a number that fails."""
+    o = t(spark, sf_dir, "orders")
+    c, kind = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
+    rows = o.select(
+        "o_orderkey", F.when(kind == 0, c).when(kind == 1, F.lit("x1")).when(kind == 2, F.lit("2.9")).otherwise(F.lit("")).alias("n"),
+        F.when(F.col("o_orderstatus") == "F", "true").otherwise("false").alias("flag"), F.concat(F.lit('{"a":'), (F.col("o_custkey") + 1).cast("string"), F.lit("}")).alias("m"),
+        F.concat(F.lit("["), c, F.lit(",3]")).alias("arr"), F.when(F.col("o_orderkey") % 3 == 0, c).otherwise(F.lit("none")).alias("s"),
+    )
+    done = convert.convert(rows, "n long 7, flag bool, m map{a long}, arr a(l), s l")
+    return done.select("o_orderkey", "n", F.size("_errors").alias("bad"), "flag", F.col("m.a").alias("a"), F.get("arr", F.lit(0)).alias("head"), "s")
+
+
+@query("""SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'Silk' WHEN 1 THEN 'Mozilla' END AS "UA_agent_family", CASE user_id % 3 WHEN 0 THEN (user_id % 9)::VARCHAR END AS "UA_agent_version",
+          CASE WHEN user_id % 2 = 0 AND user_id % 3 < 2 THEN 'Mac OS' END AS "UA_os_family", CASE WHEN user_id % 2 = 0 AND user_id % 3 < 2 THEN event_type END AS "UA_os_version" FROM events""")
+def j3_user_agent_groups(spark, sf_dir):
+    rules = spark.createDataFrame(
+        [(3, "agent", "Mozilla", "Mozilla"), (1, "agent", r"(Silk)/(\d+)", None), (2, "agent", "Opera", "Opera"), (4, "os", r"\((Mac) (\w+)\)", "Mac OS")],
+        "rule_no int, kind string, regex string, family string",
+    )
+    u = F.col("user_id")
+    agent = F.when(u % 3 == 2, F.lit("curl/7")).otherwise(F.concat(
+        F.lit("Mozilla/5.0 ("), F.when(u % 2 == 0, F.concat(F.lit("Mac "), "event_type")).otherwise(F.lit("X11")), F.lit(")"),
+        F.when(u % 3 == 0, F.concat(F.lit(" Silk/"), (u % 9).cast("string"), F.lit(".1"))).otherwise(F.lit("")),
+    ))
+    e = t(spark, sf_dir, "events").withColumn("ua", agent)
+    return joins.user_agent(e, "ua", rules).select("event_id", "UA_agent_family", "UA_agent_version", "UA_os_family", "UA_os_version")
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"' || CASE WHEN n_regionkey = 1 THEN '' ELSE ',"topic":"r' || n_regionkey || '"' END || '}' AS value,
+          CASE WHEN n_regionkey = 1 THEN 'def' ELSE 'r' || n_regionkey END AS topic FROM nation""")
+def k7_kafka_values(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").withColumn("topic", F.when(F.col("n_regionkey") != 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))))
+    return sinks.kafka_rows(n.select("n_nationkey", "n_name", "topic"), "def", "topic")
+
+
+def _batches(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return e.select(F.expr("event_id div 50").alias("b"), "event_id", F.concat("event_type", F.lit(',"'), F.col("user_id").cast("string")).alias("kind"))
+
+
+@query("""SELECT event_id // 50 AS b, string_agg('{"event_id":' || event_id || ',"kind":"' || event_type || ',\\"' || user_id || '"}', chr(10) ORDER BY event_id) AS body FROM events GROUP BY ALL""")
+def k9_http_json_lines(spark, sf_dir):
+    return sinks.http_bodies(_batches(spark, sf_dir), "b", "event_id", "json")
+
+
+@query("""SELECT event_id // 50 AS b, 'event_id,kind' || chr(10) || string_agg(event_id || ',"' || event_type || ',""' || user_id || '"', chr(10) ORDER BY event_id) AS body FROM events GROUP BY ALL""")
+def k9_http_csv(spark, sf_dir):
+    return sinks.http_bodies(_batches(spark, sf_dir), "b", "event_id", "csv")
+
+
+@query("""SELECT event_id // 50 AS b, string_agg(event_id || ':' || event_type || ',"' || user_id || ';', chr(10) ORDER BY event_id) AS body FROM events GROUP BY ALL""")
+def k9_http_template(spark, sf_dir):
+    return sinks.http_bodies(_batches(spark, sf_dir), "b", "event_id", "raw", template="${event_id}:${kind};")
+
+
+def _folder(spark) -> str:
+    return shared_dir(spark)
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def k1_s1_json_files(spark, sf_dir):
+    """Records to JSON files below folders by day, and back through the spec's JSON parser from the folder's lines."""
+    path = _folder(spark)
+    sinks.json_files(t(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts"), path, "ts", {"day": "yyyyMMdd"})
+    back = files.lines(spark, path, glob="*.json", recursive=True)
+    return parse.jsonl(back, "event_id long, event_type string, value double").select("event_id", "event_type", "value")
+
+
+@query("SELECT event_id % 4 AS k, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY ALL")
+def k2_balanced_folders(spark, sf_dir):
+    path = _folder(spark)
+    sinks.json_files(t(spark, sf_dir, "events").select("event_id"), path, n_folders=4)
+    back = spark.read.schema("event_id long, partition int").json(path).where("partition between 0 and 3")
+    return back.groupBy((F.col("event_id") % 4).alias("k")).agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS value FROM orders UNION ALL SELECT o_orderpriority FROM orders")
+def k3_s8_raw_delimited(spark, sf_dir):
+    """Raw records of two lines, written as they are and read back by another delimiter than the line's end."""
+    o, path = t(spark, sf_dir, "orders"), _folder(spark)
+    sinks.raw_files(o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), "o_orderpriority", F.lit("|")).alias("raw")), path)
+    back = files.lines(spark, path, line_sep="|").select(F.trim(F.translate("value", "\n", "")).alias("value"))
+    return back.where("value <> ''")
+
+
+@query("SELECT n_nationkey, n_name, '{\"r\":' || n_regionkey || '}' AS sub, NULL::VARCHAR AS gone FROM nation")
+def k4_csv_files(spark, sf_dir):
+    path = _folder(spark)
+    n = t(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("r")).alias("sub"))
+    sinks.csv_files(n, path, ["n_nationkey", "n_name", "sub", "gone"], "\t")
+    return spark.read.schema("n_nationkey int, n_name string, sub string, gone string").csv(path, sep="\t")
+
+
+@query("""SELECT 'orders-' || strftime(o_orderdate, '%Y.%m') AS index, o_orderkey::VARCHAR AS id, '{"key":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS doc FROM orders""")
+def k8_documents(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    rows = sinks.documents(o, "orders", "o_orderdate", "yyyy.MM", "o_orderkey", {"o_orderkey": "key"})
+    return rows.select("index", "id", F.regexp_replace("doc", r',"o_orderdate":"[^"]*"', "").alias("doc"))
+
+
+@query("SELECT event_type AS value, event_type AS kind, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY ALL")
+def s3_s9_globs_and_tags(spark, sf_dir):
+    """Lines of one file for each kind of event; those of one kind are ignored by their path, which tags the rest."""
+    path = _folder(spark)
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_type").alias("value"))
+    e.write.partitionBy("kind").text(path)
+    back = files.source_tag(files.lines(spark, path, recursive=True, ignore="kind=click"), "kind")
+    return back.groupBy("value", F.regexp_extract("kind", "kind=([^/]+)", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS raw, 'x' AS env, count(*) AS n FROM events GROUP BY ALL")
+def p11_p12_raw(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("value"))
+    both = parse.raw(e, labels={"env": "x"}).where("timestamp <= current_timestamp()").select("raw", "env")
+    return both.unionByName(parse.empty(e).select(F.col("value").alias("raw"), F.lit("none").alias("env"))).groupBy("raw", "env").agg(F.count("*").alias("n"))
+
+
+@query('SELECT n_nationkey AS "key", n_name AS name, n_regionkey FROM nation')
+def f10_alias(spark, sf_dir):
+    return fields.aliased(t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), {"n_nationkey": "key", "n_name": "name", "none": "x"})
+
+
+@query("""SELECT o_orderkey, CASE WHEN make_date(1998, month(o_orderdate), least(day(o_orderdate), 28)) > DATE '1998-06-15' THEN 1997 ELSE 1998 END AS y, month(o_orderdate) AS m FROM orders""")
+def x15_year_of_dates_without(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    day = F.date_format(F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(28))), "MMM d")
+    at = dates.with_year(F.concat(day, F.lit(" 10:00:00")), "MMM d HH:mm:ss", "1998-06-15")
+    return o.select("o_orderkey", F.year(at).cast("bigint").alias("y"), F.month(at).cast("bigint").alias("m"))
+
+
+@query("SELECT c_custkey, nullif(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END, '') AS kept, round(c_acctbal / 1000, 9) AS kilo FROM customer")
+def x19_x24_pruned_scaled(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").withColumn("name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.lit("")))
+    return fields.copy(c, "name", "kept", prune_empty=True).select("c_custkey", "kept", F.round(text.scaled(F.col("c_acctbal"), 3), 9).alias("kilo"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
+def r2_periods_with_late_rows(spark, sf_dir):
+    df = pull.windowed(t(spark, sf_dir, "events"), "ts", "1 day", "2 hours", ["event_type"], F.count("*").alias("n"), F.max("value").alias("top"))
+    return df.select(F.col("window.start").alias("day"), "event_type", "n", "top")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS times FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 1 FROM events WHERE event_id % 3 <> 0")
+def r8_dead_letters(spark, sf_dir):
+    """One sink gets all rows at once, another fails on a third of them first; they come from its dead letters, once."""
+    e, path = t(spark, sf_dir, "events").select("event_id"), _folder(spark)
+
+    def down(_):
+        raise RuntimeError("down")
+
+    good = lambda df: df.write.mode("append").parquet(f"{path}-out")
+    pull.deliver(e, {"good": good}, f"{path}-dead", sleep=0)
+    pull.deliver(e.where("event_id % 3 = 0"), {"bad": down}, f"{path}-dead", sleep=0)
+    for _ in range(2):
+        pull.replay(spark, f"{path}-dead", "bad", "event_id long", good)
+    out = spark.read.schema("event_id long").parquet(f"{path}-out")
+    return out.groupBy("event_id").agg(F.count("*").cast("int").alias("times"))
+
+
 def queries():
     return dict(QUERIES)
 

@@ -94,9 +94,11 @@ def jsonl(df: DataFrame, schema: str, labels: dict | None = None) -> DataFrame:
     is_list = F.ltrim(LINE).startswith("[")
     one = F.array(F.from_json(LINE, schema))
     df = _lines(df).withColumn("_r", F.explode_outer(F.when(is_list, F.from_json(LINE, f"array<struct<{schema}>>" if ":" in schema else f"array<struct<{_colons(schema)}>>")).otherwise(one)))
-    bad = F.try_parse_json(LINE).isNull()
-    df = _failed(df.select("*", *[F.col(f"_r.`{c}`") for c in df.schema["_r"].dataType.fieldNames()]), bad, "json", "not JSON")
-    return _labels(df.drop("_r"), labels, False)
+    df = _failed(df, F.try_parse_json(LINE).isNull(), "json", "not JSON")
+    names = df.schema["_r"].dataType.fieldNames()
+    # A field of the record wins over a column of its name, the line's too.
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("_r", *names)], *[F.col(f"_r.`{c}`") for c in names])
+    return _labels(df, labels, False)
 
 
 def _colons(ddl: str) -> str:
