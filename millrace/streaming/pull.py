@@ -55,7 +55,7 @@ def incremental_pull(read: Callable[[], DataFrame], key: str, state_path: str, s
     # What is counted is what the sink gets, though the source grows.
     batch = materialise(in_range(source, key, position, position + step), "pull")
     n = batch.count()
-    sink(batch)
+    sink(batch.orderBy(key))
     after = next_position(source, key, position, position + step)
     spark.createDataFrame([(after,)], ["position"]).write.mode("append").parquet(state_path)
     return n
