@@ -46,12 +46,34 @@ def to_wide(df: DataFrame, by: list[str], field: str, value: str, fields: list[s
     return df.groupBy(*by).pivot(field, fields).agg(F.first(value, ignorenulls=True))
 
 
+#: Kinds of virtual machine metrics, and the tag that names their endpoint.
+ENDPOINT_TAGS = {"vm": "vmname", "host": "esxhostname", "datastore": "dsname", "cluster": "clustername", "datacenter": "dcname"}
+
+
+def endpoint(metric: Column, tags: dict[str, Column], default: str, sep: str = ".") -> Column:
+    """What a sample is of: its own endpoint tag, else the tag of its kind of machine (empty if missing), else the default."""
+    known = F.lit(default)
+    for kind, tag in reversed(ENDPOINT_TAGS.items()):
+        named = F.coalesce(tags[tag].cast("string"), F.lit("")) if tag in tags else F.lit("")
+        known = F.when(metric.startswith(f"vsphere{sep}{kind}{sep}"), named).otherwise(known)
+    return F.coalesce(tags["endpoint"].cast("string"), known) if "endpoint" in tags else known
+
+
+def to_samples(df: DataFrame, keep: list[str], values: list[str], tags: list[str], default: str, step: int, sep: str = ".") -> DataFrame:
+    """Rows of to_long as gauge samples with their endpoint and step in seconds."""
+    own = [t for t in tags if t == "endpoint" or t in ENDPOINT_TAGS.values()]
+    carried = df.withColumns({f"_tag_{t}": F.col(t) for t in own})
+    rows = to_long(carried, [*keep, *[f"_tag_{t}" for t in own]], values, tags)
+    rows = rows.withColumn("endpoint", endpoint(F.col("metric"), {t: F.col(f"_tag_{t}") for t in own}, default, sep))
+    return rows.withColumns({"step": F.lit(step), "counter_type": F.lit("GAUGE")}).drop(*[f"_tag_{t}" for t in own])
+
+
 def to_long(df: DataFrame, keep: list[str], values: list[str], tags: list[str] = ()) -> DataFrame:
     """One row for each numeric field, with the tags as sorted k=v text."""
     tag_text = F.array_join(F.array(*[F.concat(F.lit(f"{t}="), F.col(t).cast("string")) for t in sorted(tags)]), ",") if tags else None
-    rows = df.select(*keep, *([tag_text.alias("tags")] if tags else []), *[F.col(v).try_cast("double").alias(v) for v in values])
+    rows = df.select(*keep, *([tag_text.alias("tags")] if tags else []), *[F.col(f"`{v}`").try_cast("double").alias(v) for v in values])
     ids = [*keep, *(["tags"] if tags else [])]
-    return rows.unpivot(ids, values, "metric", "value").where("value is not null")
+    return rows.unpivot(ids, [f"`{v}`" for v in values], "metric", "value").where("value is not null")
 
 
 def health(status: DataFrame) -> DataFrame:

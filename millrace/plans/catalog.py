@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -660,6 +664,104 @@ def r8_dead_letters(spark, sf_dir):
     return out.groupBy("event_id").agg(F.count("*").cast("int").alias("times"))
 
 
+@query("SELECT event_id, event_type, 'eu' AS region FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) FROM events) + 1 AND (SELECT min(CAST(ts AS DATE)) FROM events) + 3")
+def s20_audit_objects(spark, sf_dir):
+    """Audit objects in folders by day, each file a document of many records; those of three days are read."""
+    e, path = t(spark, sf_dir, "events"), _folder(spark)
+    first = e.agg(F.to_date(F.min("ts"))).first()[0]
+    record = F.struct("event_id", "event_type", F.lit("eu").alias("region"))
+    bodies = e.groupBy(F.to_date("ts").alias("day"), F.expr("event_id div 2000")).agg(F.to_json(F.struct(F.collect_list(record).alias("Records"))).alias("value"))
+    bodies.select("day", "value").write.option("maxRecordsPerFile", 1).partitionBy("day").text(path)
+    days = tuple(str(first + datetime.timedelta(n)) for n in (1, 3))
+    back = files.audit_objects(spark, path, "event_id long, event_type string, region string", days, layout="day=%Y-%m-%d")
+    return back.select("event_id", "event_type", "region")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def k1_array_lines(spark, sf_dir):
+    """Files by day whose lines are arrays of records, back through the JSON parser, which gives one row for each record."""
+    path = _folder(spark)
+    sinks.json_files(t(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts"), path, "ts", {"day": "yyyyMMdd"}, array_of=100)
+    lines = files.lines(spark, path, recursive=True).where("value like '[{%}]'")
+    return parse.jsonl(lines, "event_id long, event_type string, value double").select("event_id", "event_type", "value")
+
+
+@query("""SELECT c_custkey, metric, CASE WHEN c_custkey % 5 = 0 THEN 'own' WHEN metric LIKE 'vsphere.vm.%' THEN coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, '') ELSE 'here' END AS endpoint, value, 60 AS step
+          FROM (SELECT *, 'cpu' AS metric, c_acctbal::DOUBLE AS value FROM customer UNION ALL SELECT *, 'vsphere.vm.mem', c_nationkey::DOUBLE FROM customer)""")
+def a5_endpoints(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.expr("c_custkey % 5 = 0"), F.lit("own")).alias("endpoint"), F.when(F.expr("c_custkey % 3 > 0"), F.col("c_name")).alias("vmname"),
+        F.col("c_acctbal").alias("cpu"), F.col("c_nationkey").alias("vsphere.vm.mem"),
+    )
+    return A.to_samples(c, ["c_custkey"], ["cpu", "vsphere.vm.mem"], ["endpoint", "vmname"], "here", 60).select("c_custkey", "metric", "endpoint", "value", "step")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, 'file') AS prio, 'file' AS dc FROM orders")
+def s10_tags(spark, sf_dir):
+    """Constant tags of a JSON tag file; a field that is there stays."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.expr("o_orderkey % 2 = 0"), F.col("o_orderpriority")).alias("prio"))
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # read on the driver only, at once
+        f.write('{"prio": "file", "dc": "file"}')
+        f.flush()
+        tags = files.tags_from(f.name, host=True, prefix="host_", read_time="lst")
+    return files.tagged(o, tags).where("lst <= current_timestamp() and host_os <> ''").select("o_orderkey", "prio", "dc")
+
+
+@query("SELECT n_nationkey, n_name || 'é' AS name, 'ISO-8859-1' AS charset FROM nation")
+def s7_charset(spark, sf_dir):
+    """Lines written in another charset and decoded."""
+    path = _folder(spark)
+    n = t(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("é")).alias("name"))
+    n.write.option("encoding", "ISO-8859-1").csv(path)
+    back = files.decoded(spark, f"{path}/*.csv", "ISO-8859-1", tag="charset").where("value <> ''")
+    return back.select(F.split_part("value", F.lit(","), F.lit(1)).cast("int").alias("n_nationkey"), F.split_part("value", F.lit(","), F.lit(2)).alias("name"), "charset")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL")
+def s5_s6_packed(spark, sf_dir):
+    """Lines of gzip files, by the archive reader and by the reader that the path chooses: both give the same counts."""
+    path = _folder(spark)
+    t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value")).write.option("compression", "gzip").text(path)
+    a = files.archives(spark, f"{path}/*.gz").select("value", F.lit(1).alias("side"))
+    b = files.auto(spark, path).select("value", F.lit(2).alias("side"))
+    n = a.unionByName(b).groupBy("value").agg(F.count_if(F.col("side") == 1).alias("n"), F.count_if(F.col("side") == 2).alias("m"))
+    return n.where("n = m").select("value", "n")
+
+
+@query("SELECT CAST(2016 + n_regionkey AS BIGINT) AS y, count(*) AS n FROM nation WHERE n_regionkey BETWEEN 1 AND 3 GROUP BY ALL")
+def s14_dated_names(spark, sf_dir):
+    """One table a year, of which those whose name lies in a time range are read."""
+    path = _folder(spark)
+    n = t(spark, sf_dir, "nation").withColumn("y", F.col("n_regionkey").cast("bigint") + 2016)
+    n.write.partitionBy("y").parquet(path)
+    names = joins.names_between([f"y={y}" for y in range(2010, 2030)], "y=@(YYYY)", "2017", "201912")
+    parts = [spark.read.parquet(f"{path}/{name}").withColumn("y", F.lit(int(name[2:])).cast("bigint")) for name in names]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts).groupBy("y").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, lower(o_orderpriority) AS o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 'a' ELSE 'b' END AS sink, 'x' AS env FROM orders")
+def d1_config_run(spark, sf_dir):
+    """A pipeline from its config alone: source, tags, transform, route and two sinks, whose files are read back."""
+    path = _folder(spark)
+    spec.run(spark, {
+        "source": {"type": "parquet", "path": f"{sf_dir}/orders.parquet"}, "tags": {"env": "x"}, "transforms": [{"type": "case", "key": "o_orderpriority", "mode": "lower"}],
+        "route": {"key": "o_orderpriority", "routes": [("contains", "1-", 0)], "default": 1}, "sinks": [{"type": "parquet", "path": f"{path}/a"}, {"type": "parquet", "path": f"{path}/b"}],
+    })
+    sides = [spark.read.parquet(f"{path}/{s}").select("o_orderkey", "o_orderpriority", F.lit(s).alias("sink"), "env") for s in "ab"]
+    return sides[0].unionByName(sides[1])
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n_lines FROM orders GROUP BY ALL")
+def t1_files_by_time(spark, sf_dir):
+    """Lines of each file, files by modification time; suffixes are left out."""
+    path = _folder(spark)
+    o = t(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value"))
+    o.repartition("o_orderstatus").write.partitionBy("o_orderstatus").text(f"{path}/log")
+    o.select("value").write.text(f"{path}/log/o_orderstatus=Z.bak")
+    lines = files.lines(spark, f"{path}/log", recursive=True, ignore_suffixes=[".crc"], ignore=r"\.bak/")
+    return files.ordered_files(lines).groupBy(F.regexp_extract("_source", "o_orderstatus=([^/]+)", 1).alias("status")).agg(F.sum("n_lines").alias("n_lines"))
+
+
 def queries():
     return dict(QUERIES)
 

@@ -116,7 +116,8 @@ def run_stream(stream: DataFrame, spec: dict, sinks: list[Callable[[DataFrame],
 #: Sources and sinks that a spec can name; more may be registered.
 SOURCES: dict[str, Callable[..., DataFrame]] = {
     "dir": files.lines, "file": files.lines, "tailx": files.lines, "dirx": files.lines, "fileauto": files.auto, "archive": files.archives,
-    "charset": files.decoded, "jdbc": files.jdbc, "kafka": files.kafka, "socket": files.socket, "httpfetch": files.pages,
+    "charset": files.decoded, "jdbc": files.jdbc, "jdbc_range": files.jdbc_range, "jdbc_tables": files.jdbc_tables,
+    "cloudtrail": files.audit_objects, "kafka": files.kafka, "socket": files.socket, "httpfetch": files.pages,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
 SINKS: dict[str, Callable[..., None]] = {

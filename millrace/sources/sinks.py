@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,14 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegralType, MapType, NumericType, StringType, StructType
 
 
-def json_files(df: DataFrame, path: str, time: str | None = None, parts: dict[str, str] | None = None, n_folders: int | None = None) -> None:
-    """JSON lines below folders by time (name to date pattern) or in n balanced folders."""
+def json_files(df: DataFrame, path: str, time: str | None = None, parts: dict[str, str] | None = None, n_folders: int | None = None, array_of: int | None = None) -> None:
+    """JSON lines below folders by time (name to date pattern) or in n balanced folders.
+
+    array_of: each line is an array of up to so many neighbouring records of one folder.
+    """
+    fields = df.columns
     at = F.col(time) if time else F.current_timestamp()
     df = df.withColumns({k: F.date_format(at, p) for k, p in (parts or {}).items()})
     by = list(parts or {})
     if n_folders:
         df, by = df.withColumn("partition", F.pmod(F.monotonically_increasing_id(), F.lit(n_folders))), [*by, "partition"]
-    (df.write.partitionBy(*by) if by else df.write).mode("append").json(path)
+    if array_of:
+        rows = df.select(*by, F.monotonically_increasing_id().alias("_id"), F.to_json(F.struct(*fields)).alias("_row"))
+        batch = rows.groupBy(*by, F.expr(f"_id div {int(array_of)}").alias("_batch")).agg(F.sort_array(F.collect_list(F.struct("_id", "_row"))).alias("_rows"))
+        lines = batch.select(*by, F.concat(F.lit("["), F.array_join("_rows._row", ","), F.lit("]")).alias("value"))
+        return (lines.write.partitionBy(*by) if by else lines.write).mode("append").text(path)
+    return (df.write.partitionBy(*by) if by else df.write).mode("append").json(path)
 
 
 def raw_files(df: DataFrame, path: str, column: str = "raw") -> None:
@@ -31,8 +41,14 @@ def flat_text(df: DataFrame, fields: list[str]) -> DataFrame:
     ])
 
 
-def csv_files(df: DataFrame, path: str, fields: list[str], sep: str = ",", max_records: int | None = None) -> None:
-    writer = flat_text(df, fields).write.mode("append")
+def csv_files(df: DataFrame, path: str, fields: list[str], sep: str = ",", max_records: int | None = None, max_bytes: int | None = None) -> None:
+    """Files of at most so many records, or of at most so many bytes, reckoned by the longest row (one more pass)."""
+    flat = flat_text(df, fields)
+    if max_bytes:
+        row = F.to_csv(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields]), {"sep": sep})
+        longest = flat.agg(F.max(F.octet_length(row))).first()[0]
+        max_records = max(1, max_bytes // ((longest or 0) + 1))
+    writer = flat.write.mode("append")
     (writer.option("maxRecordsPerFile", max_records) if max_records else writer).csv(path, sep=sep)
 
 
@@ -92,13 +108,17 @@ def http_bodies(df: DataFrame, batch: str, order: str, mode: str = "body_json",
     return grouped.select(batch, lines.alias("body"))
 
 
-def post(bodies: DataFrame, url: str, send: Callable[[str, str], None] | None = None) -> None:
-    """POST each body from the tasks; a failure fails the task, which Spark retries."""
+def post(bodies: DataFrame, url: str, send: Callable[[str, str], None] | None = None, zipped: bool = False, headers: dict[str, str] | None = None) -> None:
+    """POST each body from the tasks, gzip-compressed if asked; a failure fails the task, which Spark retries."""
 
     def default(u: str, body: str) -> None:
+        import gzip
         import urllib.request
 
-        with urllib.request.urlopen(urllib.request.Request(u, body.encode(), method="POST"), timeout=60) as r:
+        data, own = body.encode(), dict(headers or {})
+        if zipped:
+            data, own = gzip.compress(data), own | {"Content-Encoding": "gzip"}
+        with urllib.request.urlopen(urllib.request.Request(u, data, own, method="POST"), timeout=60) as r:
             if r.status >= 300:
                 raise OSError(f"status {r.status}")
 
@@ -109,6 +129,7 @@ def post(bodies: DataFrame, url: str, send: Callable[[str, str], None] | None =
 def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list[str], time: str | None = None) -> DataFrame:
     """Time-series text lines: sorted escaped tags, sorted fields, microsecond times in ns. Rows without a field go."""
     esc = lambda c: F.regexp_replace(c, r"([ ,=])", r"\\$1")
+    name = lambda n, marks=" ,=": re.sub(f"([{marks}])", r"\\\1", n)
     kinds = {f.name: f.dataType for f in df.schema}
 
     def field(n: str) -> Column:
@@ -119,10 +140,10 @@ def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list
             v = F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
         else:
             v = c.cast("string")
-        return F.concat(F.lit(f"{n}="), v)
+        return F.concat(F.lit(f"{name(n)}="), v)
 
-    tag = [F.when(F.col(t).cast("string") != "", F.concat(F.lit(f",{t}="), esc(F.col(t).cast("string")))) for t in sorted(tags)]
-    head = F.concat(F.lit(measurement), *[F.coalesce(t, F.lit("")) for t in tag])
+    tag = [F.when(F.col(t).cast("string") != "", F.concat(F.lit(f",{name(t)}="), esc(F.col(t).cast("string")))) for t in sorted(tags)]
+    head = F.concat(F.lit(name(measurement, " ,")), *[F.coalesce(t, F.lit("")) for t in tag])
     body = F.concat_ws(",", *[field(f) for f in sorted(fields)])
     out = F.concat(head, F.lit(" "), body)
     if time:

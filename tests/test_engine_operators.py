@@ -262,3 +262,127 @@ def test_csv_bodies_are_quoted(spark):
     assert sinks.http_bodies(df, "b", "o", "csv").first().body == 'o,t\n1,"a,""b"""\n2,'
     raw = sinks.http_bodies(df, "b", "o", "raw", template="${o}=${t};").first().body
     assert raw == '1=a,"b";\n2=;'
+
+
+@pytest.fixture(scope="module")
+def database(spark):
+    """A database in memory, of the driver that comes with Spark."""
+    url, driver = "jdbc:derby:memory:pulls;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    year = lambda y: spark.range(20).select((F.col("id") + y * 100).alias("K"), F.concat(F.lit("v"), "id").alias("V"))
+    for y in (2017, 2018, 2019):
+        sinks.jdbc_append(year(y) if y != 2018 else year(y).withColumn("W", F.lit(1.5)), url, f"order_{y}", **driver)
+    return url, driver
+
+
+def test_database_ranges_are_half_open_and_read_in_parts(spark, database):
+    url, driver = database
+    df = files.jdbc_range(spark, url, "SELECT * FROM order_2017 WHERE 1 = 1;", "K", 201705, 201712, partitions=3, hints={"K": "string"}, **driver)
+    assert df.rdd.getNumPartitions() == 3 and dict(df.dtypes)["K"] == "string"
+    assert sorted(r.K for r in df.collect()) == [str(k) for k in range(201705, 201712)]
+    whole = files.jdbc_range(spark, url, "SELECT K, V FROM order_2017", "K", 0, 201702, cast="BIGINT", **driver)
+    assert whole.count() == 2
+
+
+@pytest.mark.parametrize(("begin", "end", "years"), [("2018", "2019", {"ORDER_2018", "ORDER_2019"}), (None, None, {"ORDER_2017", "ORDER_2018", "ORDER_2019"})])
+def test_database_tables_by_name(spark, database, begin, end, years):
+    url, driver = database
+    listing = "SELECT tablename FROM sys.systables WHERE tabletype = 'T'"
+    df = files.jdbc_tables(spark, url, "ORDER_@(YYYY)", begin, end, listing=listing, tag="t", **driver)
+    assert {r.t: (r.n, r.w) for r in df.groupBy("t").agg(F.count("*").alias("n"), F.count("W").alias("w")).collect()} == {y: (20, 20 if "2018" in y else 0) for y in years}
+    with pytest.raises(ValueError):
+        files.jdbc_tables(spark, url, "none_@(YYYY)", listing=listing, **driver)
+
+
+def test_tags_of_file_environment_and_host(tmp_path, monkeypatch):
+    (tmp_path / "t.json").write_text('{"a": "file", "b": "file"}')
+    monkeypatch.setenv("OWN_TAGS", '{"b": "env", "h_os": "mine"}')
+    monkeypatch.setenv("BAD_TAGS", "[1")
+    tags = files.tags_from(str(tmp_path / "t.json"), "OWN_TAGS", host=True, prefix="h_")
+    assert tags["a"] == "file" and tags["b"] == "env" and tags["h_os"] == "mine" and tags["h_hostname"]
+    assert files.tags_from(str(tmp_path / "none"), "BAD_TAGS") == {}
+
+
+def test_newest_files_and_suffixes(spark, tmp_path):
+    import os
+
+    for n, name in enumerate(["old.log", "mid.log", "new.log", "new.log.bak"]):
+        (tmp_path / name).write_text(f"head\n{name}\n")
+        os.utime(tmp_path / name, (1000 + n, 1000 + n))
+    got = files.lines(spark, str(tmp_path), skip_first=True, ignore_suffixes=[".bak"])
+    assert sorted(r.value for r in got.collect()) == ["mid.log", "new.log", "old.log"]
+    got = files.lines(spark, str(tmp_path), newest=True, ignore_suffixes=[".bak"])
+    assert [r.value for r in got.collect()] == ["head", "new.log"]
+
+
+def test_audit_objects_of_a_stream_come_once(spark, tmp_path):
+    import json
+
+    def put(day, *ids):
+        (tmp_path / "in" / day).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / day / f"{ids[0]}.json").write_text(json.dumps({"Records": [{"id": i, "own": {"x": str(i)}} for i in ids]}, indent=1))
+
+    ddl = "id long, own struct<x: string>"
+    put("2018/01/01", 1, 2)
+    put("2018/01/02", 3)
+    put("2018/01/03", 4)
+    top = str(tmp_path / "in")
+    assert sorted(r.id for r in files.audit_objects(spark, top, ddl, ("2018-01-01", "2018-01-02")).collect()) == [1, 2, 3]
+    for n in range(2):
+        own = files.audit_objects(spark, top, ddl, stream=True, max_files=2)
+        own.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        put("2018/01/03", 5, 6)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.id, r.own.x) for r in out.collect()) == [(i, str(i)) for i in range(1, 7)]
+
+
+def test_requests_with_method_headers_and_zipped_bodies(spark):
+    import gzip
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            data = self.rfile.read(int(self.headers["Content-Length"]))
+            data = gzip.decompress(data) if self.headers["Content-Encoding"] == "gzip" else data
+            seen.append((self.path, self.headers["X-Own"], data.decode()))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data[::-1])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    got = files.pages(spark, url + "/{page}?a={x}", 1, 3, partitions=2, method="POST", headers={"X-Own": "h"}, body="p{page}").collect()
+    assert sorted((r.page, r.value) for r in got) == [(1, "1p"), (2, "2p"), (3, "3p")]
+    assert sorted(seen) == [(f"/{n}?a={{x}}", "h", f"p{n}") for n in (1, 2, 3)]
+    seen.clear()
+    sinks.post(spark.createDataFrame([("é",), ("b",)], "body string"), url, zipped=True, headers={"X-Own": "z"})
+    assert sorted(s[2] for s in seen) == ["b", "é"] and {s[1] for s in seen} == {"z"}
+    server.shutdown()
+
+
+def test_csv_files_keep_under_a_size(spark, tmp_path):
+    sinks.csv_files(spark.range(1000).coalesce(1).select("id", F.lit("é,x").alias("t")), str(tmp_path / "o"), ["id", "t"], max_bytes=1000)
+    parts = list((tmp_path / "o").glob("*.csv"))
+    assert len(parts) > 5 and max(p.stat().st_size for p in parts) <= 1000
+    assert spark.read.csv(str(tmp_path / "o")).count() == 1000
+
+
+def test_line_protocol_escapes_names(spark):
+    df = spark.createDataFrame([("x y", 1)], "`a b` string, `f=g` long")
+    assert sinks.line_protocol(df, "m, n", ["a b"], ["f=g"]).first().value == "m\\,\\ n,a\\ b=x\\ y f\\=g=1i"
+
+
+def test_endpoints(spark):
+    df = spark.createDataFrame([(1, None, "v", 1.0), (2, "own", "v", 2.0), (3, None, None, 3.0)], "id long, endpoint string, vmname string, `vsphere.vm.cpu` double")
+    df = df.withColumn("load", F.lit(5))
+    rows = aggregates.to_samples(df, ["id"], ["vsphere.vm.cpu", "load"], ["endpoint", "vmname"], "here", 30).collect()
+    assert {(r.id, r.metric): r.endpoint for r in rows} == {
+        (1, "vsphere.vm.cpu"): "v", (2, "vsphere.vm.cpu"): "own", (3, "vsphere.vm.cpu"): "", (1, "load"): "here", (2, "load"): "own", (3, "load"): "here",
+    }
+    assert {r.tags for r in rows if r.id == 2} == {"endpoint=own,vmname=v"} and {r.step for r in rows} == {30}
