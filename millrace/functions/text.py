@@ -158,6 +158,20 @@ def chunks(c: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * size + 1, F.lit(size)))
 
 
+def byte_chunks(c: Column, size: int) -> Column:
+    """Array of pieces of at most size UTF-8 bytes; their concatenation is the text.
+
+    A piece runs to the last line break within reach, or to the last whole character where there is none.
+    """
+    if size < 4:
+        raise ValueError("a piece must hold any character, of up to 4 bytes")
+    # One character for each byte, so that the search counts bytes.
+    raw = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    pattern = rf"(?s).{{1,{size}}}\z|.{{1,{size}}}(?<=\n)|.{{1,{size}}}(?![\x80-\xBF])"
+    pieces = F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)), lambda x: F.decode(F.encode(x, "ISO-8859-1"), "UTF-8"))
+    return F.when(F.length(c) == 0, F.array(F.lit(""))).otherwise(pieces)
+
+
 def scaled(c: Column, digits: int) -> Column:
     """Number divided by ten to the digits."""
     return c.try_cast("double") / F.lit(float(10**digits))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, NumericType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, NumericType, StringType, StructField, StructType
 
 from .. import paths
 from ..errors import with_error
@@ -54,13 +54,29 @@ def copy(df: DataFrame, old: str, new: str, override: bool = False, prune_empty:
     return paths.put(df, new, F.coalesce(paths.get(df, new), value))
 
 
-def pruned(c: Column, kind: DataType | None) -> Column:
-    """Empty texts, arrays and maps become null."""
-    name = kind.typeName() if kind else ""
-    if name == "string":
+def pruned(c: Column, kind: DataType | None, depth: int = 5) -> Column:
+    """Empty texts, arrays, maps and structs become null, within structs and text maps too; depth levels below, a struct
+    or map becomes JSON text."""
+    if isinstance(kind, StringType):
         return F.nullif(c, F.lit(""))
-    if name in ("array", "map"):
+    if isinstance(kind, ArrayType):
+        return F.when(F.size(c) > 0, c)
+    if isinstance(kind, MapType):
+        inner = kind.valueType
+        if isinstance(inner, (StructType, MapType)) and depth == 0:
+            c = F.transform_values(c, lambda _, v: F.to_json(v))
+        elif isinstance(inner, (StringType, ArrayType, StructType, MapType)):
+            c = F.map_filter(F.transform_values(c, lambda _, v: pruned(v, inner, depth - 1)), lambda _, v: v.isNotNull())
         return F.when(F.size(c) > 0, c)
+    if isinstance(kind, StructType) and kind.fields:
+        own = []
+        for f in kind.fields:
+            inner = c.getField(f.name)
+            if isinstance(f.dataType, (StructType, MapType)) and depth == 0:
+                own.append(F.to_json(inner).alias(f.name))
+            else:
+                own.append(pruned(inner, f.dataType, depth - 1).alias(f.name))
+        return F.when(reduce(lambda a, b: a | b, [x.isNotNull() for x in own]), F.struct(*own))
     return c
 
 
@@ -163,6 +179,32 @@ def split_value(df: DataFrame, key: str, size: int, id_column: Column) -> DataFr
     return rows.select(*others, F.size("_parts").alias("part_count"), F.posexplode("_parts").alias("part_no", key))
 
 
+def split_oversized(df: DataFrame, keys: list[str], size: int, id_column: Column, part_id: str = "part_id") -> DataFrame:
+    """A row with text fields of more than size bytes becomes one row of its other fields, then a row for each piece of an
+    oversized field, with only the piece and its id `<id>_<field>_<n>`; other rows stay as they are, without an id."""
+    from ..functions.text import byte_chunks
+
+    big = {k: F.coalesce(F.octet_length(k) > size, F.lit(False)) for k in keys}
+
+    def pieces_of(k: str) -> Column:
+        name = lambda i: F.concat_ws("_", id_column.cast("string"), F.lit(k), i.cast("string"))
+        found = F.transform(byte_chunks(F.col(k), size), lambda x, i: F.struct(name(i).alias("id"), F.lit(k).alias("key"), x.alias("piece")))
+        return F.when(big[k], found)
+
+    head = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("piece")))
+    none = F.filter(head, lambda x: x["id"].isNotNull())
+    row = "_" * (1 + max(map(len, df.columns))) + "row"
+    rows = df.withColumn(row, F.explode(F.concat(head, *[F.coalesce(pieces_of(k), none) for k in keys])))
+    is_head = F.col(row)["id"].isNull()
+
+    def value(c: str) -> Column:
+        if c not in big:
+            return F.when(is_head, F.col(f"`{c}`"))
+        return F.when(is_head & ~big[c], F.col(f"`{c}`")).when(F.col(row)["key"] == c, F.col(row)["piece"])
+
+    return rows.select(*[value(c).alias(c) for c in df.columns], F.col(row)["id"].alias(part_id))
+
+
 def rejoin_value(df: DataFrame, key: str) -> DataFrame:
     """Chunks of split_value back to whole texts, one row for each part_id."""
     parts = df.groupBy("part_id").agg(F.sort_array(F.collect_list(F.struct("part_no", key))).alias("_p"))
@@ -182,13 +224,21 @@ def parse_json(df: DataFrame, key: str, schema: str, new: str | None = None, ext
     return paths.drop(df, key) if drop and (new or extract) else df
 
 
-def parse_key_values(df: DataFrame, key: str, new: str | None = None, drop: bool = False) -> DataFrame:
-    """key=value text to a map; other text is noted and stays."""
+def parse_key_values(df: DataFrame, key: str, new: str | None = None, drop: bool = False, splitter: str = "=", typed: dict[str, str] | None = None,
+                     keep_string: bool = False) -> DataFrame:
+    """key=value text to a map; other text is noted and stays.
+
+    typed: columns of requested keys and their Spark types; text that is none of it is null; keep_string leaves all text.
+    """
     from ..functions.text import key_values, last_of_each
 
-    pairs = key_values(paths.get(df, key))
+    out = new or f"{key}_map"
+    pairs = key_values(paths.get(df, key), splitter)
     df = with_error(df, paths.get(df, key).isNotNull() & pairs.isNull(), "keyvalue", key, "no key=value")
-    df = paths.put(df, new or f"{key}_map", last_of_each(pairs))
+    df = paths.put(df, out, last_of_each(pairs))
+    for name, kind in (typed or {}).items():
+        c = F.try_element_at(paths.get(df, out), F.lit(name))
+        df = df.withColumn(name, c if keep_string else c.try_cast(kind))
     return paths.drop(df, key) if drop else df
 
 

@@ -192,6 +192,52 @@ def test_split_and_rejoin(spark):
     assert {r.part_id: r.t for r in fields.rejoin_value(pieces, "t").collect()} == {1: "日本語abc" * 50, 2: ""}
 
 
+def test_oversized_texts_split_at_line_breaks(spark):
+    lines = "".join(f"line {i} é日\n" for i in range(40)) + "end"
+    solid, short, wide = "日本語x" * 30, "short", "\n\n\n" + "a" * 64
+    df = spark.createDataFrame([(1, lines, solid), (2, short, None), (3, "", wide), (4, None, "b" * 64)], "k long, t string, u string")
+    out = fields.split_oversized(df, ["t", "u"], 64, F.col("k")).collect()
+    heads = {r.k: (r.t, r.u) for r in out if r.part_id is None}
+    assert heads == {1: (None, None), 2: (short, None), 3: ("", None), 4: (None, "b" * 64)}
+    parts = {r.part_id: r.t if r.u is None else r.u for r in out if r.part_id is not None}
+    assert all(r.k is None and (r.t is None) != (r.u is None) for r in out if r.part_id is not None)
+    for name, whole in (("1_t", lines), ("1_u", solid), ("3_u", wide)):
+        own = [parts[f"{name}_{i}"] for i in range(sum(p.rsplit("_", 1)[0] == name for p in parts))]
+        assert "".join(own) == whole and all(0 < len(x.encode()) <= 64 for x in own)
+        if name == "1_t":
+            assert all(x.endswith("\n") for x in own[:-1])
+            want, line_bytes = [[]], [x.encode() for x in lines.splitlines(keepends=True)]
+            for x in line_bytes:
+                if sum(map(len, want[-1])) + len(x) > 64:
+                    want.append([])
+                want[-1].append(x)
+            assert own == [b"".join(w).decode() for w in want]
+    with pytest.raises(ValueError):
+        fields.split_oversized(df, ["t"], 3, F.col("k"))
+    assert fields.split_oversized(df.limit(0), ["t"], 64, F.col("k")).count() == 0
+
+
+def test_nested_values_are_pruned_when_copied(spark):
+    deep = "struct<b:struct<c:struct<d:struct<e:struct<f:struct<g:struct<h:int>>>>>>>"
+    schema = f"k long, v struct<s:string,a:array<int>,m:map<string,string>,n:int,o:struct<p:string>>, w {deep}"
+    g = (((((((7,),),),),),),)
+    df = spark.createDataFrame([(1, ("", [], {"x": "", "y": "z"}, 3, ("",)), g), (2, ("", [], {"x": ""}, None, (None,)), None)], schema)
+    out = fields.copy(fields.copy(df, "v", "v2", prune_empty=True), "w", "w2", prune_empty=True).orderBy("k").collect()
+    assert out[0].v2.asDict(True) == {"s": None, "a": None, "m": {"y": "z"}, "n": 3, "o": None}
+    assert out[1].v2 is None and out[1].w2 is None
+    assert out[0].w2.b.c.d.e.f.g == '{"h":7}'
+
+
+def test_key_values_in_a_field_with_a_splitter_and_types(spark):
+    df = spark.createDataFrame([("a:1 b:true c:some text",), ("a:x",), ("nothing",)], "v string")
+    kinds = {"a": "double", "b": "boolean", "c": "string"}
+    out = fields.parse_key_values(df, "v", splitter=":", typed=kinds).collect()
+    assert [(r.a, r.b, r.c) for r in out] == [(1.0, True, "some text"), (None, None, None), (None, None, None)]
+    kept = fields.parse_key_values(df, "v", splitter=":", typed=kinds, keep_string=True).collect()
+    assert [(r.a, r.b) for r in kept] == [("1", "true"), ("x", None), (None, None)]
+    assert out[2]._errors and not out[0]._errors
+
+
 def test_flagship_runs(spark):
     good = catalog.flagship(spark, "/root/testdata/sf0.001")
     assert good.count() > 0 and split_errors(good)[1].count() == 0
