@@ -762,6 +762,37 @@ def t1_files_by_time(spark, sf_dir):
     return files.ordered_files(lines).groupBy(F.regexp_extract("_source", "o_orderstatus=([^/]+)", 1).alias("status")).agg(F.sum("n_lines").alias("n_lines"))
 
 
+@query("SELECT doc_id, text, coalesce(strlen(text) > 256, false) AS oversized, true AS fits FROM documents")
+def x22_oversized_texts(spark, sf_dir):
+    """Texts over 256 bytes leave their row for rows of pieces; pieces joined again are the texts."""
+    rows = fields.split_oversized(t(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], 256, F.col("doc_id"))
+    place = F.split("part_id", "_")
+    parts = rows.where("part_id is not null").select(place[0].cast("bigint").alias("doc_id"), place[2].cast("int").alias("no"), F.col("text").alias("piece"))
+    whole = parts.groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("no", "piece")))["piece"], "").alias("whole"), F.max(F.octet_length("piece")).alias("longest")
+    )
+    heads = rows.where("part_id is null").select("doc_id", "text").join(whole, "doc_id", "left")
+    fits = F.coalesce(F.col("longest"), F.octet_length("text"), F.lit(0)) <= 256
+    return heads.select("doc_id", F.coalesce("whole", "text").alias("text"), F.col("whole").isNotNull().alias("oversized"), fits.alias("fits"))
+
+
+@query("SELECT event_id, user_id AS u, value AS v, event_type AS s FROM events")
+def x10_splitter_and_types(spark, sf_dir):
+    raw = F.concat(F.lit("u:"), F.col("user_id").cast("string"), F.lit(" v : "), F.col("value").cast("string"), F.lit(' s:"'), "event_type", F.lit('"'))
+    e = t(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return fields.parse_key_values(e, "raw", "kv", splitter=":", typed={"u": "bigint", "v": "double", "s": "string"}).select("event_id", "u", "v", "s")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS inner_name, c_custkey % 2 <> 0 AS gone, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS n FROM customer")
+def x19_nested_pruned(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.lit(""))
+    inner = F.struct(name.alias("name"), F.create_map(F.lit("name"), name, F.lit("none"), F.lit("")).alias("names"))
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.struct(inner.alias("inner"), F.array().cast("array<string>").alias("none")).alias("v"))
+    out = fields.copy(c, "v", "kept", prune_empty=True)
+    n = F.when(F.col("kept.inner.names").isNotNull(), F.size("kept.inner.names"))
+    return out.select("c_custkey", F.col("kept.inner.name").alias("inner_name"), F.col("kept").isNull().alias("gone"), n.alias("n"))
+
+
 def queries():
     return dict(QUERIES)
 
