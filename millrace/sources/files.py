@@ -9,7 +9,7 @@ import os
 import platform
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,11 +192,26 @@ def uuid_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.regexp_replace(F.lower(F.hex(column)), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
-def offset_scan(df: DataFrame, key: str, after, until=None, inclusive: bool = False) -> DataFrame:
-    """Rows of any connector beyond an offset (and up to end minus delay), in order."""
+def offset_scan(df: DataFrame, key: str, after=None, until=None, inclusive: bool = False, where: Column | str | None = None, delay: str | None = None) -> DataFrame:
+    """Rows of any connector beyond an offset and up to an end, in order; without an offset from the first on.
+
+    where: the user's own filter, which holds besides. delay: an interval ('5 minutes'), for a key that is a time; rows
+    younger than that before the end, or before now without one, are left for later.
+    """
     c = F.col(key)
-    df = df.where((c >= F.lit(after)) if inclusive else (c > F.lit(after)))
-    return (df.where(c <= F.lit(until)) if until is not None else df).orderBy(key)
+    if where is not None:
+        df = df.where(where)
+    if after is not None:
+        df = df.where((c >= F.lit(after)) if inclusive else (c > F.lit(after)))
+    end = F.lit(until) if until is not None else None
+    if delay:
+        end = (end.cast("timestamp") if end is not None else F.current_timestamp()) - F.expr(f"INTERVAL {delay}")
+    return (df.where(c <= end) if end is not None else df).orderBy(key)
+
+
+def dated_index(pattern: str, shift_hours: int = 0, at: datetime.datetime | None = None) -> str:
+    """Name of an index with time variables, of so many hours before a time (now)."""
+    return joins.expand_names(pattern, (at or datetime.datetime.now()) - datetime.timedelta(hours=shift_hours))
 
 
 def kafka(spark: SparkSession, servers: str, topics: str, oldest: bool = True, max_offsets: int | None = None, stream: bool = True) -> DataFrame:

@@ -238,6 +238,19 @@ def test_key_values_in_a_field_with_a_splitter_and_types(spark):
     assert out[2]._errors and not out[0]._errors
 
 
+def test_offset_scans_with_filter_and_delay(spark):
+    at = datetime.datetime(2024, 3, 1, 12)
+    df = spark.createDataFrame([(i, at + datetime.timedelta(minutes=i), "ab"[i % 2]) for i in (3, 0, 5, 1, 4, 2)] + [(None, None, "a")], "k long, ts timestamp, s string")
+    ids = lambda d: [r.k for r in d.collect()]
+    assert ids(files.offset_scan(df, "k", 1)) == [2, 3, 4, 5]
+    assert ids(files.offset_scan(df, "k", 1, 4, inclusive=True, where="s = 'b'")) == [1, 3]
+    assert ids(files.offset_scan(df, "ts", at, at + datetime.timedelta(minutes=5), delay="2 minutes")) == [1, 2, 3]
+    assert len(ids(files.offset_scan(df, "ts", delay="1 hour", where=F.col("s") == "a"))) == 3
+    assert ids(files.offset_scan(df, "k", where="s = 'b'")) == [1, 3, 5]
+    assert files.dated_index("logs-@(YYYY).@(MM).@(DD)-@(hh)", 24, at) == "logs-2024.02.29-12"
+    assert files.dated_index("plain") == "plain"
+
+
 def test_flagship_runs(spark):
     good = catalog.flagship(spark, "/root/testdata/sf0.001")
     assert good.count() > 0 and split_errors(good)[1].count() == 0
