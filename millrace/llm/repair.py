@@ -232,9 +232,9 @@ def edit_scripts(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, f"conv_id {kind}, gaps long, {', '.join(f'{f} long' for f in FIGURES)}, audit string")
 
 
-def repair_conversations(rows: DataFrame) -> DataFrame:
+def repair_conversations(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """A row a conversation: gaps, faults, cost and edits, and the digest of the repaired rows. rows: as damaged gives them."""
-    scripts = edit_scripts(symbols(rows))
+    scripts = edit_scripts(symbols(rows, stretch))
     plan = F.struct(*[c for c in scripts.columns if c != "conv_id"])
     nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
     turn = rows.schema["turn"].dataType.simpleString()
