@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer never lets a token cross white space and its normalizer works on single characters (and
 combining runs, which white space ends), so a text's ids are the ids of its white-space separated chunks in order. Nor
-does a token hold both letters and marks, so a chunk of letters with marks behind it is encoded as both in turn.
+does a token hold both letters and marks, so a chunk of letters with marks behind it is encoded as both in turn, if its
+normalized form, too, is letters alone: a dotted capital I, say, ends in a combining dot, which joins the marks.
 
 Words not met before are encoded by the tokenizers library many at a time, as one text, whose word numbers give each
 word its ids (one by one where the numbers do not fit the words); a worker then looks them up.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 
@@ -25,6 +27,11 @@ _TOGETHER, _WORDS = 1 << 20, 1000
 _MARKS = b".,;:!?)"
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters alone, before and after it is normalized."""
+    return word.isalpha() or ((own := word.decode()).isalpha() and normalize("NFC", own).lower().isalpha())
+
+
 class _Vocabulary:
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,18 +57,31 @@ class _Vocabulary:
         edge = [*(2 * first).tolist(), len(ids)]
         self.known.update((w, ids[edge[i] : edge[i + 1]]) for i, w in enumerate(words))
 
+    def _plain(self, chunks: list[bytes]) -> None:
+        """Learn ASCII chunks of any kind: what a token stands for begins within its chunk."""
+        done = self.tokenizer.encode(b" ".join(chunks).decode(), add_special_tokens=False)
+        begins = np.cumsum([0, *[len(c) + 1 for c in chunks[:-1]]])
+        edge = (2 * np.searchsorted([a for a, _ in done.offsets], begins)).tolist()
+        ids = np.array(done.ids, "<u2").tobytes()
+        self.known.update((c, ids[a:b]) for c, a, b in zip(chunks, edge, [*edge[1:], len(ids)]))
+
     def learn(self, chunks: set[bytes]) -> None:
-        known, parts, words = self.known, [], set()
+        known, parts, words, others = self.known, [], set(), []
         for chunk in chunks:
             word = chunk.rstrip(_MARKS)
-            if not word.isalpha() and not word.decode().isalpha():
-                known[chunk] = self._one(chunk)
+            if not _letters(word):
+                if chunk.isascii() and b"<|" not in chunk:
+                    others.append(chunk)
+                else:
+                    known[chunk] = self._one(chunk)
                 continue
             word = word.lower()
             if word not in known:
                 words.add(word)
             if word != chunk:
                 parts.append((chunk, word, chunk[len(word) :]))
+        for at in range(0, len(others), _WORDS):
+            self._plain(others[at : at + _WORDS])
         new = list(words)
         for at in range(0, len(new), _WORDS):
             self._words(new[at : at + _WORDS])
