@@ -15,7 +15,9 @@ near copies costs its size, not its square.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components link with nothing, nor do
 vectors of different length; of rows that repeat an id the smallest vector counts; rows without an id are left out; other
-columns are ignored, whatever their names; long vectors are taken whole (more than 65,535 components are refused).
+columns are ignored, whatever their names; long vectors are taken whole, and beyond LONG components are turned by random
+signs and Hadamard transforms instead of a matrix of the square of their length; vectors are divided by their largest
+component first, so that no norm overflows or vanishes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ BALL_ROUNDS = 2
 CODES = 4
 BOUND = 4.0
 SEED = 11
+#: Longer vectors are padded to a power of two and turned by Hadamard transforms.
+LONG = 1024
+#: Components of vectors that a task turns at once.
+AT_ONCE = 1 << 20
 
 
 def rotations(dim: int, n: int, seed: int = SEED) -> np.ndarray:
@@ -50,6 +56,35 @@ def rotations(dim: int, n: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+class Turn:
+    """n random rotations of vectors, side by side; width is the length of a turned one."""
+
+    def __init__(self, dim: int, n: int, seed: int = SEED):
+        self.dim, self.n = dim, n
+        if dim <= LONG:
+            self.width, self.matrix = dim, rotations(dim, n, seed)
+        else:
+            self.width = 1 << (dim - 1).bit_length()
+            self.signs = np.random.default_rng([seed, dim]).integers(0, 2, (n, 3, self.width), np.int8) * np.int8(2) - np.int8(1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.dim <= LONG:
+            return x @ self.matrix
+        out = np.zeros((len(x), self.n, self.width))
+        out[:, :, : self.dim] = x[:, None]
+        for k in range(3):
+            out *= self.signs[:, k]
+            half = 1
+            while half < self.width:
+                pair = out.reshape(len(x), self.n, -1, 2, half)
+                low = pair[..., 0, :] + pair[..., 1, :]
+                pair[..., 1, :] = pair[..., 0, :] - pair[..., 1, :]
+                pair[..., 0, :] = low
+                half *= 2
+            out /= math.sqrt(self.width)
+        return out.reshape(len(x), -1)
+
+
 def band_shape(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a band and number of bands for n vectors."""
     bits = min(30, max(8, math.ceil(math.log2(max(2, n)))))
@@ -58,49 +93,56 @@ def band_shape(n: int, threshold: float, recall: float = RECALL) -> tuple[int, i
 
 
 def _hashed(bits: np.ndarray, dim: int) -> np.ndarray:
-    """(rows, groups, width) of 0 / 1 to one long for each group, apart for each group and dim."""
-    if dim >= 1 << 16:
-        raise ValueError("vectors of more than 65,535 components")
+    """(rows, groups, width) of 0 / 1 to one long for each group, apart for each group and dim (lengths beyond 16 bits may
+    share keys; where vectors meet, their lengths are compared)."""
+    dim = dim if dim < 1 << 16 else dim % 65_521
     value = (bits.astype(np.int64) << np.arange(bits.shape[2], dtype=np.int64)).sum(axis=2)
     return value | (np.arange(bits.shape[1], dtype=np.int64) << 31) | (np.int64(dim) << 46)
 
 
 def coded(embeddings: DataFrame, bits: int, n_bands: int) -> DataFrame:
-    """vec_id, unit vector, codes, factors, ball keys and band keys of all usable vectors."""
+    """vec_id, dim, unit vector, codes, factors, ball keys and band keys of all usable vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turned: dict[int, np.ndarray] = {}
+        turned: dict[int, Turn] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            most = max(len(x) for x in whole.column("embedding")) if whole.num_rows else 1
+            step = min(1024, max(1, AT_ONCE // most))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 by_dim: dict[int, list] = {}
                 for vec_id, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
                     by_dim.setdefault(len(x), []).append((vec_id, x))
                 for dim, own in by_dim.items():
                     n_rot = max(CODES + 1, 1 + -(-bits * n_bands // dim))
                     if dim not in turned:
-                        turned[dim] = rotations(dim, n_rot + -(-BALL_BITS * BALL_KEYS // dim))
+                        if dim > LONG:
+                            turned.clear()
+                        turned[dim] = Turn(dim, n_rot + -(-BALL_BITS * BALL_KEYS // dim))
+                    width = turned[dim].width
                     x = np.array([v for _, v in own], np.float64)
+                    x /= np.abs(x).max(axis=1, keepdims=True)
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    y = unit @ turned[dim]
+                    y = turned[dim](unit)
                     sign = (y > 0).astype(np.uint8)
-                    head = sign[:, : CODES * dim]
-                    factor = np.abs(y[:, : CODES * dim]).reshape(len(own), CODES, dim).sum(axis=2) / math.sqrt(dim)
+                    head = sign[:, : CODES * width]
+                    factor = np.abs(y[:, : CODES * width]).reshape(len(own), CODES, width).sum(axis=2) / math.sqrt(width)
                     keys = _hashed(sign[:, : bits * n_bands].reshape(len(own), n_bands, bits), dim)
                     balls = _hashed(sign[:, -BALL_BITS * BALL_KEYS :].reshape(len(own), BALL_KEYS, BALL_BITS), dim)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([i for i, _ in own], pa.int64()),
+                            pa.array([dim] * len(own), pa.int32()),
                             pa.array([u.tobytes() for u in unit], pa.binary()),
                             pa.array([c.tobytes() for c in np.packbits(head, axis=1)], pa.binary()),
                             pa.array([f.tobytes() for f in factor], pa.binary()),
                             pa.array(list(balls), pa.list_(pa.int64())),
                             pa.array(list(keys), pa.list_(pa.int64())),
                         ],
-                        ["vec_id", "unit", "code", "factor", "ball_keys", "keys"],
+                        ["vec_id", "dim", "unit", "code", "factor", "ball_keys", "keys"],
                     )
 
-    return embeddings.mapInArrow(run, "vec_id long, unit binary, code binary, factor binary, ball_keys array<long>, keys array<long>")
+    return embeddings.mapInArrow(run, "vec_id long, dim int, unit binary, code binary, factor binary, ball_keys array<long>, keys array<long>")
 
 
 def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -110,6 +152,14 @@ def _by_length(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(sizes == size))
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of one length, those of long vectors in parts of AT_ONCE components."""
+    for batch in batches:
+        step = max(1, AT_ONCE // max(1, len(batch.column("unit")[0].as_buffer()) // 8)) if batch.num_rows else 1
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _cosines(a: pa.Array, b: pa.Array) -> np.ndarray:
     x, y = (np.frombuffer(b"".join(c.to_pylist()), np.float64).reshape(len(c), -1) for c in (a, b))
     return np.einsum("ij,ij->i", x, y)
@@ -133,19 +183,22 @@ def plausible(pairs: DataFrame, theta: float) -> DataFrame:
     """Pairs (a, b, reach, code, factor, unit) whose estimated inner product, within its bound, allows a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turned: dict[int, np.ndarray] = {}
-        for batch in (part for whole in batches for part in _by_length(whole, "unit")):
+        turned: dict[int, Turn] = {}
+        for batch in _in_parts(part for whole in batches for part in _by_length(whole, "unit")):
             n = batch.num_rows
             unit = np.array([np.frombuffer(u.as_buffer(), np.float64) for u in batch.column("unit")])
             dim = unit.shape[1]
             if dim not in turned:
-                turned[dim] = rotations(dim, CODES)
+                if dim > LONG:
+                    turned.clear()
+                turned[dim] = Turn(dim, CODES)
+            width = turned[dim].width
             raw = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(n, -1)
-            sign = np.unpackbits(raw, axis=1)[:, : CODES * dim].astype(np.float64) * 2 - 1
+            sign = np.unpackbits(raw, axis=1)[:, : CODES * width].astype(np.float64) * 2 - 1
             factor = np.frombuffer(b"".join(batch.column("factor").to_pylist()), np.float64).reshape(n, CODES)
-            q = (unit @ turned[dim]).reshape(n, CODES, dim)
-            estimate = (np.einsum("ijk,ijk->ij", q, sign.reshape(n, CODES, dim)) / math.sqrt(dim) / factor).mean(axis=1)
-            spread = np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
+            q = turned[dim](unit).reshape(n, CODES, width)
+            estimate = (np.einsum("ijk,ijk->ij", q, sign.reshape(n, CODES, width)) / math.sqrt(width) / factor).mean(axis=1)
+            spread = np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, width - 1))
             bound = BOUND * np.sqrt((spread**2).sum(axis=1)) / CODES
             need = np.cos(np.minimum(math.pi, theta + np.asarray(batch.column("reach"))))
             own = pa.array(estimate + bound >= need)
@@ -175,6 +228,7 @@ def in_balls(vectors: DataFrame, theta: float) -> DataFrame:
         asked = asked.join(vectors.select(F.col("vec_id").alias("to"), F.col("unit").alias("other")), "to")
         tried = offers.join(vectors.select("vec_id", "unit"), "vec_id").select("vec_id", "to", "to_degree", "unit")
         tried = spread_join(materialise(tried, "tried"), materialise(asked, "asked"), "to", "n", F.length("other") <= 1 << 16)
+        tried = tried.where(F.length("unit") == F.length("other"))
         tried = _with_cosine(tried.select("vec_id", "to", "to_degree", "unit", "other"), "unit", "other").where(inside)
         angle = F.acos(F.least(F.col("cosine"), F.lit(1.0)))
         chosen = tried.groupBy("vec_id").agg(F.max(F.struct("to_degree", (-F.col("to")).alias("to"), angle.alias("angle"))).alias("_b"))
@@ -207,8 +261,8 @@ def linked_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataF
         own = balls.select(F.col("ball").alias(side), F.col("radius").alias(f"r_{side}"))
         pairs = pairs.join(own, side)
     pairs = pairs.select("a", "b", (F.col("r_a") + F.col("r_b")).alias("reach"))
-    pairs = pairs.join(vectors.select(F.col("vec_id").alias("b"), "code", "factor"), "b")
-    pairs = pairs.join(vectors.select(F.col("vec_id").alias("a"), "unit"), "a")
+    pairs = pairs.join(vectors.select(F.col("vec_id").alias("b"), "code", "factor", F.col("dim").alias("dim_b")), "b")
+    pairs = pairs.join(vectors.select(F.col("vec_id").alias("a"), "unit", "dim"), "a").where("dim = dim_b")
     close = materialise(plausible(pairs, theta), "plausible")
     unit = lambda i, u: vectors.select(F.col("vec_id").alias(i), F.col("unit").alias(u))
     exact = _with_cosine(close.join(unit("a", "u"), "a").join(unit("b", "v"), "b"), "u", "v")

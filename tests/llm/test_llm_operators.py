@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -170,6 +171,24 @@ def test_encoding_is_exact():
     assert [x.tolist() for x in encode(odd)] == [t.encode(x or "", add_special_tokens=False).ids for x in odd]
 
 
+def test_encoding_of_letters_that_normalize_to_marks():
+    """Letters whose lower case or composed form ends in a mark, and random texts, against the library's own encoding."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    odd = [c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha() or len(c.lower()) > 1]
+    assert "\u0130" in odd and len(odd) > 20
+    rng = random.Random(9)
+    pieces = [*odd, "GELD\u0130", "B\u0130R\u0130NC\u0130", "\u0307", "\u0301", "e\u0301", "\u03a3", "n't", "'s", "1", "\u4e2d", "\xa0", "\u2003", "\x1c", "<|endoftext|>", "-", "(", "ab", "Cd", ".", ",", "!?"]
+    texts = [f"{c}. a{c}, {c}{c}! x {c}b." for c in odd] + ["GELD\u0130. B\u0130R\u0130NC\u0130, \u0130K\u0130NC\u0130."]
+    for _ in range(10_000):
+        texts.append("".join(rng.choice(pieces) if rng.random() < 0.7 else chr(rng.randrange(0x20, 0xD7FF)) for _ in range(rng.randint(0, 12))) + rng.choice(["", " ", ". x", "\n"]))
+    want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encode(texts)] == want
+    assert [encode([t])[0].tolist() for t in texts[-500:]] == want[-500:]
+
+
 def test_token_ids_round_trip(docs, nothing):
     got = {r.doc_id: r for r in pfor.token_id_round_trip(docs).collect()}
     start = 0
@@ -296,6 +315,33 @@ def test_embedding_links(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def test_embedding_norms_lengths_and_ids(spark):
+    """Norms that over- and underflow, long vectors, repeated and missing ids, an empty table."""
+    rng = np.random.default_rng(2)
+    long = rng.normal(size=70_000)
+    other = rng.normal(size=70_000 + 65_521)  # shares its keys' length field
+    rows = [
+        (1, [1e200, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [1e200, 0.0, 0.0]), (5, [0.9, 0.1, 0.0]), (6, [5e-324, 0.0, 0.0]), (7, [0.0, 1.7e308, 1.7e308]),
+        (10, long.tolist()), (11, (long * 3 + 0.1 * rng.normal(size=70_000)).tolist()), (12, other.tolist()), (13, (other * 1e-200).tolist()), (14, rng.normal(size=70_000).tolist()),
+        (2, [0.5, 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (20, []), (21, None),
+    ]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, unit string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dup.linked_vectors(df).collect()}
+    want = {i: (5, 1, i == 1) for i in (1, 2, 3, 4, 5, 6)} | {i: (1, 10, i == 10) for i in (10, 11)} | {i: (1, 12, i == 12) for i in (12, 13)} | {i: (0, i, True) for i in (7, 14, 20, 21)}
+    assert got == want
+    assert embedding_dup.linked_vectors(df.limit(0)).count() == 0
+
+
+def test_turned_long_vectors_keep_their_angles():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4, 1500))
+    turn = embedding_dup.Turn(1500, 3)
+    y = turn(x).reshape(4, 3, turn.width)
+    for k in range(3):
+        assert np.allclose(y[:, k] @ y[:, k].T, x @ x.T)
+    assert not np.allclose(y[:, 0], y[:, 1])
+
+
 def test_packing(docs, nothing):
     got = packing.with_crc(packing.pack(docs)).collect()
     ids = {i * 3: [*x, 2] for i, x in enumerate(real_ids())}
