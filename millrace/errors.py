@@ -9,11 +9,12 @@ COLUMN = "_errors"
 KIND = "array<struct<op:string,key:string,message:string>>"
 
 
-def with_error(df: DataFrame, when: Column, op: str, key: str, message: str) -> DataFrame:
-    """Append an entry to the rows where the condition holds (null counts as no)."""
+def with_error(df: DataFrame, when: Column, op: str, key: str, message: str | Column) -> DataFrame:
+    """Append an entry to the rows where the condition holds (null counts as no); the message may be made from the row."""
+    message = F.lit(message) if isinstance(message, str) else message
     before = F.col(COLUMN) if COLUMN in df.columns else F.lit(None).cast(KIND)
     before = F.coalesce(before, F.array().cast(KIND))
-    entry = F.array(F.struct(F.lit(op).alias("op"), F.lit(key).alias("key"), F.lit(message).alias("message")))
+    entry = F.array(F.struct(F.lit(op).alias("op"), F.lit(key).alias("key"), message.alias("message")))
     return df.withColumn(COLUMN, F.when(F.coalesce(when, F.lit(False)), F.concat(before, entry)).otherwise(before))
 
 
@@ -26,6 +27,7 @@ def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def observed(df: DataFrame, name: str) -> DataFrame:
-    """df with success and error counts as observed metrics, for batch and streaming."""
+    """df with success and error counts and the greatest error text as observed metrics, for batch and streaming."""
     bad = F.coalesce(F.size(COLUMN) > 0, F.lit(False)) if COLUMN in df.columns else F.lit(False)
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("errors"))
+    said = F.when(bad, F.concat_ws(": ", F.col(COLUMN)[0]["key"], F.col(COLUMN)[0]["message"])) if COLUMN in df.columns else F.lit(None).cast("string")
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("errors"), F.max(said).alias("message"))

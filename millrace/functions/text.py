@@ -125,6 +125,27 @@ def last_of_each(pairs: Column) -> Column:
     return F.element_at(F.transform(F.array(pairs), to_map), 1)
 
 
+#: Numbers that a repeated key tries.
+FREE_NAMES = 5
+
+
+def first_free(keys: Column, values: Column) -> Column:
+    """Map of keys and values in order, where a key that is taken gets the first free one of key_1, key_2, ...; with none
+    free the value replaces that of the key."""
+
+    def put(have: Column, new: Column) -> Column:
+        names = F.array(new["key"], *[F.concat(new["key"], F.lit(f"_{i + 1}")) for i in range(FREE_NAMES)])
+        free = F.get(F.filter(names, lambda n: ~F.exists(have, lambda h: h["key"] == n)), F.lit(0))
+        added = F.concat(have, F.array(F.struct(free.alias("key"), new["value"].alias("value"))))
+        replaced = F.transform(have, lambda h: F.struct(h["key"].alias("key"), F.when(h["key"] == new["key"], new["value"]).otherwise(h["value"]).alias("value")))
+        return F.when(free.isNotNull(), added).otherwise(replaced)
+
+    pairs = F.transform(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    several = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.map_from_entries(F.when(several, F.aggregate(pairs, none, put)).otherwise(pairs))
+
+
 def ipv4_text(c: Column) -> Column:
     """Dotted address of an integer or its text."""
     n = c.try_cast("bigint")

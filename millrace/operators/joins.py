@@ -5,13 +5,14 @@ from __future__ import annotations
 import heapq
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import paths
 from ..errors import with_error
 from ..functions.text import ipv4_number
+from ..storage import materialise
 
 #: A lookup table is broadcast up to so many rows and bytes of text; beyond either it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -37,16 +38,18 @@ def map_text(text: str) -> dict[str, str]:
 
 
 def map_replace(df: DataFrame, key: str, table: DataFrame, new: str | None = None) -> DataFrame:
-    """Values looked up by their text in table (key, value); unmatched ones stay (or are null in a new field)."""
+    """Values looked up by their text in table (key, value); unmatched ones stay (or are null in a new field). Of several
+    values of a key the least counts."""
     k, v, own = paths.unused(df.columns, "_k", "_v", "_key")
-    lookup = table.select(F.col(table.columns[0]).cast("string").alias(k), F.col(table.columns[1]).alias(v)).dropDuplicates([k])
+    lookup = table.select(F.col(table.columns[0]).cast("string").alias(k), F.col(table.columns[1]).alias(v))
+    lookup = lookup.groupBy(k).agg(F.min(v).alias(v))
     joined = df.withColumn(own, paths.get(df, key).cast("string")).join(sized(lookup), F.col(own) == F.col(k), "left")
     value = F.coalesce(v, own) if not new or new == key else F.col(v)
     return paths.put(joined, new or key, value).drop(own, k, v)
 
 
 def narrowest_segments(ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, number of the range) of disjoint segments: of the ranges that hold an address the narrowest counts,
+    """Disjoint (start, end, index of the range) where overlapping ranges give way to the narrowest one that holds a point;
     of equally narrow ones the first."""
     edges = sorted({s for s, _ in ranges} | {e + 1 for _, e in ranges})
     order = sorted(range(len(ranges)), key=lambda i: ranges[i][0])
@@ -67,11 +70,40 @@ def narrowest_segments(ranges: list[tuple[int, int]]) -> list[tuple[int, int, in
     return out
 
 
+#: Bits of an address that a prefix leaves open, from which on prefixes are few enough (2^12 and less) to be broadcast.
+WIDE_BITS = 20
+
+
+def aligned_blocks(start: Column, end: Column) -> Column:
+    """Array of (bits, prefix): the fewest blocks of 2^bits addresses, each at a multiple of its size, that make up a range
+    of IPv4 addresses, at most 62.
+
+    From the smallest size up: a block of a size is cut off at either end where that end is no multiple of the next size.
+    """
+    none = F.array().cast("array<struct<bits:int,prefix:bigint>>")
+
+    def step(have: Column, bits: Column) -> Column:
+        # low and high count blocks of this size; high is the first one behind the range.
+        low, high = have["low"], have["high"]
+        odd_low = (low < high) & (low % 2 == 1)
+        odd_high = (low < high) & (high % 2 == 1) & ((high - 1 > low) | ~odd_low)
+        block = lambda at: F.array(F.struct(bits.cast("int").alias("bits"), at.cast("bigint").alias("prefix")))
+        blocks = F.concat(have["blocks"], F.when(odd_low, block(low)).otherwise(none), F.when(odd_high, block(high - 1)).otherwise(none))
+        up = F.floor((low + F.when(odd_low, 1).otherwise(0)) / 2).cast("bigint")
+        down = F.floor((high - F.when(odd_high, 1).otherwise(0)) / 2).cast("bigint")
+        return F.struct(up.alias("low"), F.greatest(down, up).alias("high"), blocks.alias("blocks"))
+
+    first = F.struct(start.cast("bigint").alias("low"), (end.cast("bigint") + 1).alias("high"), none.alias("blocks"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(32)), first, step, lambda have: have["blocks"])
+
+
 def ip_ranges(df: DataFrame, key: str, ranges: DataFrame, prefix: bool = False) -> DataFrame:
-    """Attributes of the narrowest range (start, end, ...) that holds an IPv4 address.
+    """Attributes of the narrowest range (start, end, ...) that holds an IPv4 address; of equally narrow ones that with the
+    smallest start, then with the least attributes as JSON text.
 
-    Ranges are cut at their /16 prefixes, so it is an equi-join on the prefix with a bound. A small table is turned to
-    disjoint segments and looked up in place; with a large one each distinct address is looked up once, by a shuffle.
+    A small table is turned to disjoint segments, cut at their /16 prefixes and looked up in place. A large one is cut to
+    aligned blocks, of which each keeps its narrowest range; each distinct address then asks the block of every size that
+    holds it, by a shuffle, those of the few widest blocks by a broadcast.
     """
     attrs = [c for c in ranges.columns if c not in ("start", "end")]
     number = ipv4_number(paths.get(df, key).cast("string"))
@@ -80,20 +112,26 @@ def ip_ranges(df: DataFrame, key: str, ranges: DataFrame, prefix: bool = False)
     names = {a: f"{key.replace('.', '_')}_{a}" if prefix or a in df.columns else a for a in attrs}
     columns = df.columns
     df = df.withColumn(ip, number)
-    grid = lambda a, b: F.explode(F.sequence(F.shiftright(F.col(a), 16), F.shiftright(F.col(b), 16))).alias(at)
+    ordered = ranges.where("start <= end").select("start", "end", F.struct(*attrs).alias(found), F.to_json(F.struct(*attrs), {"ignoreNullFields": "false"}).alias("least"))
     if is_small(ranges):
-        rows = ranges.where("start <= end").select("start", "end", F.struct(*attrs).alias(found)).collect()  # bounded by is_small
+        rows = sorted(ordered.collect(), key=lambda r: (r["start"], r["least"]))  # bounded by is_small
         parts = [(s, e, rows[i][found]) for s, e, i in narrowest_segments([(r["start"], r["end"]) for r in rows])]
-        kind = ranges.select(F.struct(*attrs).alias(found)).schema[found].dataType
-        schema = StructType().add(low, "long").add(high, "long").add(found, kind)
-        cut = df.sparkSession.createDataFrame(parts, schema).select(low, high, found, grid(low, high))
+        schema = StructType().add(low, "long").add(high, "long").add(found, ordered.schema[found].dataType)
+        cells = F.explode(F.sequence(F.shiftright(F.col(low), 16), F.shiftright(F.col(high), 16))).alias(at)
+        cut = df.sparkSession.createDataFrame(parts, schema).select(low, high, found, cells)
         inside = (F.shiftright(F.col(ip), 16) == F.col(at)) & F.col(ip).between(F.col(low), F.col(high))
         joined = df.join(F.broadcast(cut), inside, "left")
     else:
-        cut = ranges.select("start", "end", F.struct(*attrs).alias(found), grid("start", "end"))
-        asked = df.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn(at, F.shiftright(F.col(ip), 16))
-        met = asked.join(cut, at).where(F.col(ip).between(F.col("start"), F.col("end")))
-        joined = df.join(met.groupBy(ip).agg(F.min_by(found, F.col("end") - F.col("start")).alias(found)), ip, "left")
+        rank = F.struct((F.col("end") - F.col("start")).alias("width"), F.col("start").alias("start"), F.col("least").alias("least"))
+        begin, stop = F.greatest(F.col("start"), F.lit(0)), F.least(F.col("end"), F.lit((1 << 32) - 1))
+        blocks = ordered.where(begin <= stop).select(rank.alias("rank"), found, F.inline(aligned_blocks(begin, stop)))
+        blocks = materialise(blocks.groupBy("bits", "prefix").agg(F.min("rank").alias("rank"), F.min_by(found, "rank").alias(found)), "blocks")
+        asked = df.select(ip).where(F.col(ip).isNotNull()).distinct()
+        asked = asked.select(ip, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: F.call_function("shiftright", F.col(ip), b))).alias("bits", "prefix"))
+        wide = F.col("bits") >= WIDE_BITS
+        met = asked.where(wide).join(F.broadcast(blocks.where(wide)), ["bits", "prefix"]).unionByName(asked.where(~wide).join(blocks.where(~wide), ["bits", "prefix"]))
+        best = met.groupBy(F.col(ip).alias(at)).agg(F.min_by(found, "rank").alias(found))
+        joined = df.join(best, F.col(ip) == F.col(at), "left")
     return joined.select(*[F.col(f"`{c}`") for c in columns], *[F.col(f"{found}.`{a}`").alias(n) for a, n in names.items()])
 
 

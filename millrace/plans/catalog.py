@@ -5,17 +5,19 @@ from __future__ import annotations
 import datetime
 import functools
 import tempfile
+import time
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import paths
+from .. import errors, paths
 from ..functions import convert, dates, text
 from ..operators import aggregates as A
 from ..operators import fields, joins
 from ..sources import files, parse, sinks
 from ..storage import shared_dir
-from ..streaming import pull
+from ..streaming import delivery, pull, status, totals
 from . import spec
 
 QUERIES, SQL = {}, {}
@@ -212,6 +214,13 @@ def f4_pick(spark, sf_dir):
     return paths.pick(_nested(spark, sf_dir), "multi.acct").select("multi.acct.bal")
 
 
+@query("SELECT c_custkey, 'name' AS inner_fields, 'c_custkey,multi' AS fields, c_name AS name FROM customer")
+def f4_pick_leaves_the_rest(spark, sf_dir):
+    """What was not picked is gone, also beside a picked field."""
+    df = paths.pick(_nested(spark, sf_dir), "c_custkey", "multi.name", "multi.none", "none")
+    return df.select("c_custkey", F.lit(",".join(df.schema["multi"].dataType.fieldNames())).alias("inner_fields"), F.lit(",".join(df.columns)).alias("fields"), "multi.name")
+
+
 @query("SELECT c_custkey, c_name AS title FROM customer")
 def f5_rename(spark, sf_dir):
     return fields.rename(_nested(spark, sf_dir), "multi.name", "multi.acct.title").select("c_custkey", "multi.acct.title")
@@ -264,6 +273,16 @@ def x8_url_params(spark, sf_dir):
     return p.select("page_id", F.coalesce(F.col("m")["u_url_param_host"], F.lit("")).alias("host"), F.coalesce(F.col("m")["u_url_param_path"], F.lit("")).alias("path"))
 
 
+@query("""SELECT event_id, event_type || '&' || user_id AS a, CASE WHEN event_id % 2 = 0 THEN 'x y' END AS b, '/p/' || event_type AS path, NULL::VARCHAR AS gone FROM events""")
+def x8_url_parameters(spark, sf_dir):
+    """Repeated, escaped, empty and missing parameters."""
+    c = F.col
+    url = F.concat(F.lit("http://h.org/p/"), c("event_type"), F.lit("?a="), c("event_type"), F.lit("&gone=&a="), c("user_id").cast("string"), F.when(c("event_id") % 2 == 0, "&b=x%20y").otherwise("&c"))
+    e = t(spark, sf_dir, "events").withColumn("m", text.url_params(url, "u"))
+    of = lambda k: F.try_element_at(c("m"), F.lit(k))
+    return e.select("event_id", of("u_a").alias("a"), of("u_b").alias("b"), of("u_url_param_path").alias("path"), of("u_gone").alias("gone"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def x9_json_field(spark, sf_dir):
     return fields.parse_json(t(spark, sf_dir, "events"), "props", "k long", extract=True, drop=True).select("event_id", "k")
@@ -304,9 +323,9 @@ def x18_array_expand(spark, sf_dir):
     return fields.expand_array(p, "a", 2).select("p_partkey", "a0", "a1")
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN strlen(text) - 4000 ELSE 0 END AS rest FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN strlen(text) - 4000 ELSE 0 END AS rest FROM documents")
 def x20_shorten(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.shortened(F.col("text"), 4000).alias("s"))
+    d = t(spark, sf_dir, "documents").select("doc_id", text.shortened(F.col("text"), 4000).alias("s"))
     return d.select("doc_id", F.coalesce(F.nullif(F.regexp_extract("s", r"remain (\d+) bytes\)$", 1), F.lit("")).try_cast("bigint"), F.lit(0)).alias("rest"))
 
 
@@ -652,18 +671,151 @@ def r8_dead_letters(spark, sf_dir):
     """One sink gets all rows at once, another fails on a third of them first; they come from its dead letters, once."""
     e, path = t(spark, sf_dir, "events").select("event_id"), _folder(spark)
 
-    def down(_):
+    def down(df, key):
         raise RuntimeError("down")
 
-    good = lambda df: df.write.mode("append").parquet(f"{path}-out")
-    pull.deliver(e, {"good": good}, f"{path}-dead", sleep=0)
-    pull.deliver(e.where("event_id % 3 = 0"), {"bad": down}, f"{path}-dead", sleep=0)
+    down.has = lambda spark, key: False
+    good = delivery.files_sink(f"{path}/out")
+    delivery.deliver(e, {"good": good}, f"{path}/d", "all", sleep=0)
+    delivery.deliver(e.where("event_id % 3 = 0"), {"bad": down}, f"{path}/d", "third", sleep=0)
     for _ in range(2):
-        pull.replay(spark, f"{path}-dead", "bad", "event_id long", good)
-    out = spark.read.schema("event_id long").parquet(f"{path}-out")
+        delivery.replay(spark, f"{path}/d", "bad", "event_id long", good)
+    out = spark.read.schema("event_id long").parquet(f"{path}/out")
     return out.groupBy("event_id").agg(F.count("*").cast("int").alias("times"))
 
 
+@query("SELECT sink, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events, (VALUES ('a'), ('b')) s(sink) GROUP BY ALL")
+def k12_r6_batches_once(spark, sf_dir):
+    """Three batches to two sinks, of which one fails behind its first write and one before it; each is delivered twice."""
+    e, path = t(spark, sf_dir, "events").select("event_id", "event_type"), _folder(spark)
+    own = {n: delivery.files_sink(f"{path}/out/sink={n}") for n in "ab"}
+    failed = set()
+
+    def once(name, behind):
+        def sink(df, key):
+            if behind:
+                own[name](df, key)
+            if (name, key) not in failed:
+                failed.add((name, key))
+                raise RuntimeError("failed once")
+            own[name](df, key)
+
+        sink.has = own[name].has
+        return sink
+
+    for k in (0, 1, 2, 1, 0):
+        delivery.deliver(e.where(F.col("event_id") % 3 == k), {"a": once("a", True), "b": once("b", False)}, f"{path}/d", "q", k, sleep=0)
+    out = spark.read.schema("event_id long, event_type string, sink string").parquet(f"{path}/out")
+    return out.groupBy("sink", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""SELECT CASE WHEN event_id IN ((SELECT min(event_id) FROM events), (SELECT max(event_id) FROM events)) THEN 'letter' ELSE 'sent' END AS went,
+          count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL""")
+def r7_failing_rows(spark, sf_dir):
+    """A sink that takes no batch with the first or the last event in it: they are the letters, all others arrive."""
+    e, path = t(spark, sf_dir, "events").select("event_id"), _folder(spark)
+    bad, out = list(e.agg(F.min("event_id"), F.max("event_id")).first()), delivery.files_sink(f"{path}/out")
+
+    def picky(df, key):
+        if not df.where(F.col("event_id").isin(bad)).isEmpty():
+            raise ValueError("bad row")
+        out(df, key)
+
+    picky.has = out.has
+    delivery.deliver(e, {"s": picky}, f"{path}/d", sleep=0)
+    sent = spark.read.schema("event_id long").parquet(f"{path}/out").select("event_id", F.lit("sent").alias("went"))
+    lost = delivery.letters(spark, f"{path}/d", "s").select(F.from_json("row", "event_id long")["event_id"].alias("event_id"), F.lit("letter").alias("went"))
+    return sent.unionByName(lost).groupBy("went").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT event_id, 1 AS times FROM events")
+def r4_r5_pulls_with_late_rows(spark, sf_dir):
+    """Four pulls by day of a table that grows: a fifth of the newest day's rows come after a pull has seen that day."""
+    e, path = t(spark, sf_dir, "events").select("event_id", F.date_trunc("day", "ts").alias("day")), _folder(spark)
+    first, last = e.agg(F.min("day"), F.max("day")).first()
+    ends = [first + (last - first) * k // 3 for k in (1, 2, 3)]
+    ends = [x.replace(hour=0, minute=0, second=0, microsecond=0) for x in ends]
+    out = f"{path}/out"
+    got = delivery.files_sink(out)
+    for end in [*ends, None]:
+        seen = e if end is None else e.where((F.col("day") < F.lit(end)) | ((F.col("day") == F.lit(end)) & (F.col("event_id") % 5 != 0)))
+        pull.incremental_pull(lambda seen=seen: seen, "day", f"{path}/state", got, first, late=True, keyed=True)
+    return spark.read.schema("event_id long").parquet(out).groupBy("event_id").agg(F.count("*").cast("int").alias("times"))
+
+
+@query("""SELECT event_id FROM events, (SELECT min(CAST(ts AS DATE)) + 1 AS d FROM events) WHERE CAST(ts AS DATE) > d OR (CAST(ts AS DATE) = d AND event_id % 2 = 1)""")
+def r5_unseen_at_the_boundary(spark, sf_dir):
+    """Half of the boundary day's rows were delivered."""
+    e = t(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).select("event_id", "day")
+    last = e.agg(F.date_add(F.min("day"), 1)).first()[0]
+    return pull.unseen(e, "day", last, pull.boundary(e.where((F.col("day") < F.lit(last)) | ((F.col("day") == F.lit(last)) & (F.col("event_id") % 2 == 0))), "day")).select("event_id")
+
+
+def _four_files(df: DataFrame, path: str) -> DataFrame:
+    """df as a stream of four batches."""
+    df.repartition(4, F.col(df.columns[0])).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("SELECT user_id, sum(event_id)::DOUBLE AS ids, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def a1_totals_of_a_stream(spark, sf_dir):
+    """Totals added by micro-batches; the query is started again behind its second batch."""
+    path = _folder(spark)
+    stream = _four_files(t(spark, sf_dir, "events").select("event_id", "user_id", "value"), f"{path}/in")
+    sums = totals.Totals(spark, f"{path}/totals", ["user_id"], {"event_id": "ids", "value": "total"})
+    left = [2]
+
+    def add(df, batch_id):
+        sums.add(df, batch_id)
+        left[0] -= 1
+        if left[0] == 0:
+            raise RuntimeError("lost behind the write")
+
+    began = lambda f: stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+    try:
+        began(add).awaitTermination()
+    except StreamingQueryException:
+        pass
+    sums.stream(stream, f"{path}/cp", merge_every=3).awaitTermination()
+    return sums.read().select("user_id", "ids", F.round("total", 4).alias("total"))
+
+
+@query("SELECT 'parse' AS stage, count(*) FILTER (event_id % 97 <> 0) AS ok, count(*) FILTER (event_id % 97 = 0) AS failed, 'value: no pattern matches' AS last_error FROM events")
+def a6_status_of_a_stream(spark, sf_dir):
+    """Counts of a running query, as its listener has them."""
+    path = _folder(spark)
+    own = status.Status(spark, f"{path}/status")
+    stream = _four_files(access_lines(spark, sf_dir), f"{path}/in")
+    spark.streams.addListener(own)
+    try:
+        rows = errors.observed(parse.grok(stream, ["^%{ACCESS}$"], ACCESS), "parse")
+        rows.writeStream.queryName("access").format("noop").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        ended = time.time() + 30
+        while own.table().where("stage = 'parse' and ok + failed > 0").count() < 4 and time.time() < ended:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(own)
+    return A.health(own.table().where("stage = 'parse' and ok + failed > 0")).select("stage", "ok", "failed", "last_error")
+
+
+@query("""SELECT day, count(*) AS n FROM (
+              SELECT date_trunc('day', ts) AS day, date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE event_id % 10 > 1) - INTERVAL 2 HOUR AS open, event_id FROM events)
+          WHERE (event_id % 10 <> 0 OR open) AND day + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 HOUR GROUP BY day""")
+def r10_late_rows_of_a_stream(spark, sf_dir):
+    """A tenth of the rows comes in a third batch, too late for all periods that the first batch's newest row has closed (what
+    the batch before has read moves the watermark of the next one)."""
+    path, e = _folder(spark), t(spark, sf_dir, "events").select("event_id", "ts")
+    rest = F.col("event_id") % 10
+    for part in (rest > 1, rest == 1, rest == 0):
+        e.where(part).repartition(4).write.mode("append").parquet(f"{path}/in")
+        time.sleep(1.1)  # files are read in the order of their times, which may be whole seconds
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    days = pull.windowed(stream, "ts", "1 day", "2 hours", [], F.count("*").alias("n"))
+    days.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(days.schema).parquet(f"{path}/out").select(F.col("window.start").alias("day"), "n")
+
+
 @query("SELECT event_id, event_type, 'eu' AS region FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) FROM events) + 1 AND (SELECT min(CAST(ts AS DATE)) FROM events) + 3")
 def s20_audit_objects(spark, sf_dir):
     """Audit objects in folders by day, each file a document of many records; those of three days are read."""

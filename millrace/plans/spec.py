@@ -7,17 +7,20 @@ A spec is a dict: {"pre": [...], "parser": {...}, "tags": {...}, "transforms": [
 from __future__ import annotations
 
 import functools
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import paths
-from ..errors import split_errors, with_error
+from .. import paths, storage
+from ..errors import COLUMN, split_errors, with_error
 from ..functions import convert, dates, text
 from ..operators import aggregates, fields, joins
 from ..sources import files, parse
 from ..sources import sinks as sinks_
+from ..streaming import delivery
+from ..streaming.status import Status
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {
     "csv": parse.delimited, "json": parse.jsonl, "grok": parse.grok, "nginx": parse.access_log, "kv": parse.key_value, "logfmt": parse.key_value,
@@ -92,23 +95,74 @@ def preview(df: DataFrame, spec: dict, n: int = 10) -> DataFrame:
 
 
 def write_routed(df: DataFrame, sinks: list[Callable[[DataFrame], None]], dead: Callable[[DataFrame], None] | None = None) -> None:
-    """Each row to the sink of its route, in one cached pass; rows with errors to dead, if given."""
+    """Each row to the sink of its route, in one cached pass; a route that no sink has goes to the first one, the default;
+    rows with errors to dead, if given."""
     good, bad = split_errors(df) if dead else (df, None)
     good = good.persist()
     try:
         for i, sink in enumerate(sinks):
-            sink(good.where(F.col("_route") == i).drop("_route"))
+            own = F.col("_route") == i
+            own = own | F.col("_route").isNull() | ~F.col("_route").between(0, len(sinks) - 1) if i == 0 else own
+            sink(good.where(own).drop("_route"))
         if dead:
             dead(bad)
     finally:
         good.unpersist()
 
 
-def run_stream(stream: DataFrame, spec: dict, sinks: list[Callable[[DataFrame], None]], checkpoint: str, dead: Callable[[DataFrame], None] | None = None, **trigger):
-    """The spec on each micro-batch, rows with errors to dead, if given; offsets are committed after all sinks succeeded."""
+def _check_routes(spec: dict, n_sinks: int) -> None:
+    """A spec's routes must lead to sinks that there are."""
+    if route := spec.get("route"):
+        if lost := {n for n in [route.get("default", 0), *(r[2] for r in route["routes"])] if not 0 <= n < n_sinks}:
+            raise ValueError(f"routes to sinks {sorted(lost)} of {n_sinks}")
+
+
+def run_stream(stream: DataFrame, spec: dict, sinks: list[Callable], checkpoint: str, dead: Callable[[DataFrame], None] | None = None,
+               folder: str | None = None, query: str = "stream", status: Status | None = None, **trigger):
+    """The spec on each micro-batch, rows with errors to dead, if given; offsets are committed after all sinks succeeded.
+
+    folder: sinks are those of streaming.delivery, and every row comes once; the folder keeps the ledger of this query name
+    and the letters of rows that a sink does not take. status: gets the good and bad rows of each batch.
+    """
+
+    _check_routes(spec, len(sinks))
+
+    routed = "route" in spec
+
+    def send(rows: DataFrame, batch_id: int) -> None:
+        if folder is None:
+            each = sinks if routed else [lambda d: [s(d) for s in sinks]]
+            return write_routed(rows if routed else rows.withColumn("_route", F.lit(0)), each, dead)
+        good, bad = split_errors(rows) if dead else (rows, None)
+        if routed:
+            delivery.deliver_routed(good, sinks, folder, query, batch_id)
+        else:
+            delivery.deliver(good, {f"sink{i}": s for i, s in enumerate(sinks)}, folder, query, batch_id)
+        if dead:
+            delivery.deliver(bad, {"errors": dead if hasattr(dead, "has") else delivery.plain(dead)}, folder, f"{query}-errors", batch_id)
+
+    def counted(rows: DataFrame, batch_id: int, began: float) -> None:
+        bad = F.coalesce(F.size(COLUMN) > 0, F.lit(False)) if COLUMN in rows.columns else F.lit(False)
+        said = F.max(F.when(bad, F.col(COLUMN)[0]["message"])) if COLUMN in rows.columns else F.lit(None).cast("string")
+        n, failed, message = rows.agg(F.count(F.lit(1)), F.count_if(bad), said).first()
+        status.add(query, "spec", batch_id, n - failed, failed, message, seconds=time.time() - began)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        write_routed(compose(df, spec), sinks, dead)
+        spark, rows, began = df.sparkSession, compose(df, spec), time.time()
+        held = f"{folder}/composed/{query}-{batch_id}"
+        if folder is not None:
+            # The rows of a batch that is tried again, whatever the plan makes of it then.
+            storage.write_once(rows, held)
+            rows = spark.read.schema(rows.schema).parquet(held)
+        elif status is not None:
+            rows = rows.persist()
+        send(rows, batch_id)
+        if status is not None:
+            counted(rows, batch_id, began)
+        if folder is not None:
+            storage.remove(spark, held)
+        elif status is not None:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -135,6 +189,7 @@ def run(spark: SparkSession, config: dict) -> None:
     source, sinks, dead = config.pop("source"), config.pop("sinks"), config.pop("dead", None)
     own = lambda registry, step: functools.partial(_known(registry, step["type"]), **{k: v for k, v in step.items() if k != "type"})
     writers = [own(SINKS, s) for s in sinks]
+    _check_routes(config, len(sinks))
     df = compose(own(SOURCES, source)(spark), config)
     if "route" not in config:
         each = writers

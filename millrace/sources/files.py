@@ -145,7 +145,7 @@ def source_tag(df: DataFrame, name: str) -> DataFrame:
 def range_query(sql: str, key: str, low, high, cast: str | None = None) -> str:
     """A half-open range around any query, as a subquery; cast the key where the database needs it."""
     k = f"CAST(q.{key} AS {cast})" if cast else f"q.{key}"
-    quoted = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return f"SELECT * FROM ({sql.rstrip().rstrip(';')}) q WHERE {k} >= {quoted(low)} AND {k} < {quoted(high)}"
 
 

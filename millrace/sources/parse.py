@@ -108,7 +108,7 @@ def _colons(ddl: str) -> str:
     return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
 
 
-#: Separates the captures of one match; in a line it counts as a blank.
+#: Separates the captures of one match; a line that holds it gets a longer mark of its own.
 _MARK = "\u0001"
 
 
@@ -184,17 +184,22 @@ def _top_level(pattern: str) -> str:
 
 def with_captures(df: DataFrame, patterns: list[str], n_groups: list[int], line: Column, out: str = "_cap") -> DataFrame:
     """df with `out`: (which pattern matched first, its captures), null if none did. Each pattern is matched once a line."""
-    clean = F.translate(line, _MARK, " ")
-    df = df.withColumn("_clean", clean)
+    # A run of marks that is longer than the line cannot be in it.
+    own = F.concat(F.lit("\u0002"), F.repeat(F.lit(_MARK), F.char_length("_clean") + 1), F.lit("\u0002"))
+    df = df.withColumn("_clean", line).withColumn("_mark", F.when(F.col("_clean").contains(_MARK), own).otherwise(F.lit(_MARK)))
+    common = F.col("_mark") == _MARK
     for k, (rx, n) in enumerate(zip(patterns, n_groups, strict=True)):
         whole = rx if rx.startswith("^") and rx.endswith("$") and not rx.endswith("\\$") and "|" not in _top_level(rx) else rf"^[\s\S]*?(?:{rx})[\s\S]*\z"
         shape = _MARK + str(k) + "".join(f"{_MARK}${i + 1}" for i in range(n))
-        marked = F.regexp_replace(F.col("_clean"), F.lit(whole), F.lit(shape))
+        marked = F.when(common, F.regexp_replace("_clean", F.lit(whole), F.lit(shape))).otherwise(
+            F.regexp_replace("_clean", F.lit(whole), F.replace(F.lit(shape), F.lit(_MARK), F.col("_mark")))
+        )
         # A line that one pattern marked begins with the mark: no other is tried.
-        df = df.withColumn("_clean", marked if k == 0 else F.when(F.col("_clean").startswith(_MARK), F.col("_clean")).otherwise(marked))
-    cap = F.when(F.col("_clean").startswith(_MARK), F.split(F.col("_clean"), _MARK, -1))
+        df = df.withColumn("_clean", marked if k == 0 else F.when(F.col("_clean").startswith(F.col("_mark")), F.col("_clean")).otherwise(marked))
+    parts = F.when(common, F.split("_clean", _MARK, -1)).otherwise(F.split("_clean", F.col("_mark"), -1))
+    cap = F.when(F.col("_clean").startswith(F.col("_mark")), parts)
     # A generated column: a filter on a capture stays above it and does not match the line once more.
-    return df.withColumn(out, F.explode(F.array(cap))).drop("_clean")
+    return df.withColumn(out, F.explode(F.array(cap))).drop("_clean", "_mark")
 
 
 def _captured(df: DataFrame, compiled: list[tuple[str, list[tuple[str, str]]]], op: str, labels, override: bool, keep_raw: bool, offset_hours: int, numbers_dash: bool = False) -> DataFrame:
@@ -274,7 +279,7 @@ def key_value(df: DataFrame, out: str = "fields", labels: dict | None = None, sp
 def audit(df: DataFrame) -> DataFrame:
     """Linux audit lines: fields (map), msg_timestamp, msg_id, msg (nested map) and addr.
 
-    A repeated key is numbered: dev, dev_1, ...
+    A repeated key takes the first free name of dev, dev_1, ... dev_5, in fields as in msg; with none free it replaces dev.
     """
     body = F.regexp_replace(F.regexp_replace(LINE, r"[\r\n]+", " "), r"msg='([^']*)'", "")
     stamp = r"msg=audit\((\d+\.\d+):(\d+)\):?"
@@ -282,15 +287,11 @@ def audit(df: DataFrame) -> DataFrame:
     pattern = r'([^\s="]+)=("[^"]*"|\S*)'
     ks, vs = (F.regexp_extract_all(rest, F.lit(pattern), F.lit(i)) for i in (1, 2))
     df = _lines(df).withColumn("_k", ks).withColumn("_v", vs)
-    named = F.transform(
-        F.col("_k"),
-        lambda k, i: F.concat(k, F.when(F.size(F.filter(F.slice("_k", 1, i), lambda x: x == k)) > 0, F.concat(F.lit("_"), F.size(F.filter(F.slice("_k", 1, i), lambda x: x == k)).cast("string"))).otherwise(F.lit(""))),
-    )
     values = F.transform("_v", lambda v: F.btrim(v, F.lit('"')))
     inner = F.regexp_extract(F.regexp_replace(LINE, r"[\r\n]+", " "), r"msg='([^']*)'", 1)
-    nested = F.map_from_arrays(F.regexp_extract_all(inner, F.lit(pattern), F.lit(1)), F.transform(F.regexp_extract_all(inner, F.lit(pattern), F.lit(2)), lambda v: F.btrim(v, F.lit('"'))))
+    nested = text.first_free(F.regexp_extract_all(inner, F.lit(pattern), F.lit(1)), F.transform(F.regexp_extract_all(inner, F.lit(pattern), F.lit(2)), lambda v: F.btrim(v, F.lit('"'))))
     seconds = F.nullif(F.regexp_extract(LINE, stamp, 1), F.lit(""))
-    df = df.withColumn("fields", F.map_from_arrays(named, values))
+    df = df.withColumn("fields", text.first_free(F.col("_k"), values))
     df = df.withColumn("msg_timestamp", F.timestamp_micros((seconds.try_cast("decimal(20,6)") * 1_000_000).cast("bigint")))
     df = df.withColumn("msg_id", F.nullif(F.regexp_extract(LINE, stamp, 2), F.lit("")))
     df = df.withColumn("msg", F.when(inner != "", nested))
@@ -306,7 +307,7 @@ SEVERITIES = ["emerg", "alert", "crit", "err", "warning", "notice", "info", "deb
 def syslog(df: DataFrame, year: int | None = None, names: bool = False, offset_hours: int = 0) -> DataFrame:
     """RFC 5424, RFC 3164 and length-framed (RFC 6587) lines, told apart by their head.
 
-    RFC 3164 has no year: `year`, or the current one.
+    RFC 3164 has no year: `year`, or the current one. Of elements and parameters that repeat a name the last stays.
     """
     df = _lines(df).withColumn("_l", F.regexp_replace(LINE, r"^\d+ (?=<\d{1,3}>)", ""))
     # Structured data is what stands in brackets; anything else there is the message's beginning.
@@ -335,9 +336,8 @@ def syslog(df: DataFrame, year: int | None = None, names: bool = False, offset_h
     )
     elements = F.regexp_extract_all("_sd", F.lit(r"\[((?:[^\]\\]|\\.)*)\]"), F.lit(1))
     param = r'(\S+?)="((?:[^"\\]|\\.)*)"'
-    data = F.map_from_entries(
-        F.transform(elements, lambda e: F.struct(F.substring_index(e, " ", 1).alias("key"), F.map_from_arrays(F.regexp_extract_all(e, F.lit(param), F.lit(1)), F.regexp_extract_all(e, F.lit(param), F.lit(2))).alias("value")))
-    )
+    params = lambda e: F.arrays_zip(F.regexp_extract_all(e, F.lit(param), F.lit(1)).alias("key"), F.regexp_extract_all(e, F.lit(param), F.lit(2)).alias("value"))
+    data = text.last_of_each(F.transform(elements, lambda e: F.struct(F.substring_index(e, " ", 1).alias("key"), text.last_of_each(params(e)).alias("value"))))
     df = df.withColumn("structured_data", F.when(F.size(elements) > 0, data))
     if names:
         df = df.withColumn("facility_name", F.get(F.array(*map(F.lit, FACILITIES)), F.col("facility")))

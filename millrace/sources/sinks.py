@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegralType, MapType, NumericType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegralType, MapType, NumericType, StringType, StructType
+
+from ..paths import unused
 
 
 def json_files(df: DataFrame, path: str, time: str | None = None, parts: dict[str, str] | None = None, n_folders: int | None = None, array_of: int | None = None) -> None:
@@ -127,8 +129,9 @@ def post(bodies: DataFrame, url: str, send: Callable[[str, str], None] | None =
 
 
 def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list[str], time: str | None = None) -> DataFrame:
-    """Time-series text lines: sorted escaped tags, sorted fields, microsecond times in ns. Rows without a field go."""
-    esc = lambda c: F.regexp_replace(c, r"([ ,=])", r"\\$1")
+    """Time-series text lines: sorted escaped tags, sorted fields, microsecond times in ns. Rows without a field go, as do
+    fields that are no finite number; line breaks are written as backslash n in texts and blanks in tags."""
+    esc = lambda c: F.regexp_replace(F.translate(c, "\r\n", "  "), r"([ ,=])", r"\\$1")
     name = lambda n, marks=" ,=": re.sub(f"([{marks}])", r"\\\1", n)
     kinds = {f.name: f.dataType for f in df.schema}
 
@@ -137,7 +140,9 @@ def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list
         if isinstance(kinds[n], IntegralType):
             v = F.concat(c.cast("string"), F.lit("i"))
         elif isinstance(kinds[n], StringType):
-            v = F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+            v = F.concat(F.lit('"'), F.replace(F.replace(F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'))
+        elif isinstance(kinds[n], (DoubleType, FloatType)):
+            v = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c.cast("string"))
         else:
             v = c.cast("string")
         return F.concat(F.lit(f"{name(n)}="), v)
@@ -145,10 +150,11 @@ def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list
     tag = [F.when(F.col(t).cast("string") != "", F.concat(F.lit(f",{name(t)}="), esc(F.col(t).cast("string")))) for t in sorted(tags)]
     head = F.concat(F.lit(name(measurement, " ,")), *[F.coalesce(t, F.lit("")) for t in tag])
     body = F.concat_ws(",", *[field(f) for f in sorted(fields)])
-    out = F.concat(head, F.lit(" "), body)
+    (whole,) = unused(df.columns, "_body")
+    out = F.concat(head, F.lit(" "), F.col(whole))
     if time:
         out = F.concat(out, F.lit(" "), (F.unix_micros(time) * 1000).cast("string"))
-    return df.where(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()).select(out.alias("value"))
+    return df.withColumn(whole, body).where(F.col(whole) != "").select(out.alias("value"))
 
 
 def throw_away(df: DataFrame) -> None:

@@ -28,3 +28,57 @@ def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}-{tag}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own Hadoop client has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _place(spark, path)
+    return fs.exists(where)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder; none if there is no such folder."""
+    fs, where = _place(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _place(spark, path)
+    fs.delete(where, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file; one that is there stays."""
+    fs, where = _place(spark, path)
+    if not fs.exists(where):
+        fs.create(where, True).close()
+
+
+def commit(spark: SparkSession, staged: str, path: str) -> bool:
+    """Give what was staged its final name, in one step; False, and the staged files go, if the name is taken."""
+    fs, target = _place(spark, path)
+    _, source = _place(spark, staged)
+    if not fs.exists(target):
+        fs.mkdirs(target.getParent())
+        if fs.rename(source, target):
+            return True
+        if not fs.exists(target):
+            raise OSError(f"cannot rename {staged} to {path}")
+    fs.delete(source, True)
+    return False
+
+
+def write_once(df: DataFrame, path: str, format: str = "parquet", by: list[str] = (), **options: str) -> bool:
+    """Write a folder that is there as a whole or not at all; one that is there stays as it is."""
+    spark = df.sparkSession
+    if exists(spark, path):
+        return False
+    top, _, name = path.rstrip("/").rpartition("/")
+    staged = f"{top}/_staged-{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).partitionBy(*by).format(format).save(staged)
+    return commit(spark, staged, path)

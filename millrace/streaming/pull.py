@@ -1,16 +1,14 @@
-"""Incremental pulls, late rows, event assembly, dead letters and replay."""
+"""Incremental pulls, late rows and event assembly."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.aggregates import event_numbers, record_hash
-from ..storage import materialise
 
 
 def in_range(df: DataFrame, key: str, low, high) -> DataFrame:
@@ -42,25 +40,100 @@ def boundary(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("hash", record_hash(df)).join(F.broadcast(top), F.col(key) == F.col("_top")).select("hash")
 
 
-def incremental_pull(read: Callable[[], DataFrame], key: str, state_path: str, sink: Callable[[DataFrame], None], start, step) -> int:
-    """One pull of [position, position + step): the position is written only after the sink succeeded."""
+#: State of a pull: its position, and the digests of rows that were delivered at or near it.
+_DIGESTS = "digest string, at string"
+
+
+class PullState:
+    """Versions of a pull's state in a folder, each committed as a whole: 000000007 says how the pulls before number 7 ended.
+
+    A version holds the position (JSON text of the key's type) and digests; only the last two versions are kept.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def number(self) -> int:
+        return max([0, *(int(n) for n in storage.names(self.spark, self.path) if n.isdigit())])
+
+    def read(self, kind: str) -> tuple[object, DataFrame]:
+        """Position (None before the first pull) and delivered rows (digest, at) of the last version."""
+        rows = None
+        if n := self.number():
+            rows = self.spark.read.schema(f"position {kind}, {_DIGESTS}").parquet(f"{self.path}/{n:09d}")
+        if rows is None:
+            return None, self.spark.createDataFrame([], f"digest string, at {kind}")
+        position = rows.where("digest is null").first()
+        return position and position["position"], rows.where("digest is not null").select("digest", F.col("at").cast(kind).alias("at"))
+
+    def write(self, number: int, position, kind: str, delivered: DataFrame | None) -> None:
+        head = self.spark.createDataFrame([(position, None, None)], f"position {kind}, {_DIGESTS}")
+        if delivered is not None:
+            head = head.unionByName(delivered.select(F.lit(None).cast(kind).alias("position"), "digest", F.col("at").cast("string").alias("at")))
+        storage.write_once(head, f"{self.path}/{number:09d}")
+        for name in storage.names(self.spark, self.path):
+            old = name.removeprefix("pending-")
+            if old.isdigit() and (int(old) < number - 1 or name != old and int(old) < number):
+                storage.remove(self.spark, f"{self.path}/{name}")
+
+
+def incremental_pull(read: Callable[[], DataFrame], key: str, state_path: str, sink: Callable[..., None], start, step=None, late: bool = False, lookback=None, keyed: bool = False) -> int:
+    """One pull; returns its number of rows. The next one begins where this one ended.
+
+    Rows with the key in [position, position + step) come in the order of the key, without a step all from the position on.
+    By offset (the default) the next position is the end of the range, or the next existing key behind a gap. late: by time;
+    rows at the position may come later, so it stays at the largest time delivered, and what was delivered there is known by
+    the digests of its rows; lookback (a number or timedelta) also takes rows that are late by so much. Rows without a time
+    are given by every pull: rather twice than lost.
+
+    A pull's rows are written before the sink gets them, under the pull's number, and the state is replaced in one step
+    afterwards: a pull that was cut off is taken up with the same rows. keyed: the sink gets that number as a second
+    argument, and so can write nothing twice (see delivery).
+    """
+    if step is None and not late:
+        raise ValueError("a pull by offset has a step")
     spark = SparkSession.getActiveSession()
-    try:
-        position = spark.read.parquet(state_path).agg(F.max("position")).first()[0]
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        position = start
-    source = read()
-    # What is counted is what the sink gets, though the source grows.
-    batch = materialise(in_range(source, key, position, position + step), "pull")
+    state, source = PullState(spark, state_path), read()
+    kind = source.schema[key].dataType.simpleString()
+    position, delivered = state.read(kind)
+    position = start if position is None else position
+    number = state.number()
+    pending = f"{state.path}/pending-{number:09d}"
+    low = position - lookback if late and lookback is not None else position
+    if not storage.exists(spark, pending):
+        end = None if step is None else position + step
+        rows = source.where(F.col(key) >= F.lit(low)) if end is None else in_range(source, key, low, end)
+        if late:
+            if end is not None and rows.where(F.col(key) >= F.lit(position)).isEmpty() or _all_known(rows, key, position, delivered):
+                # Nothing new in the range: go on to the next existing time.
+                ahead = source.where(F.col(key) > F.lit(position)).agg(F.min(key)).first()[0]
+                rows = source.where(F.col(key) >= F.lit(low)) if end is None else in_range(source, key, low, (ahead if ahead is not None else position) + step)
+            rows = rows.withColumn("_digest", record_hash(source))
+            rows = rows.join(delivered.select(F.col("digest").alias("_digest")).distinct(), "_digest", "left_anti").drop("_digest")
+            rows = rows.unionByName(source.where(F.col(key).isNull())).select(*source.columns)
+        storage.write_once(rows, pending)
+    batch = spark.read.schema(source.schema).parquet(pending)
     n = batch.count()
-    sink(batch.orderBy(key))
-    after = next_position(source, key, position, position + step)
-    spark.createDataFrame([(after,)], ["position"]).write.mode("append").parquet(state_path)
+    sink(batch.orderBy(key), f"pull-{number:09d}") if keyed else sink(batch.orderBy(key))
+    if not late:
+        state.write(number + 1, next_position(source, key, position, position + step), kind, None)
+        return n
+    top = batch.agg(F.max(key)).first()[0]
+    after = position if top is None else max(position, top)
+    kept = F.col("at") >= F.lit(after - lookback if lookback is not None else after)
+    new = batch.where(F.col(key).isNotNull()).select(record_hash(source).alias("digest"), F.col(key).alias("at"))
+    state.write(number + 1, after, kind, delivered.unionByName(new).where(kept).distinct())
     return n
 
 
+def _all_known(rows: DataFrame, key: str, position, delivered: DataFrame) -> bool:
+    """Whether a range holds nothing beyond the rows that were delivered at or before the position."""
+    if not rows.where(F.col(key) > F.lit(position)).isEmpty():
+        return False
+    own = rows.select(record_hash(rows).alias("digest"))
+    return own.join(delivered, "digest", "left_anti").isEmpty()
+
+
 def assemble(lines: DataFrame, head: str, source: str = "_source", order: list[str] = ("_order",), max_chars: int | None = None) -> DataFrame:
     """Multi-line events: lines up to the next one that matches the head pattern, in file order.
 
@@ -85,48 +158,6 @@ def assemble_whole_files(spark: SparkSession, path: str, head: str, streaming: b
     return files.select(F.explode(events).alias("value")).where("value <> ''")
 
 
-def deliver(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], dead: str, batch_id: int = 0, tries: int = 3, sleep: float = 0.1) -> dict[str, str]:
-    """Every sink gets the same rows, with growing waits between tries; rows of a sink that fails go to the dead letters."""
-    df = df.persist()
-    failed = {}
-    try:
-        for name, sink in sinks.items():
-            for k in range(tries):
-                try:
-                    sink(df)
-                    failed.pop(name, None)
-                    break
-                except Exception as e:  # noqa: BLE001
-                    failed[name] = str(e)[:500]
-                    time.sleep(sleep * (k + 1))
-            if name in failed:
-                letters = df.select(
-                    F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(name).alias("sink"),
-                    F.to_json(F.struct(*df.columns)).alias("row"), F.lit(failed[name]).alias("error"), F.current_timestamp().alias("at"),
-                )
-                letters.write.mode("append").parquet(dead)
-    finally:
-        df.unpersist()
-    return failed
-
-
-def replay(spark: SparkSession, dead: str, name: str, schema: str, sink: Callable[[DataFrame], None]) -> int:
-    """Give a sink its dead letters again; returns how many. Those delivered are marked by their time (in <dead>_done) and
-    not given again."""
-    letters = spark.read.parquet(dead).where(F.col("sink") == name)
-    try:
-        done = spark.read.parquet(f"{dead}_done").where(F.col("sink") == name).agg(F.max("upto")).first()[0]
-    except AnalysisException:
-        done = None
-    letters = letters if done is None else letters.where(F.col("at") > F.lit(done))
-    letters = materialise(letters, "letters")
-    n, upto = letters.agg(F.count("*"), F.max("at")).first()
-    if n:
-        sink(letters.select(F.from_json("row", schema).alias("r")).select("r.*"))
-        spark.createDataFrame([(name, upto)], "sink string, upto timestamp").write.mode("append").parquet(f"{dead}_done")
-    return n
-
-
 def windowed(df: DataFrame, time: str, period: str, delay: str, by: list[str], *aggregates: Column) -> DataFrame:
     """Tumbling periods that wait `delay` for late rows."""
     return df.withWatermark(time, delay).groupBy(F.window(time, period), *by).agg(*aggregates)

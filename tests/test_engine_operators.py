@@ -157,18 +157,6 @@ def test_incremental_pull_and_late_rows(spark, tmp_path):
     assert sorted(r.v for r in pull.unseen(later, "t", 2, pull.boundary(first, "t")).collect()) == ["c", "late", "n"]
 
 
-def test_dead_letters_are_replayed(spark, tmp_path):
-    df, dead, got = spark.range(3), str(tmp_path / "dead"), []
-
-    def broken(_):
-        raise RuntimeError("down")
-
-    failed = pull.deliver(df, {"bad": broken, "good": lambda d: got.append(d.count())}, dead, sleep=0)
-    assert list(failed) == ["bad"] and got == [3]
-    assert pull.replay(spark, dead, "bad", "id long", lambda d: got.append(d.count())) == 3 and got == [3, 3]
-    assert pull.replay(spark, dead, "bad", "id long", lambda d: got.append(d.count())) == 0 and got == [3, 3]
-
-
 def test_rendered_sinks(spark):
     df = spark.createDataFrame([("a b", 1, "o'x")], "t string, n long, s string")
     assert sinks.line_protocol(df, "m", ["t"], ["n", "s"]).first().value == "m,t=a\\ b n=1i,s=\"o'x\""
