@@ -7,10 +7,11 @@ normal form:
 
 * type and format: letters stay letters of the same case and script, digits stay digits, separators, country codes, top
   level domains, octet lengths and the issuer digit of cards stay; a card number that passes the Luhn test still does;
-* gender: titles stay; a given name becomes one of the same gender (by its title, else by the list of given names, else
-  by its ending), a Cyrillic surname keeps its ending;
-* coreference: names are replaced word by word, so Mr Smith stays the Smith of Mr John Smith, whatever else clashed; all
-  mentions with one normal form (case and separators aside) get one replacement, in every document;
+* gender: titles stay; a given name becomes one of the same gender (by the titles it has anywhere, else by the list of
+  given names, else by its ending), a Cyrillic surname keeps its ending, an initial becomes another one;
+* coreference: names are replaced word by word, and a word has one replacement wherever it stands, so Mr Smith stays the
+  Smith of Mr John Smith, and Dr Alice the Alice of Dr Alice Wong, whatever else clashed; all mentions with one normal form
+  (case and separators aside) get one replacement, in every document;
 * distinctness: two entities of a type never share a replacement, nor is it an entity that occurs; where a draw meets
   another's, the smaller normal form keeps it and the other draws again. Later draws may be longer (addresses: any octets,
   then an IPv6 address), so there is always room and the draws end.
@@ -36,11 +37,13 @@ TITLES_M = "Mr|Sir|Herr|Herrn|Monsieur|Señor|Sr|господин|г-н"
 TITLES_N = "Dr|Prof|Professor|Doctor|Rev"
 GIVEN_F = (
     "Mary|Linda|Susan|Karen|Nancy|Lisa|Sarah|Emily|Emma|Olivia|Alice|Anna|Julia|Laura|Maria|Helen|Ruth|Sophie|Claire|Camille|"
-    "Petra|Sabine|Ursula|Monika|Heike|Ingrid|Carmen|Lucía|Elena|Marta|Isabel|Pilar|Marie|Nathalie|Élodie|Amélie"
+    "Petra|Sabine|Ursula|Monika|Heike|Ingrid|Carmen|Lucía|Elena|Marta|Isabel|Pilar|Marie|Nathalie|Élodie|Amélie|"
+    "Elizabeth|Jennifer|Jessica|Patricia|Barbara|Rachel|Hannah|Charlotte|Sophia|Amelia|Priya|Fatima|Aisha|Yuki|Mei|Olga|Katarzyna"
 )
 GIVEN_M = (
     "James|John|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Peter|Paul|George|Henry|Edward|Oliver|Jack|Harry|"
-    "Hans|Klaus|Jürgen|Wolfgang|Stefan|Uwe|Carlos|José|Juan|Pedro|Pablo|Diego|Pierre|Jean|Jacques|Luc|Antoine|Olivier"
+    "Hans|Klaus|Jürgen|Wolfgang|Stefan|Uwe|Carlos|José|Juan|Pedro|Pablo|Diego|Pierre|Jean|Jacques|Luc|Antoine|Olivier|"
+    "Joseph|Christopher|Matthew|Andrew|Kevin|Brian|Steven|Alexander|Benjamin|Samuel|Mohammed|Ahmed|Omar|Raj|Amit|Hiroshi|Piotr"
 )
 #: What announces a secret, a document number or a name, in any case.
 _SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -48,9 +51,14 @@ _PASSPORT_WORDS = ("passport", "reisepass", "passeport", "pasaporte", "пасп
 _NAME_WORDS = ("name is", "name:", "name ist", "ich heiße", "je m'appelle", "me llamo", "nombre es", "меня зовут")
 _LOWER_TITLES = ("господин", "госпожа", "г-н", "г-жа")
 _any = "|".join
-_NAME_WORD = r"\p{Lu}\p{Ll}{1,30}(?:['’-]\p{Lu}\p{Ll}{1,30})?"
-_TITLED = rf"(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? ){{1,2}}{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
-_GIVEN_FIRST = rf"(?:{GIVEN_F}|{GIVEN_M}) {_NAME_WORD}"
+_NAME_WORD = r"(?:Ma?c(?=\p{Lu})|[OD]['’](?=\p{Lu}))?\p{Lu}\p{Ll}{1,30}(?:['’-]\p{Lu}\p{Ll}{1,30})?"
+_INITIALS = r"(?:\p{Lu}\. )"
+_TITLED = rf"(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? ){{1,2}}{_INITIALS}{{0,2}}{_NAME_WORD}(?: {_INITIALS}?{_NAME_WORD}){{0,2}}"
+_GIVEN_FIRST = rf"(?:{GIVEN_F}|{GIVEN_M}) {_INITIALS}{{0,2}}{_NAME_WORD}"
+_CAPITALS = rf"(?:{GIVEN_F.upper()}|{GIVEN_M.upper()}) \p{{Lu}}{{2,30}}"
+#: What announces a number to call, and how tokens of services begin.
+_PHONE_WORDS = ("phone", "tel", "telefon", "telephone", "téléphone", "teléfono", "mobile", "mobil", "fax", "call", "телефон")
+_TOKEN_HEADS = r"gh[pousr]_|github_pat_|glpat-|xox[abps]-|sk_live_|eyJ"
 _ENDING = "(?:ова|ева|ёва|ина|ская|цкая|ов|ев|ёв|ин|ский|цкий|енко)"
 _CYRILLIC_NAME = rf"[А-ЯЁ][а-яё]{{1,30}} [А-ЯЁ][а-яё]{{1,30}}{_ENDING}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -61,6 +69,7 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": rf"(?<=[=:\"' ])(?<=[=:] {{0,2}}[\"']?)(?<=(?i:{_any(_SECRET_WORDS)}) {{0,2}}[=:] {{0,2}}[\"']?)[^\s\"'=]{{6,}}+",
     "passport": rf"(?=[A-Z]{{0,3}}\d)(?<= )(?<=(?i:{_any(_PASSPORT_WORDS)})(?i: no| nr| number| número| numéro| №)?[.:#]{{0,2}} {{1,2}})[A-Z]{{0,3}}\d[A-Z0-9]{{4,11}}(?![A-Za-z0-9])",
+    "token": rf"(?<![A-Za-z0-9_-])(?:{_TOKEN_HEADS})[A-Za-z0-9_.-]{{16,}}+|(?<=[Bb]earer )[A-Za-z0-9_.~+/-]{{16,}}+=*",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -68,17 +77,18 @@ PATTERNS = {
     "card": r"(?<![\p{L}\d.+-])\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?=[+(\d])(?<![\p{L}\d+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\p{L}\d])"
-    r"|(?<![\p{L}\d+])\+\d{8,15}(?!\d)",
-    "name": rf"(?=[\p{{Lu}}г])(?<![\p{{L}}-])(?:{_TITLED}|{_GIVEN_FIRST}|{_CYRILLIC_NAME})(?!\p{{L}})|(?=\p{{Lu}})(?<= )(?<=(?i:{_any(_NAME_WORDS)}) {{1,2}}){_NAME_WORD}(?: {_NAME_WORD})?(?!\p{{L}})",
+    r"|(?<![\p{L}\d+])\+\d{8,15}(?!\d)|(?<![\p{L}\d/.-])0\d{2,4}/ ?\d{5,8}(?![\d/])"
+    rf"|(?=\d)(?<= )(?<=(?<!\p{{L}})(?i:{_any(_PHONE_WORDS)})[.:]{{0,2}} {{1,2}})\d{{7,12}}(?![\p{{L}}\d.,:/-]?\d)(?!\p{{L}})",
+    "name": rf"(?=[\p{{Lu}}г])(?<![\p{{L}}-])(?:{_TITLED}|{_GIVEN_FIRST}|{_CAPITALS}|{_CYRILLIC_NAME})(?!\p{{L}})|(?=\p{{Lu}})(?<= )(?<=(?i:{_any(_NAME_WORDS)}) {{1,2}}){_NAME_WORD}(?: {_NAME_WORD})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text has no entity unless it matches this. What stands before a sign or a capital is looked for backwards from there:
 #: a search that begins with a single character is a fast one.
 HINT = (
-    rf"[0-9@]|\p{{Lu}}\p{{Ll}}++ \p{{Lu}}\p{{Ll}}|\.(?<=(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.) \p{{Lu}}|AKIA"
+    rf"[0-9@]|\p{{Lu}}\p{{Ll}}++ \p{{Lu}}[\p{{Ll}}.'’]|\p{{Lu}}{{2}} \p{{Lu}}{{2}}|(?:{_TOKEN_HEADS}|earer )[A-Za-z0-9_.~+/-]{{16}}|\.(?<=(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.) \p{{Lu}}|AKIA"
     rf"|[=:](?<=(?i:{_any(_SECRET_WORDS)}) {{0,2}}[=:])| \p{{Lu}}(?<=(?i:{_any(_NAME_WORDS + _LOWER_TITLES)}) {{1,2}}\p{{Lu}})"
 )
-_NAME_SHAPE = rf"^(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? )*{_NAME_WORD}(?: {_NAME_WORD})*$"
+_NAME_SHAPE = rf"^(?:(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? )*{_INITIALS}*{_NAME_WORD}(?: {_INITIALS}*{_NAME_WORD})*|{_CAPITALS})$"
 _COUNTRY = r"^\+\d{1,3}(?=[ .(-])"
 _DIGITS = ("iban", "card", "ssn", "phone")
 #: Alphabets that letters are drawn from.
@@ -98,6 +108,7 @@ def kind_of(mention: Column) -> Column:
     out = F.when(F.regexp_like(mention, F.lit(_NAME_SHAPE)), F.lit("name")).otherwise(F.lit("secret"))
     for name, pattern in reversed([x for x in PATTERNS.items() if x[0] not in ("secret", "passport", "name")]):
         out = F.when(F.regexp_like(mention, F.lit(f"^(?:{pattern})$")), F.lit(name)).otherwise(out)
+    out = F.when(F.regexp_like(mention, F.lit(r"^\d{7,12}$")), F.lit("phone")).otherwise(out)
     return F.when(F.regexp_like(mention, F.lit(rf"^(?:{_CYRILLIC_NAME})$")), F.lit("name")).otherwise(out)
 
 
@@ -113,27 +124,48 @@ def normal_form(kind: Column, mention: Column) -> Column:
 
 
 def name_words(mention: Column) -> Column:
-    """(kind, norm, literal) of each word of a name: titles stay as they are, the last word is a surname, the others (and
-    a name of one word without a title) are given names of a gender."""
+    """(kind, norm, female, male, given) of each word of a name: titles stay as they are, all others are words of names.
+
+    female, male: whether this mention's title tells the gender of a given name. given: whether the word stands where given
+    names do, before the last one or alone.
+    """
     words = F.split(mention, " ")
     title = lambda w: F.regexp_like(w, F.lit(rf"^(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.?$"))
     has = lambda which: F.regexp_like(mention, F.lit(rf"^(?:[^ ]+ )?(?:{which})\.? "))
 
     def one(w: Column, i: Column) -> Column:
-        low = F.lower(w)
-        female = (
-            F.when(has(TITLES_F), F.lit(True)).when(has(TITLES_M), F.lit(False))
-            .when(F.regexp_like(w, F.lit(f"^(?:{GIVEN_F})$")), F.lit(True)).when(F.regexp_like(w, F.lit(f"^(?:{GIVEN_M})$")), F.lit(False))
-            .otherwise(F.regexp_like(low, F.lit("[aаяαη]$")))
+        given = (i < F.size(words) - 1) | (F.size(words) == 1)
+        kind = F.when(title(w), F.lit("title")).when(F.regexp_like(w, F.lit(r"^\p{Lu}\.$")), F.lit("initial")).otherwise(F.lit("name"))
+        # A single word behind a title may be of either kind, but the title tells the gender of whoever bears it.
+        return F.struct(
+            kind.alias("kind"), F.when(kind == "name", F.lower(w)).otherwise(w).alias("norm"),
+            (given & has(TITLES_F)).cast("int").alias("female"), (given & has(TITLES_M)).cast("int").alias("male"), given.cast("int").alias("given"),
         )
-        first = F.when(female, F.lit("given_f")).otherwise(F.lit("given_m"))
-        alone = F.size(words) == 1
-        kind = F.when(title(w), F.lit("title")).when((i == F.size(words) - 1) & ~alone, F.lit("surname")).otherwise(first)
-        return F.struct(kind.alias("kind"), F.when(kind == "title", w).otherwise(low).alias("norm"))
 
     return F.transform(words, one)
 
 
+def drawn_as(kind: Column, norm: Column, female: Column, male: Column, given: Column) -> Column:
+    """What an entity is drawn as: a word of names as given_f, given_m or surname, by all its mentions, others as their kind."""
+    listed = lambda names: F.regexp_like(norm, F.lit(f"^(?:{names.lower()})$"))
+    is_f = (
+        F.when(female > male, F.lit(True)).when(male > female, F.lit(False))
+        .when(listed(GIVEN_F), F.lit(True)).when(listed(GIVEN_M), F.lit(False)).otherwise(F.regexp_like(norm, F.lit("[aаяαη]$")))
+    )
+    first = F.when(is_f, F.lit("given_f")).otherwise(F.lit("given_m"))
+    return F.when(kind != "name", kind).when((given > 0) | listed(GIVEN_F) | listed(GIVEN_M), first).otherwise(F.lit("surname"))
+
+
+def new_initial(key: str, word: Column) -> Column:
+    """Another initial, by a rotation of each alphabet that depends on the key: no two become the same."""
+    import hashlib
+
+    for letters in (_LOWER, _CYRILLIC, _GREEK):
+        turn = int(hashlib.sha256(f"{key}\x1f{letters}".encode()).hexdigest(), 16) % (len(letters) - 1) + 1
+        word = F.translate(word, letters.upper(), letters.upper()[turn:] + letters.upper()[:turn])
+    return word
+
+
 def _drawn(key: str, kind: Column, seed: Column, attempt: int) -> Column:
     """256 hex digits: two for each of 128 characters."""
     return F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), kind, seed, F.lit(f"{attempt}.{i}")), 256) for i in range(4)])
@@ -230,6 +262,8 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: int) -> Column:
         return F.concat(body, ((check + wrong) % 10).cast("string"))
 
     key_id = F.concat(F.lit("AKIA"), let(drawn, lambda d: _mapped(F.substring(norm, F.lit(5), F.lit(16)), d)), grown)
+    begin = F.regexp_extract(norm, f"^(?:{_TOKEN_HEADS})", 0)
+    token = F.concat(begin, let(drawn, lambda d: _mapped(F.substring(norm, F.length(begin) + 1, F.length(norm)), d)), grown)
     iban = F.concat(F.substring(norm, F.lit(1), F.lit(2)), let(drawn, lambda d: _mapped(F.substring(norm, F.lit(3), F.length(norm)), d)), grown)
     return (
         F.when(kind == "email", email)
@@ -238,6 +272,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: int) -> Column:
         .when(kind == "card", let(drawn, card))
         .when(kind.isin("given_f", "given_m", "surname"), let(drawn, lambda d: new_word(kind, norm, d, attempt)))
         .when(kind == "key", key_id)
+        .when(kind == "token", token)
         .when(kind == "iban", iban)
         .otherwise(F.concat(let(drawn, lambda d: _mapped(norm, d)), grown))
     )
@@ -264,15 +299,16 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
         F.zip_with(F.split(new, ""), F.split(mention, ""), lambda c, m: F.when(m.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), ""
     )
     name = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))
+    name = F.when(F.regexp_like(mention, F.lit(r"\p{Lu}{2,}$")), F.upper(new)).otherwise(name)
     return (
         F.when(kind.isin(*_DIGITS), F.concat(prefix, shaped)).when(kind.isin("email", "ip6"), capitals)
-        .when(kind.isin("given_f", "given_m", "surname"), name).otherwise(new)
+        .when(kind == "name", name).otherwise(new)
     )
 
 
 def _family(kind: Column) -> Column:
-    """Kinds whose replacements must differ from each other: given names of both genders together."""
-    return F.when(kind.isin("given_f", "given_m"), F.lit("given")).otherwise(kind)
+    """Kinds whose replacements must differ from each other: all words of names together."""
+    return F.when(kind.isin("given_f", "given_m", "surname"), F.lit("name")).otherwise(kind)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -302,7 +338,7 @@ def replace_pii(documents: DataFrame, key: str, text: str = "text", count: str =
         raise ValueError("surrogates need a key")
     documents = documents.drop(*[c for c in documents.columns if c.lower() == count.lower()])
     columns = documents.columns
-    sha, parts, new = unused(columns, "_sha", "_parts", "_new")
+    sha, parts, renewed, times = unused(columns, "_sha", "_parts", "_new", "_copies")
     whole = F.col(f"`{text}`")
     clean = documents.where(~hinted(whole)).withColumn(count, F.lit(0))
     found = documents.where(hinted(whole)).withColumn(sha, F.sha2(whole, 256))
@@ -312,24 +348,32 @@ def replace_pii(documents: DataFrame, key: str, text: str = "text", count: str =
     found = materialise(found.withColumn(parts, split), "searched")
     n_entities = F.expr(f"int((size(`{parts}`) - 1) div 2)")
     with_some = found.where(n_entities > 0)
-    distinct = with_some.groupBy(F.col(sha).alias("sha")).agg(F.first(parts).alias("parts"))
+    copies = with_some.groupBy(F.col(sha).alias("sha")).agg(F.first(parts).alias("parts"), F.count("*").alias(times))
+    distinct = materialise(copies, "texts")
     mentions = distinct.select("sha", F.posexplode("parts").alias("pos", "mention")).where("pos % 2 = 1")
     mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
-    one = F.array(F.struct(F.col("kind"), normal_form(F.col("kind"), F.col("mention")).alias("norm")))
+    zero = lambda n: F.lit(0).alias(n)
+    one = F.array(F.struct(F.col("kind"), normal_form(F.col("kind"), F.col("mention")).alias("norm"), zero("female"), zero("male"), zero("given")))
     words = F.when(F.col("kind") == "name", name_words(F.col("mention"))).otherwise(one)
     tokens = mentions.select("sha", "pos", "mention", F.posexplode(words).alias("i", "w"))
-    tokens = materialise(tokens.select("sha", "pos", "mention", "i", "w.kind", "w.norm"), "mentions")
-    entities = tokens.where("kind <> 'title'").groupBy("kind", "norm").agg(F.count("*").alias("n"))
-    entities = materialise(entities, "counted")
-    assigned = materialise(entities.join(assign(entities, key), ["kind", "norm"]), "assigned")
+    mention = F.when(F.col("w.kind") == "name", F.get(F.split("mention", " "), F.col("i"))).otherwise(F.col("mention"))
+    tokens = materialise(tokens.select("sha", "pos", mention.alias("mention"), "i", "w.*"), "mentions")
+    fixed = F.col("kind").isin("title", "initial")
+    entities = tokens.where(~fixed).groupBy("kind", "norm").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("female", "male", "given")])
+    drawn = drawn_as(*[F.col(c) for c in ("kind", "norm", "female", "male", "given")])
+    entities = materialise(entities.select("kind", "norm", "n", drawn.alias("draw")), "counted")
+    new = assign(entities.select(F.col("draw").alias("kind"), "norm"), key).withColumnRenamed("kind", "draw")
+    assigned = materialise(entities.join(new, ["draw", "norm"]).select("kind", "norm", "n", "new"), "assigned")
     short = (F.length("norm") < 1000) & (F.length("new") < 1000)
-    named = spread_join(tokens.where("kind <> 'title'"), assigned, ["kind", "norm"], "n", short)
+    named = spread_join(tokens.where(~fixed), assigned, ["kind", "norm"], "n", short)
     named = named.select("sha", "pos", "i", rendered(F.col("kind"), F.col("mention"), F.col("new")).alias("new"))
-    named = named.unionByName(tokens.where("kind = 'title'").select("sha", "pos", "i", F.col("norm").alias("new")))
+    named = named.unionByName(tokens.where(fixed).select("sha", "pos", "i", F.when(F.col("kind") == "title", F.col("norm")).otherwise(new_initial(key, F.col("norm"))).alias("new")))
     by_mention = named.groupBy("sha", "pos").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "new")))["new"], " ").alias("new"))
-    by_text = by_mention.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("pos", "new")))["new"].alias(new))
-    joined = found.join(materialise(by_text, "replacements"), F.col(sha) == F.col("sha"), "left").drop("sha")
+    by_text = by_mention.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("pos", "new")))["new"].alias(renewed))
+    by_text = materialise(by_text.join(distinct.select("sha", times), "sha").withColumnRenamed("sha", sha), "replacements")
+    light = F.length(F.array_join(renewed, "")) < 10_000
+    joined = spread_join(with_some, by_text, sha, times, light).drop(times).unionByName(found.where(n_entities == 0).withColumn(renewed, F.lit(None).cast("array<string>")))
     between = F.filter(F.col(parts), lambda _, i: i % 2 == 0)
-    woven = F.array_join(F.zip_with(between, F.col(new), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    woven = F.array_join(F.zip_with(between, F.col(renewed), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     done = joined.withColumn(text, F.when(n_entities > 0, woven).otherwise(whole)).withColumn(count, n_entities)
     return done.select(*[F.col(f"`{c}`") for c in columns], count).unionByName(clean)
