@@ -32,10 +32,10 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_text, materialise, tokenizer_path
+from ._common import doc_text, materialise, spread_join, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 30.0
@@ -317,17 +317,15 @@ def score_documents(documents: DataFrame, folds: int = 7, held_fold: int = 2, wo
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), doc_text().alias("text")
     )
     blocks = materialise(_blocks(rows, words_per_block), "blocks")
-    same = Window.partitionBy("word")
-    words = blocks.where("word is not null").select(
-        "word", "block", "number", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")
-    )
-    words = materialise(words, "words")
-    distinct = words.where("first").select("word", "c")
+    # Counts are summed before they are shuffled, and a word of many blocks meets its sum where it is.
+    entries = blocks.where("word is not null")
+    distinct = materialise(entries.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("times")), "words")
+    words = spread_join(entries.select("word", "block", "number"), distinct, "word", "times", F.length("word") < 1000).select("word", "block", "number", "c")
     if_end = F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))
     c = F.col("c")
     row = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2), if_end).first()
     totals = dict(zip(("n", "v", "n1", "n2", "ends"), map(int, row), strict=True))
-    own = learned(distinct.where((F.col("c") > 0) & (F.col("word") != F.lit(END))))
+    own = learned(distinct.select("word", "c").where((F.col("c") > 0) & (F.col("word") != F.lit(END))))
     values = _valued(words, own)
     docs = blocks.where("numbers is not null").select(F.col("block").alias("own_block"), "ids", "flags", "lengths", "numbers")
 
