@@ -135,9 +135,15 @@ def found_pairs(result: DataFrame) -> DataFrame:
     return asked.join(members, "fingerprint").where("doc_id <> found_id").select("doc_id", "found_id").distinct()
 
 
-def bucket_starts(lengths: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> list[int]:
+#: Buckets at most: beyond MAX_BUCKETS times their size they grow, so that the plan and what the driver holds do not.
+MAX_BUCKETS = 1 << 14
+
+
+def bucket_starts(lengths: DataFrame, bucket_bytes: int = BUCKET_BYTES, most: int = MAX_BUCKETS) -> list[int]:
     """First doc_id of each bucket of neighbouring documents (doc_id, n bytes), ascending: one number for bucket_bytes of
-    text comes to the driver."""
+    text, or for the larger share that makes about `most` buckets, comes to the driver."""
+    total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bucket_bytes = max(bucket_bytes, -(-total // most))
     parts = lengths.groupBy("doc_id").agg(F.sum("n").alias("n")).repartitionByRange("doc_id")
     parts = materialise(parts.withColumn("_part", F.spark_partition_id()), "ids")
     by_part = Window.partitionBy("_part").orderBy("doc_id")
@@ -146,9 +152,13 @@ def bucket_starts(lengths: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> list[
     return sorted(r[0] for r in cells.groupBy("_part", "_cell").agg(F.min("doc_id")).select("min(doc_id)").collect())
 
 
+def _longs(values: list[int]) -> Column:
+    return F.from_json(F.lit(f"[{','.join(map(str, values))}]"), "array<bigint>")
+
+
 def last_at_most(values: list[int], x: Column) -> Column:
     """Place (from 1) of the last of the ascending values that is at most x: a binary search."""
-    held = F.array(*map(F.lit, values)).cast("array<bigint>")
+    held = _longs(values)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(values).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(held, at + step) <= x, at + step).otherwise(at))
 
@@ -164,7 +174,7 @@ def edited_texts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     own = last_at_most(starts, F.col("doc_id"))
     place = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
     before = F.pmod(F.col("_own") - 2, F.lit(len(starts))) + 1
-    first = F.try_element_at(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.col("_own")) == F.col("doc_id")
+    first = F.try_element_at(_longs(starts), F.col("_own")) == F.col("doc_id")
     places = F.when(first, F.array(place(F.col("_own"), 0), place(before, 1))).otherwise(F.array(place(F.col("_own"), 0)))
     rows = docs.withColumn("_own", own).select("doc_id", "text", F.explode(places).alias("_at"))
     rows = rows.select("doc_id", "text", F.col("_at.bucket").alias("_bucket"), F.col("_at.guest").alias("_guest"))
