@@ -47,11 +47,17 @@ def from_epoch(c: Column) -> Column:
     return F.when(F.regexp_like(digits, F.lit(r"^\d{9,19}$")), F.timestamp_micros(F.when(F.length(digits) == 9, digits.try_cast("bigint") * 1_000_000).otherwise(micros)))
 
 
+def _iso(text: Column) -> Column:
+    """Timestamp of a text of the shape _ISO; a day with a zone and no clock begins at midnight."""
+    iso = F.translate(text, "/,", "-.")
+    short = F.length(iso).between(11, 17) & F.regexp_like(iso, F.lit(rf"^.{{10}} ?{_ZONE}$"))
+    midnight = F.concat(F.substring(iso, 1, 10), F.lit(" 00:00:00"), F.trim(F.substring(iso, F.lit(11), F.length(iso))))
+    return F.when(short, midnight).otherwise(iso).try_cast("timestamp")
+
+
 def _built_in(text: Column) -> Column:
     """Timestamp of a cleaned text; the layout is chosen by its shape, so that no other is tried."""
-    iso = F.translate(text, "/,", "-.")
-    day_zone = F.when(F.regexp_like(iso, F.lit(rf"^.{{10}} ?{_ZONE}$")), F.concat(F.substring(iso, 1, 10), F.lit(" 00:00:00"), F.trim(F.substring(iso, F.lit(11), F.length(iso)))))
-    out = F.when(F.regexp_like(text, F.lit(_ISO)), F.coalesce(day_zone, iso).try_cast("timestamp"))
+    out = F.when(F.regexp_like(text, F.lit(_ISO)), _iso(text))
     for shape, layout in SHAPES:
         at = F.try_to_timestamp(text, F.lit(layout))
         if " yy " in f" {layout} " or "-yy " in layout:  # 69 to 99 lie in the century before
@@ -72,7 +78,10 @@ def parsed(c: Column, layouts: list[str] | None = None, offset_hours: int = 0) -
     def one(text: Column) -> Column:
         return F.coalesce(from_epoch(text), *[F.try_to_timestamp(text, F.lit(p)) for p in layouts or []], _built_in(text))
 
-    out = F.element_at(F.transform(F.array(cleaned(c.cast("string"))), one), 1)
+    text = c.cast("string")
+    out = F.element_at(F.transform(F.array(cleaned(text)), one), 1)
+    if not layouts:  # most texts have the first shape as they are
+        out = F.when(F.regexp_like(text, F.lit(_ISO)), _iso(text)).otherwise(out)
     return out + F.make_dt_interval(hours=F.lit(offset_hours)) if offset_hours else out
 
 

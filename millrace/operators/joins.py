@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,19 +136,84 @@ def ip_ranges(df: DataFrame, key: str, ranges: DataFrame, prefix: bool = False)
     return joined.select(*[F.col(f"`{c}`") for c in columns], *[F.col(f"{found}.`{a}`").alias(n) for a, n in names.items()])
 
 
-#: Rules of a kind in one expression; longer lists are a chain of such.
+#: Rules of a kind in one expression; lists of more rules in all than INDEX_FROM are looked up by the texts they require.
 RULES_IN_PLACE = 1_000
+INDEX_FROM = 200
 
 
-def user_agent(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """First matching rule for each kind of a user agent: rules (rule_no, kind, regex, family).
+def groups_of(regex: str) -> int:
+    """Number of capturing groups of a Java regex."""
+    bare = re.sub(r"\\Q.*?(?:\\E|$)", "", regex, flags=re.S)
+    bare = re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", "", re.sub(r"\\.", "", bare))
+    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", bare))
+
+
+def required_text(regex: str) -> str | None:
+    """A text in lower case that whatever matches the regex holds, in any case; None if none is known.
 
-    family null means group 1 of the regex. Rules are a bounded list, tried in place in their order, each a constant
-    pattern. Output columns UA_<kind>_family and UA_<kind>_version (group 2) for the kinds of the list.
+    What only Java understands is not looked into: such a rule is tried on every agent.
     """
-    listed = rules.select("rule_no", "kind", "regex", "family").orderBy("rule_no").limit(BROADCAST_ROWS + 1).collect()
+    if "&&" in regex or re.search(r"\[[^\]]*\[", re.sub(r"\\.", "", regex)):  # sets of sets
+        return None
+    found: list[str] = []
+
+    def walk(tree) -> None:
+        own = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                own += chr(arg).lower()
+                continue
+            if name == "AT":
+                continue
+            found.append(own)
+            own = ""
+            if name == "SUBPATTERN":
+                walk(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                walk(arg[2])
+            elif name == "ATOMIC_GROUP":
+                walk(arg)
+        found.append(own)
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        try:
+            walk(re._parser.parse(re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", regex)))
+        except (re.error, FutureWarning, DeprecationWarning, OverflowError, RecursionError):
+            return None
+    best = max(found, key=len, default="")
+    return best if len(best) >= 2 else None
+
+
+def _filled(template: str | None, group, default: int) -> Column:
+    """A template with $1 ... $9, or a group where there is none; blank is null."""
+    if template is None:
+        return F.nullif(group(default), F.lit(""))
+    parts = re.split(r"\$(\d)", template)
+    whole = F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(group(int(p)), F.lit("")) for i, p in enumerate(parts)])
+    return F.nullif(F.trim(whole), F.lit(""))
+
+
+def _rule_list(rules: DataFrame) -> list:
+    version = F.col("version") if "version" in rules.columns else F.lit(None).cast("string").alias("version")
+    listed = rules.select("rule_no", "kind", "regex", "family", version).orderBy("rule_no").limit(BROADCAST_ROWS + 1).collect()
     if len(listed) > BROADCAST_ROWS:
         raise ValueError("a rule list is matched as a whole and must be small")
+    return listed
+
+
+def user_agent(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """First matching rule for each kind of a user agent: rules (rule_no, kind, regex, family, maybe version).
+
+    family and version may be templates with $1 to $9; null means group 1 and group 2. Rules are a bounded list. A short one
+    is tried in place, in its order, each a constant pattern. Of a long one, each distinct agent only tries the rules whose
+    required text it holds, found by one automaton in one pass (a stream always goes the first way). Output columns
+    UA_<kind>_family and UA_<kind>_version for the kinds of the list.
+    """
+    listed = _rule_list(rules)
+    if len(listed) > INDEX_FROM and not df.isStreaming:
+        return _by_required_text(df, key, listed)
     by_kind: dict[str, list] = {}
     for r in listed:
         by_kind.setdefault(r.kind, []).append(r)
@@ -158,15 +224,60 @@ def user_agent(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
         for chunk in reversed([own[i : i + RULES_IN_PLACE] for i in range(0, len(own), RULES_IN_PLACE)]):
             tried = F
             for r in chunk:
-                groups = re.compile(r.regex).groups
-                group = lambda i, r=r, groups=groups: F.nullif(F.regexp_extract(agent, r.regex, i), F.lit("")) if groups >= i else F.lit(None).cast("string")
-                family = F.lit(r.family) if r.family is not None else group(1)
-                tried = tried.when(F.regexp_like(agent, F.lit(r.regex)), F.struct(family.alias("family"), group(2).alias("version")))
+                groups = groups_of(r.regex)
+                group = lambda i, r=r, groups=groups: F.regexp_extract(agent, r.regex, i) if groups >= i else F.lit(None).cast("string")
+                found = F.struct(_filled(r.family, group, 1).alias("family"), _filled(r.version, group, 2).alias("version"))
+                tried = tried.when(F.regexp_like(agent, F.lit(r.regex)), found)
             out = tried.otherwise(out)
         df = df.withColumn(hit, out).withColumns({f"UA_{kind}_family": F.col(f"{hit}.family"), f"UA_{kind}_version": F.col(f"{hit}.version")}).drop(hit)
     return df
 
 
+def _by_required_text(df: DataFrame, key: str, listed: list) -> DataFrame:
+    """user_agent by an index of the rules; every distinct agent is looked up once."""
+    texts: dict[str, list[int]] = {}
+    always = []
+    for i, r in enumerate(listed):
+        text = required_text(r.regex)
+        texts.setdefault(text, []).append(i) if text else always.append(i)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for text, own in texts.items():
+            automaton.add_word(text, own)
+        automaton.make_automaton()
+        for batch in batches:
+            agents = batch.column("agent").to_pylist()
+            held = [sorted({*always, *(i for _, own in automaton.iter(a.lower()) for i in own)} if texts else always) for a in agents]
+            yield pa.RecordBatch.from_arrays([batch.column("agent"), pa.array(held, pa.list_(pa.int32()))], names=["agent", "rules"])
+
+    spark = df.sparkSession
+    table = spark.createDataFrame([(i, r.kind, r.regex, r.family, r.version, groups_of(r.regex)) for i, r in enumerate(listed)], "i int, kind string, regex string, family string, version string, groups int")
+    agents = df.select(paths.get(df, key).alias("agent")).where("agent is not null").distinct()
+    tried = agents.mapInArrow(run, "agent string, rules array<int>").select("agent", F.explode("rules").alias("i")).join(F.broadcast(table), "i")
+    group = lambda n: F.when(F.col("groups") >= n, F.call_function("regexp_extract", F.col("agent"), F.col("regex"), F.lit(n)))
+
+    def filled(template: str, default: int) -> Column:
+        out = F.col(template)
+        for n in range(1, 10):
+            out = F.replace(out, F.lit(f"${n}"), F.coalesce(group(n), F.lit("")))
+        return F.nullif(F.when(F.col(template).isNull(), group(default)).otherwise(F.trim(out)), F.lit(""))
+
+    hits = tried.where(F.regexp_like("agent", F.col("regex")))
+    first = hits.groupBy("agent", "kind").agg(F.min_by(F.struct("regex", "family", "version", "groups"), "i").alias("r")).select("agent", "kind", "r.*")
+    found = first.select("agent", "kind", F.struct(filled("family", 1).alias("family"), filled("version", 2).alias("version")).alias("found"))
+    agent, = paths.unused(df.columns, "_agent")
+    kinds = sorted({r.kind for r in listed})
+    wide = found.groupBy(F.col("agent").alias(agent)).pivot("kind", kinds).agg(F.first("found"))
+    hit = dict(zip(kinds, paths.unused(df.columns, *[f"_hit{i}" for i in range(len(kinds))]), strict=True))
+    wide = materialise(wide.select(agent, *[F.col(f"`{k}`").alias(h) for k, h in hit.items()]), "agents")
+    new = {f"UA_{k}_{part}": F.col(f"{h}.{part}") for k, h in hit.items() for part in ("family", "version")}
+    return df.join(sized(wide), paths.get(df, key) == F.col(agent), "left").withColumns(new).drop(agent, *hit.values())
+
+
 def inherit_tags(rows: DataFrame, top: DataFrame, key: str, tags: list[str]) -> DataFrame:
     """Tags of a row's agent where the row has none of its own."""
     own = [t for t in tags if t in rows.columns]
