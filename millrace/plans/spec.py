@@ -17,7 +17,7 @@ from .. import paths, storage
 from ..errors import COLUMN, split_errors, with_error
 from ..functions import convert, dates, text
 from ..operators import aggregates, fields, joins
-from ..sources import files, parse
+from ..sources import files, http, parse
 from ..sources import sinks as sinks_
 from ..streaming import delivery
 from ..streaming.status import Status
@@ -45,6 +45,16 @@ def _concat(df: DataFrame, keys: list[str], new: str, joiner: str = "") -> DataF
     return paths.put(with_error(df, value.isNull(), "concat", ",".join(keys), "missing input"), new, value)
 
 
+def _url_params(df: DataFrame, key: str, new: str | None = None, select_keys: list[str] = ()) -> DataFrame:
+    """Parameters, path and host of an url as a map, or the selected ones as columns of their own."""
+    found = text.url_params(paths.get(df, key), key)
+    if not select_keys:
+        return paths.put(df, new or f"{key}_params", found)
+    (held,) = paths.unused(df.columns, "_params")
+    df = df.withColumn(held, found)
+    return df.withColumns({f"{key}_{k}": F.try_element_at(held, F.lit(f"{key}_{k}")) for k in select_keys}).drop(held)
+
+
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
     "filter": fields.filter_rows, "filter_lines": fields.filter_lines, "max_line": fields.short_lines, "discard": lambda df, keys: paths.drop(df, *keys),
     "pick": lambda df, keys: paths.pick(df, *keys), "rename": fields.rename, "copy": fields.copy, "label": fields.label,
@@ -52,7 +62,7 @@ TRANSFORMS: dict[str, Callable[..., DataFrame]] = {
     "arrayexpand": fields.expand_array, "cloudtrail": fields.explode_records, "convert": convert.convert, "concat": _concat, "script": fields.script,
     "case": _on_field(text.change_case), "replace": _on_field(text.replaced), "split": _on_field(text.split_by), "substring": _on_field(text.byte_slice),
     "trim": _on_field(text.trimmed), "urlconvert": _on_field(text.url_text), "number2ip": _on_field(text.ipv4_text), "date": _on_field(dates.reformatted),
-    "timestamp": _on_field(dates.epoch), "mapreplace": joins.map_replace, "ip": joins.ip_ranges, "useragent": joins.user_agent,
+    "timestamp": _on_field(dates.epoch), "urlparam": _url_params, "mapreplace": joins.map_replace, "ip": joins.ip_ranges, "useragent": joins.user_agent,
     "redis": parse.redis_log, "tode": parse.tode_log, "k8stag": parse.container_path,
 }
 
@@ -171,13 +181,17 @@ def run_stream(stream: DataFrame, spec: dict, sinks: list[Callable], checkpoint:
 SOURCES: dict[str, Callable[..., DataFrame]] = {
     "dir": files.lines, "file": files.lines, "tailx": files.lines, "dirx": files.lines, "fileauto": files.auto, "archive": files.archives,
     "charset": files.decoded, "jdbc": files.jdbc, "jdbc_range": files.jdbc_range, "jdbc_tables": files.jdbc_tables,
-    "cloudtrail": files.audit_objects, "kafka": files.kafka, "socket": files.socket, "httpfetch": files.pages,
+    "cloudtrail": files.audit_objects, "kafka": files.kafka, "socket": files.socket, "httpfetch": files.pages, "paged": http.paged,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
 SINKS: dict[str, Callable[..., None]] = {
     "file": sinks_.json_files, "raw": sinks_.raw_files, "csv": sinks_.csv_files, "mysql": sinks_.jdbc_append, "discard": sinks_.throw_away,
     "sqlfile": lambda df, path, table: df.select(sinks_.sql_inserts(df, table).alias("value")).write.mode("append").text(path),
     "parquet": lambda df, path: df.write.mode("append").parquet(path),
+    "http": lambda df, url, marks, delivery, batch, order, mode="body_json", **o: http.send_bodies(sinks_.http_bodies(df, batch, order, mode), url, marks, delivery, **o),
+    "influxdb": lambda df, path, **o: sinks_.line_protocol(df, **o).write.mode("append").text(path),
+    "kafka": lambda df, servers, topic, topic_field=None: sinks_.kafka_rows(df, topic, topic_field).write.format("kafka").option("kafka.bootstrap.servers", servers).save(),
+    "elasticsearch": lambda df, format="es", options=None, **o: sinks_.documents(df, **o).write.format(format).options(**(options or {})).mode("append").save(),
 }
 
 
