@@ -63,7 +63,8 @@ def as_type(c: Column, kind: str, from_text: bool) -> Column:
 
 
 def convert(df: DataFrame, dsl: str) -> DataFrame:
-    """Fields of df in their declared types; a value that does not convert becomes the default, and is noted with its text."""
+    """Fields of df in their declared types; a value that does not convert becomes the default. Without one it becomes null,
+    and its text stays in `_errors`."""
     for name, kind, default in parse_dsl(dsl):
         here = paths.kind_of(df.schema, name)
         if here is None:
@@ -72,12 +73,11 @@ def convert(df: DataFrame, dsl: str) -> DataFrame:
             continue
         old = paths.get(df, name)
         new = as_type(old, kind, here.typeName() == "string")
-        failed = new.isNull()
         if default is not None:
             new = F.coalesce(new, F.lit(default).try_cast(kind))
         nested = here.typeName() in ("array", "struct", "map")
         was = F.to_json(old) if nested else old.cast("string")
         blank = old.isNull() | (old.cast("string") == "") if not nested else old.isNull()
-        df = with_error(df, failed & ~blank, "convert", name, F.concat(F.lit(f"not a {kind}: "), was))
+        df = with_error(df, new.isNull() & ~blank, "convert", name, F.concat(F.lit(f"not a {kind}: "), was))
         df = paths.put(df, name, new)
     return df
