@@ -31,7 +31,8 @@ def rule_rows(rng, n):
 
 
 def test_index_of_rules_gives_what_the_rules_in_order_give(spark, monkeypatch):
-    rows, agents = rule_rows(random.Random(2), 320)
+    rows, agents = rule_rows(random.Random(2), 60)
+    monkeypatch.setattr(joins, "INDEX_FROM", 10)
     rules = spark.createDataFrame(rows, "rule_no int, kind string, regex string, family string, version string")
     df = spark.createDataFrame([(a, i) for i, a in enumerate(agents * 2)], "ua string, agent int")
     columns = ["agent", *[f"UA_{k}_{p}" for k in ("agent", "device", "os") for p in ("family", "version")]]
