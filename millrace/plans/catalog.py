@@ -816,6 +816,28 @@ def r10_late_rows_of_a_stream(spark, sf_dir):
     return spark.read.schema(days.schema).parquet(f"{path}/out").select(F.col("window.start").alias("day"), "n")
 
 
+@query("""WITH e AS (SELECT user_id % 16 AS log, event_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS head FROM events),
+          p AS (SELECT *, (row_number() OVER (PARTITION BY log, head ORDER BY event_id) - 1) // 7 AS part FROM e),
+          v AS (SELECT log, head, part, string_agg(event_type || ' ' || event_id, chr(10) ORDER BY event_id) AS value FROM p GROUP BY ALL)
+          SELECT 'log-' || log AS log, value FROM v QUALIFY row_number() OVER (PARTITION BY log ORDER BY head DESC, part DESC) > 1""")
+def r2_events_across_files(spark, sf_dir):
+    """Events that begin at a head line and end with the next one or at seven lines, read from four rotated files in four
+    batches; the last event of each log is still open."""
+    path, e = _folder(spark), t(spark, sf_dir, "events")
+    rows = e.select(F.concat(F.lit("log-"), F.col("user_id") % 16).alias("log"), F.col("event_id").alias("line_no"), F.concat_ws(" ", "event_type", "event_id").alias("value"))
+    low, high = rows.agg(F.min("line_no"), F.max("line_no")).first()
+    edges = [low + (high + 1 - low) * i // 4 for i in range(5)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        rows.where(F.col("line_no").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        time.sleep(1.1)  # files are read in the order of their times, which may be whole seconds
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with pull.timed_state(spark):
+        events = pull.open_events(stream, "^purchase", max_lines=7, timeout="1 day")
+        started = events.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+        started.awaitTermination()
+    return spark.read.schema("log string, value string").parquet(f"{path}/out")
+
+
 @query("SELECT event_id, event_type, 'eu' AS region FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) FROM events) + 1 AND (SELECT min(CAST(ts AS DATE)) FROM events) + 3")
 def s20_audit_objects(spark, sf_dir):
     """Audit objects in folders by day, each file a document of many records; those of three days are read."""
@@ -869,6 +891,15 @@ def s7_charset(spark, sf_dir):
     return back.select(F.split_part("value", F.lit(","), F.lit(1)).cast("int").alias("n_nationkey"), F.split_part("value", F.lit(","), F.lit(2)).alias("name"), "charset")
 
 
+@query("SELECT event_id, event_type || ' é 日' AS value FROM events")
+def s7_two_byte_charset(spark, sf_dir):
+    """Lines in a charset whose line feed is no single byte: each file is read as one stream."""
+    path, e = _folder(spark), t(spark, sf_dir, "events")
+    e.select("event_id", F.concat("event_type", F.lit(" é 日"))).write.option("encoding", "UTF-16LE").csv(path)
+    parts = F.split("value", ",", 2)
+    return files.decoded(spark, f"{path}/*.csv", "UTF-16LE").select(parts[0].cast("long").alias("event_id"), parts[1].alias("value"))
+
+
 @query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL")
 def s5_s6_packed(spark, sf_dir):
     """Lines of gzip files, by the archive reader and by the reader that the path chooses: both give the same counts."""

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
 import datetime
 import functools
 import json
 import os
 import platform
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import fields, joins
+from . import archives as archives_of
+from .archives import archives
 
 ORDER = ["_mtime", "_source", "_block", "_line"]
 
@@ -59,46 +63,29 @@ def stream_lines(spark: SparkSession, glob: str, max_files: int | None = None, m
     return reader.text(glob).select("value", F.col("_metadata.file_path").alias("_source"))
 
 
-def archives(spark: SparkSession, path: str, member: str = "*") -> DataFrame:
-    """Lines of tar, tar.gz, zip and gz archives: (archive, member, line_no, value), one archive a task."""
-
-    def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-        import gzip
-        import io
-        import tarfile
-        import zipfile
-
-        if name.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
-        elif name.endswith((".tar", ".tar.gz", ".tgz")):
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                yield from ((i.name, t.extractfile(i).read()) for i in t if i.isfile())
-        elif name.endswith((".gz", ".gzip")):
-            yield name.rsplit("/", 1)[-1].rsplit(".", 1)[0], gzip.decompress(data)
-        else:
-            yield name.rsplit("/", 1)[-1], data
-
-    def run(batches):
-        from fnmatch import fnmatch
-
-        import pandas as pd
-
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                for m, body in members(name, bytes(data)):
-                    if fnmatch(m.rsplit("/", 1)[-1], member):
-                        own = body.decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"archive": name, "member": m, "line_no": range(len(own)), "value": own})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, member string, line_no long, value string")
-
-
 def decoded(spark: SparkSession, path: str, charset: str, tag: str | None = None) -> DataFrame:
-    """Lines of files in another charset, which the tag column names if asked."""
-    files = spark.read.format("binaryFile").load(path)
-    df = files.select(F.col("path").alias("_source"), F.posexplode(F.split(F.decode("content", charset), r"\r?\n")).alias("_line", "value"))
+    """Lines of files in another charset, (_source, _block, _line, value), which the tag column names if asked.
+
+    Any charset that Python has. Where the line feed is a byte of its own (all of ISO 8859 and Windows, GBK, GB 18030, Big5,
+    Shift JIS, EUC and others), a file is split between tasks as bytes and its lines are decoded afterwards; of the rest
+    (UTF-16, UTF-32, HZ, ISO 2022) a file is read as one stream. (_block, _line) orders a file's lines. Invalid bytes become
+    U+FFFD. No empty line follows the last line feed.
+    """
+    if not archives_of.keeps_line_feed(charset):
+        files = spark.read.format("binaryFile").load(path)
+        whole = archives_of.streamed(files, lambda name: True, charset, plain=True)
+        df = whole.select(F.col("archive").alias("_source"), F.lit(0).cast("bigint").alias("_block"), F.col("line_no").alias("_line"), "value")
+    else:
+        raw, name = F.col("value").cast("binary"), codecs.lookup(charset).name
+
+        @F.pandas_udf("string")
+        def in_charset(lines: pd.Series) -> pd.Series:
+            return lines.map(lambda line: bytes(line).decode(charset, "replace"))
+
+        value = F.make_valid_utf8("value") if name == "utf-8" else F.decode(raw, "ISO-8859-1") if name == "iso8859-1" else in_charset(raw)
+        df = spark.read.text(path).select(F.col("_metadata.file_path").alias("_source"), F.col("_metadata.file_block_start").alias("_block"),
+                                          F.monotonically_increasing_id().alias("_line"), "value")
+        df = df.withColumn("value", value)
     return tagged(df, {tag: charset}) if tag else df
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import storage
 from ..operators.aggregates import event_numbers, record_hash
@@ -179,36 +183,81 @@ def lag(progress: dict) -> int:
     return total
 
 
-def open_events(lines: DataFrame, head: str, max_lines: int = 100, timeout: str = "60 seconds") -> DataFrame:
-    """Events that may cross rotated files: (log, line_no, value) keyed by log, the open event kept as state.
-
-    It ends with the next head line, at max_lines, or when nothing came for the timeout.
+#: The state store that keeps lists and timers; a session names it before a query with open_events starts.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in this block keep their state in RocksDB, which holds lists and timers."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
+class _OpenEvents(StatefulProcessor):
+    """The open event of a log: its lines in a list that grows at its end, their number and the timer beside it."""
+
+    def __init__(self, head: str, max_lines: int, millis: int, max_chars: int | None):
+        self.head, self.max_lines, self.millis, self.max_chars = head, max_lines, millis, max_chars
+
+    def init(self, handle) -> None:
+        self.pattern, self.handle = re.compile(self.head), handle
+        self.lines = handle.getListState("lines", "value string")
+        self.size = handle.getValueState("size", "lines long, chars long, timer long")
+
+    def _taken(self, new: list[str]) -> str:
+        stored = [row[0] for row in self.lines.get()]
+        self.lines.clear()
+        return "\n".join([*stored, *new])
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        n, chars, timer = self.size.get() if self.size.exists() else (0, 0, None)
+        new, out = [], []
+        for value in batch["value"]:
+            if value is None:
+                continue
+            full = n >= self.max_lines or self.max_chars is not None and chars + len(value) + 1 > self.max_chars
+            if n and (full or self.pattern.search(value)):
+                out.append(self._taken(new))
+                new, n, chars = [], 0, 0
+            new.append(value)
+            n, chars = n + 1, chars + len(value) + 1
+        if new:
+            self.lines.appendList([(value,) for value in new])
+        if n:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timer_values.getCurrentProcessingTimeInMs() + self.millis
+            self.handle.registerTimer(timer)
+            self.size.update((n, chars, timer))
+        if out:
+            yield pd.DataFrame({"log": key[0], "value": out})
+
+    def handleExpiredTimer(self, key, timer_values, expired):  # noqa: N802
+        if self.size.exists():
+            self.size.clear()
+            yield pd.DataFrame({"log": [key[0]], "value": [self._taken([])]})
+
+    def close(self) -> None:
+        pass
+
+
+def open_events(lines: DataFrame, head: str, max_lines: int = 100, timeout: str = "60 seconds", max_chars: int | None = None) -> DataFrame:
+    """Events of a stream that may cross rotated files: (log, line_no, value) keyed by log, the open event kept as state.
+
+    It ends with the next head line, at max_lines or max_chars, or when nothing came for the timeout. Lines of a log are put
+    in order within a micro-batch, whose limits (see trigger_options) so bound what a task holds; of the open event only new
+    lines are written. Null lines are left out. The query must start inside timed_state, or in a session that has RocksDB as
+    its state store anyway.
     """
-    import re
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    pattern = re.compile(head)
-    millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(key, frames, state):
-        kept = list(state.get[0]) if state.exists else []
-        out = []
-        if state.hasTimedOut:
-            out, kept = ["\n".join(kept)] if kept else [], []
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values("line_no")
-            for value in rows["value"]:
-                if kept and (pattern.search(value) or len(kept) >= max_lines):
-                    out.append("\n".join(kept))
-                    kept = []
-                kept.append(value)
-            state.update((kept,))
-            state.setTimeoutDuration(millis)
-        yield pd.DataFrame({"log": [key[0]] * len(out), "value": out})
-
-    return lines.groupBy("log").applyInPandasWithState(
-        run, "log string, value string", "lines array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    spark = lines.sparkSession
+    if "RocksDB" not in (spark.conf.get(STATE_STORE, None) or ""):
+        raise ValueError(f"open_events needs {STATE_STORE}={ROCKS_DB}; see timed_state")
+    own = _OpenEvents(head, max_lines, int(pd.Timedelta(timeout).total_seconds() * 1000), max_chars)
+    return lines.groupBy("log").transformWithStateInPandas(own, "log string, value string", "append", "processingTime")
