@@ -831,7 +831,7 @@ def r2_events_across_files(spark, sf_dir):
         rows.where(F.col("line_no").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
         time.sleep(1.1)  # files are read in the order of their times, which may be whole seconds
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    with pull.timed_state(spark):
+    with pull.timed_state(spark, idle=False):
         events = pull.open_events(stream, "^purchase", max_lines=7, timeout="1 day")
         started = events.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
         started.awaitTermination()

@@ -189,14 +189,21 @@ ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 @contextmanager
-def timed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that start in this block keep their state in RocksDB, which holds lists and timers."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKS_DB)
+def timed_state(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Queries that start in this block keep their state in RocksDB, which holds lists and timers.
+
+    idle: timers also end in batches without rows, so the query goes on for ever, with an availableNow trigger, too; without
+    it timers wait for the next batch with rows, and an availableNow query ends with its last row.
+    """
+    own = {STATE_STORE: ROCKS_DB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 class _OpenEvents(StatefulProcessor):
@@ -215,7 +222,7 @@ class _OpenEvents(StatefulProcessor):
         self.lines.clear()
         return "\n".join([*stored, *new])
 
-    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
         n, chars, timer = self.size.get() if self.size.exists() else (0, 0, None)
         new, out = [], []
@@ -233,13 +240,13 @@ class _OpenEvents(StatefulProcessor):
         if n:
             if timer is not None:
                 self.handle.deleteTimer(timer)
-            timer = timer_values.getCurrentProcessingTimeInMs() + self.millis
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.millis
             self.handle.registerTimer(timer)
             self.size.update((n, chars, timer))
         if out:
             yield pd.DataFrame({"log": key[0], "value": out})
 
-    def handleExpiredTimer(self, key, timer_values, expired):  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         if self.size.exists():
             self.size.clear()
             yield pd.DataFrame({"log": [key[0]], "value": [self._taken([])]})

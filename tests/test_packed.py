@@ -94,28 +94,31 @@ def test_open_events_end_by_head_lines_and_timeout(spark, tmp_path):
         out = spark.read.schema("log string, value string").parquet(str(tmp_path / name)).collect()
         return sorted((r["log"], r["value"]) for r in out)
 
+    write([("a", 0, "HEAD 1"), ("a", 1, "x"), ("b", 0, "no head"), ("a", 2, None), ("c", 0, "HEAD c")])
+    def wait(done):
+        ended = time.time() + 90
+        while not done() and time.time() < ended:
+            time.sleep(0.5)
+
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="RocksDB"):
         pull.open_events(stream, "^HEAD")
-    write([("a", 0, "HEAD 1"), ("a", 1, "x"), ("b", 0, "no head"), ("a", 2, None), ("c", 0, "HEAD c")])
     with pull.timed_state(spark):
-        first = _run(spark, tmp_path, pull.open_events(stream, "^HEAD", max_lines=3, timeout="4 seconds"), "out").trigger(processingTime="0 seconds").start()
+        first = _run(spark, tmp_path, pull.open_events(stream, "^HEAD", max_lines=3, timeout="20 seconds"), "out").trigger(processingTime="1 second").start()
     try:
-        first.processAllAvailable()
+        wait(lambda: first.lastProgress is not None and first.lastProgress["batchId"] > 0)
         assert values("out") == []
         # Rows of a file come in any order.
         write([("a", 5, "HEAD 2"), ("a", 4, "z"), ("a", 3, "y"), ("b", 1, "1"), ("b", 2, "2"), ("b", 3, "3")])
-        first.processAllAvailable()
+        wait(lambda: len(values("out")) >= 3)
         assert values("out") == [("a", "HEAD 1\nx\ny"), ("a", "z"), ("b", "no head\n1\n2")]
     finally:
         first.stop()
     # Started again, what was open comes by its timer.
     with pull.timed_state(spark):
-        again = _run(spark, tmp_path, pull.open_events(stream, "^HEAD", max_lines=3, timeout="4 seconds"), "out").trigger(processingTime="1 second").start()
+        again = _run(spark, tmp_path, pull.open_events(stream, "^HEAD", max_lines=3, timeout="20 seconds"), "out").trigger(processingTime="1 second").start()
     try:
-        ended = time.time() + 60
-        while len(values("out")) < 6 and time.time() < ended:
-            time.sleep(0.5)
+        wait(lambda: len(values("out")) >= 6)
     finally:
         again.stop()
     assert values("out") == [("a", "HEAD 1\nx\ny"), ("a", "HEAD 2"), ("a", "z"), ("b", "3"), ("b", "no head\n1\n2"), ("c", "HEAD c")]
