@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, NumericType, StringType, StructField, StructType
 
 from .. import paths
-from ..errors import with_error
+from ..errors import COLUMN, with_error
 
 
 def filter_rows(df: DataFrame, keys: list[str], pattern: str | None = None, mode: str = "keep") -> DataFrame:
@@ -115,13 +115,18 @@ def statistic_name(*parts: str) -> str:
     return re.sub(r"_+", "_", normal_name("_".join(snake)).lower())
 
 
-def conform(df: DataFrame, spec: str, types: dict[str, str], defaults: dict | None = None, uuid_column: str | None = None) -> DataFrame:
-    """One select for a sink: `name alias, name, ...` (... is all other fields), typed, with required defaults."""
+def conform(df: DataFrame, spec: str, types: dict[str, str], defaults: dict | None = None, uuid_column: str | None = None, report: bool = False, required: list[str] = ()) -> DataFrame:
+    """One select for a sink: `name alias, name, ...` (... is all other fields), typed, with required defaults.
+
+    A value that its type does not take becomes null, or the default. report: the errors column names such values, and
+    required fields that are null without a default.
+    """
     defaults, out, named = defaults or {}, [], set()
     items = [x.split() for x in spec.split(",") if x.strip()]
     for name, *alias in [i for i in items if i[0] != "..."]:
         named.add(name)
         kind, c = types.get(name), paths.get(df, name)
+        given = c
         if kind == "timestamp":
             from ..functions.dates import parsed
 
@@ -131,10 +136,18 @@ def conform(df: DataFrame, spec: str, types: dict[str, str], defaults: dict | No
         elif kind:
             c = c.try_cast(kind)
         if name in defaults:
-            c = F.coalesce(c, F.lit(defaults[name]).try_cast(kind or "string"))
+            value, c = c, F.coalesce(c, F.lit(defaults[name]).try_cast(kind or "string"))
+        else:
+            value = c
+        if report and kind:
+            df = with_error(df, given.isNotNull() & value.isNull(), "conform", name, f"not of type {kind}")
+        if report and name in required:
+            df = with_error(df, given.isNull() & c.isNull(), "conform", name, "required")
         out.append(c.alias(alias[0] if alias else name))
     if any(i[0] == "..." for i in items):
-        out += [F.col(c) for c in df.columns if c not in named]
+        out += [F.col(c) for c in df.columns if c not in named and c != COLUMN]
+    if COLUMN in df.columns and (report or any(i[0] == "..." for i in items)):
+        out.append(F.col(COLUMN))
     if uuid_column:
         out.append(F.uuid().alias(uuid_column))
     return df.select(*out)

@@ -245,6 +245,18 @@ def f9_conform(spark, sf_dir):
     return fields.conform(o, "o_orderkey id, o_totalprice price, ...", {"o_totalprice": "bigint", "o_orderkey": "bigint"})
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS customer, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status,
+          CASE WHEN o_orderkey % 5 = 0 THEN 'o_custkey not of type bigint;' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN 'state required;' ELSE '' END AS notes FROM orders""")
+def f9_conform_reports(spark, sf_dir):
+    """Values that their type does not take and required fields that are missing are named in the errors column."""
+    o, third = t(spark, sf_dir, "orders"), F.col("o_orderkey") % 3 > 0
+    customer = F.when(F.col("o_orderkey") % 5 == 0, F.lit("none")).otherwise(F.col("o_custkey").cast("string"))
+    o = o.select("o_orderkey", customer.alias("o_custkey"), F.when(third, F.col("o_orderstatus")).alias("state"))
+    df = fields.conform(o, "o_orderkey id, o_custkey customer, state status", {"o_custkey": "bigint"}, report=True, required=["state"])
+    notes = F.array_join(F.transform(errors.COLUMN, lambda e: F.concat(e["key"], F.lit(" "), e["message"], F.lit(";"))), "")
+    return df.select("id", "customer", "status", notes.alias("notes"))
+
+
 @query("SELECT user_id, 'web' AS host, round(sum(value), 4) AS cpu__value FROM events GROUP BY user_id")
 def f12_metric_rows(spark, sf_dir):
     df = fields.metric_rows(t(spark, sf_dir, "events"), "cpu", ["props", "event_type", "event_id"], {"host": "web"}, ["user_id", "ts"])

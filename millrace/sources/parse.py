@@ -254,9 +254,21 @@ def log_format_regex(log_format: str) -> tuple[str, list[str]]:
     return f"^{out}$", names
 
 
-def access_log(df: DataFrame, log_format: str, types: dict[str, str] | None = None, labels: dict | None = None, offset_hours: int = 0) -> DataFrame:
-    """Access log by its format line; - is 0 for numbers; undeclared variables are text."""
-    rx, names = log_format_regex(log_format)
+def format_of(config: str, name: str) -> str:
+    """The format that a server's configuration text declares under a name: its quoted parts as one; comments do not count."""
+    part = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^\s;'"]+)"""
+    bare = re.sub(r"(?m)^\s*#.*$", "", config)
+    found = re.search(rf"(?m)(?:^|[;{{}}])\s*log_format\s+{re.escape(name)}\s+(?:escape=\w+\s+)?({part}(?:\s*{part})*)\s*;", bare)
+    if not found:
+        raise ValueError(f"no log_format {name}")
+    own = [p[1:-1] if p[0] in "\"'" else p for p in re.findall(part, found.group(1))]
+    return re.sub(r"\\(.)", r"\1", "".join(own))
+
+
+def access_log(df: DataFrame, log_format: str, types: dict[str, str] | None = None, labels: dict | None = None, offset_hours: int = 0, config: str | None = None) -> DataFrame:
+    """Access log by its format line, or with a configuration's text by the name of a format in it; - is 0 for numbers;
+    undeclared variables are text."""
+    rx, names = log_format_regex(format_of(config, log_format) if config is not None else log_format)
     fields = [(n, (types or {}).get(n, "string")) for n in names]
     return _captured(_lines(df), [(rx, fields)], "nginx", labels, True, False, offset_hours, True)
 

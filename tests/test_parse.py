@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from millrace.errors import split_errors
 from millrace.sources import parse
 
@@ -151,3 +153,21 @@ def test_key_value_options(spark):
     assert (r.lvl, r.ok, r.d, r.at.day, r.none) == (7, True, 1.5, 28, None)
     assert parse.key_value(lines(spark, "a:1 b: two words"), splitter=":").first().fields == {"a": "1", "b": "two words"}
     assert parse.key_value(lines(spark, "lvl=5"), typed={"lvl": "long"}, keep_string=True).first().lvl == "5"
+
+
+def test_access_log_format_of_a_configuration(spark):
+    config = """
+    http {
+      # log_format main '$no';
+      log_format other '$a $b';
+      log_format main escape=json '$ip [$t] '
+                      '"$req" $n'
+                      ' $m';
+      access_log /x.log main;
+    }"""
+    assert parse.format_of(config, "main") == '$ip [$t] "$req" $n $m'
+    assert parse.format_of(config, "other") == "$a $b"
+    with pytest.raises(ValueError, match="no log_format mai"):
+        parse.format_of(config, "mai")
+    df = parse.access_log(lines(spark, '1.1.1.1 [x] "GET /" - 5'), "main", {"n": "long", "m": "long"}, config=config)
+    assert tuple(df.select("ip", "req", "n", "m").first()) == ("1.1.1.1", "GET /", 0, 5)
