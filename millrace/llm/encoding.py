@@ -5,26 +5,30 @@ combining runs, which white space ends), so a text's ids are the ids of its whit
 does a token hold both letters and marks, so a chunk of letters with marks behind it is encoded as both in turn, if its
 normalized form, too, is letters alone: a dotted capital I, say, ends in a combining dot, which joins the marks.
 
-Words not met before are encoded by the tokenizers library many at a time, as one text, whose word numbers give each
-word its ids (one by one where the numbers do not fit the words); a worker then looks them up.
+Arrow splits texts and numbers their different chunks; only those are looked up, and NumPy puts their ids in the texts'
+order. Words not met before are encoded by the tokenizers library many at a time, as one text, whose word numbers give each
+word its ids (one by one where the numbers do not fit the words); a worker remembers them.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterable, Iterator
 from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks that a worker remembers; it forgets all of them when there are more.
-MEMORY = 800_000
-#: Characters of texts whose new words are encoded together, and words in one call.
-_TOGETHER, _WORDS = 1 << 20, 1000
-_MARKS = b".,;:!?)"
+#: Chunks in each of a worker's two memories: a full one becomes the older one, of which what is met again is kept.
+MEMORY = 400_000
+#: Bytes of texts that are looked up together, and words in one call.
+_TOGETHER, _WORDS = 2 << 20, 1000
+_MARKS = string.punctuation.encode()
 
 
 def _letters(word: bytes) -> bool:
@@ -41,6 +45,24 @@ class _Vocabulary:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk."""
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        out = list(map(self.known.get, chunks))
+        missing = [i for i, own in enumerate(out) if own is None]
+        self.learn(self._new({chunks[i] for i in missing}))
+        for i in missing:
+            out[i] = self.known[chunks[i]]
+        return out
+
+    def _new(self, chunks: set[bytes]) -> set[bytes]:
+        """Those that no memory has; what the older one has moves to the newer."""
+        again = {c: self.older[c] for c in chunks if c in self.older}
+        self.known.update(again)
+        return chunks.difference(self.known)
 
     def _one(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u2").tobytes()
@@ -76,13 +98,12 @@ class _Vocabulary:
                     known[chunk] = self._one(chunk)
                 continue
             word = word.lower()
-            if word not in known:
-                words.add(word)
+            words.add(word)
             if word != chunk:
                 parts.append((chunk, word, chunk[len(word) :]))
         for at in range(0, len(others), _WORDS):
             self._plain(others[at : at + _WORDS])
-        new = list(words)
+        new = list(self._new(words))
         for at in range(0, len(new), _WORDS):
             self._words(new[at : at + _WORDS])
         for chunk, word, marks in parts:
@@ -94,30 +115,41 @@ class _Vocabulary:
 _vocabularies: dict[str, _Vocabulary] = {}
 
 
-def _groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for text in texts:
-        group.append((text or "").encode())
-        size += len(group[-1])
-        if size >= _TOGETHER:
-            yield group
-            group, size = [], 0
-    yield group
+def _groups(texts: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = done = 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, done + _TOGETHER)) + 1
+        yield texts.slice(at, to - at)
+        at, done = to, ends[min(to, len(ends)) - 1]
 
 
-def encode(texts: Iterable[str | None], vocabulary: str = VOCABULARY, end: int | None = None) -> list[np.ndarray]:
-    """One array of 16-bit ids for each text (null: empty), ending with the id `end` if given."""
+def encoded(texts: Iterable[str | None] | pa.Array, vocabulary: str = VOCABULARY, end: int | None = None) -> Iterator[np.ndarray]:
+    """An array of 16-bit ids for each text (null: empty), ending with the id `end` if given."""
     own = _vocabularies.get(vocabulary)
     if own is None:
         own = _vocabularies[vocabulary] = _Vocabulary(vocabulary)
-    known, tail = own.known, b"" if end is None else np.array([end], "<u2").tobytes()
-    out = []
-    for group in _groups(texts):
-        if len(known) > MEMORY:
-            known.clear()
-        split = [raw.split() for raw in group]
-        new = set().union(*split).difference(known)
-        if new:
-            own.learn(new)
-        out += [np.frombuffer(b"".join(map(known.__getitem__, chunks)) + tail, "<u2") for chunks in split]
-    return out
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.large_string())
+    tail = np.array([] if end is None else [end], "<u2")
+    for group in _groups(texts.fill_null("")):
+        split = pc.ascii_split_whitespace(group)
+        coded = split.flatten().dictionary_encode()
+        chunk = coded.indices.to_numpy()
+        ids = own.ids(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        begin = np.cumsum(size) - size
+        # Id k of the group is the one of its chunk that is as far behind the chunk's first as k is.
+        sizes = size[chunk]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat(begin[chunk] - before[:-1], sizes)
+        place += np.arange(before[-1])
+        flat = np.frombuffer(b"".join(ids), "<u2")[place]
+        edge = before[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])].tolist()
+        for a, b in zip(edge, edge[1:]):
+            yield np.concatenate([flat[a:b], tail])
+
+
+def encode(texts: Iterable[str | None] | pa.Array, vocabulary: str = VOCABULARY, end: int | None = None) -> list[np.ndarray]:
+    """`encoded` as a list."""
+    return list(encoded(texts, vocabulary, end))

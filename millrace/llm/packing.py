@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import doc_text
-from .encoding import VOCABULARY, encode
+from .encoding import VOCABULARY, encoded
 
 WINDOW = 4096
 #: Rests that a task keeps before it packs them; bounds its memory.
@@ -124,8 +124,7 @@ def pack(documents: DataFrame, end: int = 2, window: int = WINDOW, vocabulary: s
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1]):
-                ids = encode([text.as_py()], vocabulary, end)[0]
+            for doc_id, ids in zip(batch[0].to_pylist(), encoded(batch[1], vocabulary, end)):
                 whole = len(ids) // window * window
                 for start in range(0, whole, window):
                     piece(doc_id, start, ids[start : start + window], len(ids), 0)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import doc_text, materialise, shared_dir
-from .encoding import VOCABULARY, encode
+from .encoding import VOCABULARY, encoded
 
 BLOCK = 128
 PERCENTILE = 90
@@ -170,8 +170,7 @@ def write_files(
             doc_ids, ids, total = [], [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1]):
-                own = encode([text.as_py()], vocabulary, end)[0]
+            for doc_id, own in zip(batch[0].to_pylist(), encoded(batch[1], vocabulary, end)):
                 doc_ids.append(doc_id)
                 ids.append(own)
                 total += len(own)

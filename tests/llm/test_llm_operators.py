@@ -726,3 +726,21 @@ def test_lattice_against_all_segmentations():
 def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (3, 4), (5, 5), (20, 6), (21, 20)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {9: 6, 8: 6, 7: 6, 6: 6, 20: 6, 21: 6, 3: 3, 4: 3}
+
+
+def test_a_full_memory_keeps_words_that_are_met_again(monkeypatch):
+    """Words met in every group are learned once, whatever else fills the memory; words with marks of any kind are no chunks of their own."""
+    from millrace.llm import encoding
+
+    learned = Counter()
+    own = encoding._Vocabulary(encoding.VOCABULARY)
+    monkeypatch.setitem(encoding._vocabularies, encoding.VOCABULARY, own)
+    monkeypatch.setattr(encoding, "MEMORY", 60)
+    monkeypatch.setattr(encoding, "_TOGETHER", 300)
+    for name in ("_words", "_plain"):
+        monkeypatch.setattr(own, name, lambda chunks, real=getattr(own, name): (learned.update(chunks), real(chunks)))
+    letter = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    texts = [" ".join(["often", "éá###", "met***", *(f"word{letter(10 * k + i)}" for i in range(20))]) for k in range(60)]
+    got = encode(texts, end=1)
+    assert [x.tolist() for x in got] == [[*e.ids, 1] for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [learned[w.encode()] for w in ("often", "éá", "met", "éá###", "met***")] == [1, 1, 1, 0, 0]
