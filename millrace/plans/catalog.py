@@ -11,7 +11,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import errors, paths
+from .. import errors, paths, storage
 from ..functions import convert, dates, text
 from ..operators import aggregates as A
 from ..operators import fields, joins
@@ -763,17 +763,22 @@ def r5_unseen_at_the_boundary(spark, sf_dir):
     return pull.unseen(e, "day", last, pull.boundary(e.where((F.col("day") < F.lit(last)) | ((F.col("day") == F.lit(last)) & (F.col("event_id") % 2 == 0))), "day")).select("event_id")
 
 
-def _four_files(df: DataFrame, path: str) -> DataFrame:
-    """df as a stream of four batches."""
-    df.repartition(4, F.col(df.columns[0])).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+#: Rows of a file that a stream reads: a batch of a large table is many files, and so many tasks.
+FILE_ROWS = 100_000
+
+
+def _four_batches(df: DataFrame, path: str) -> DataFrame:
+    """df as a stream of four batches, which are read by as many tasks as their rows call for."""
+    df.repartition(4 * max(1, -(-df.count() // (4 * FILE_ROWS))), F.col(df.columns[0])).write.parquet(path)
+    n_files = sum(n.endswith(".parquet") for n in storage.names(df.sparkSession, path))
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-n_files // 4))).parquet(path)
 
 
 @query("SELECT user_id, sum(event_id)::DOUBLE AS ids, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def a1_totals_of_a_stream(spark, sf_dir):
     """Totals added by micro-batches; the query is started again behind its second batch."""
     path = _folder(spark)
-    stream = _four_files(t(spark, sf_dir, "events").select("event_id", "user_id", "value"), f"{path}/in")
+    stream = _four_batches(t(spark, sf_dir, "events").select("event_id", "user_id", "value"), f"{path}/in")
     sums = totals.Totals(spark, f"{path}/totals", ["user_id"], {"event_id": "ids", "value": "total"})
     left = [2]
 
@@ -797,7 +802,7 @@ def a6_status_of_a_stream(spark, sf_dir):
     """Counts of a running query, as its listener has them."""
     path = _folder(spark)
     own = status.Status(spark, f"{path}/status")
-    stream = _four_files(access_lines(spark, sf_dir), f"{path}/in")
+    stream = _four_batches(access_lines(spark, sf_dir), f"{path}/in")
     spark.streams.addListener(own)
     try:
         rows = errors.observed(parse.grok(stream, ["^%{ACCESS}$"], ACCESS), "parse")

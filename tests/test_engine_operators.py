@@ -433,3 +433,14 @@ def test_endpoints(spark):
         (1, "vsphere.vm.cpu"): "v", (2, "vsphere.vm.cpu"): "own", (3, "vsphere.vm.cpu"): "", (1, "load"): "here", (2, "load"): "own", (3, "load"): "here",
     }
     assert {r.tags for r in rows if r.id == 2} == {"endpoint=own,vmname=v"} and {r.step for r in rows} == {30}
+
+
+def test_batches_of_a_stream_grow_by_files(spark, tmp_path, monkeypatch):
+    """Four batches however large the table is; a batch of a larger one is more files."""
+    monkeypatch.setattr(catalog, "FILE_ROWS", 50, raising=False)
+    for rows, files_each in ((1000, 5), (40, 1)):
+        top, got = f"{tmp_path}/{rows}", []
+        stream = catalog._four_batches(spark.range(rows).select("id"), f"{top}/in")
+        take = lambda df, k: got.append((df.count(), df.select(F.input_file_name()).distinct().count()))
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{top}/cp").trigger(availableNow=True).start().awaitTermination(120)
+        assert sum(n for n, _ in got) == rows and [m for _, m in got] == [files_each] * 4
