@@ -25,7 +25,7 @@ BATCH = "batch"
 class Status(StreamingQueryListener):
     def __init__(self, spark: SparkSession, path: str, hold: int = 500):
         self.spark, self.path, self.hold = spark, path.rstrip("/"), hold
-        self.rows, self.lock = [], threading.Lock()
+        self.rows, self.lock, self.writing = [], threading.Lock(), threading.Lock()
 
     def add(self, query: str, stage: str, batch_id: int, ok: int, failed: int = 0, message: str | None = None, behind: int | None = None, seconds: float | None = None, at=None) -> None:
         """A row by hand, for work that no stream reports, such as a stage inside foreachBatch."""
@@ -55,11 +55,12 @@ class Status(StreamingQueryListener):
         threading.Thread(target=self.flush).start()
 
     def flush(self) -> None:
-        """Write the waiting rows."""
-        with self.lock:
-            rows, self.rows = self.rows, []
-        if rows:
-            storage.write_once(self.spark.createDataFrame(rows, SCHEMA).coalesce(1), f"{self.path}/part={uuid.uuid4().hex}")
+        """Write the waiting rows, behind those that another thread is writing."""
+        with self.writing:
+            with self.lock:
+                rows, self.rows = self.rows, []
+            if rows:
+                storage.write_once(self.spark.createDataFrame(rows, SCHEMA).coalesce(1), f"{self.path}/part={uuid.uuid4().hex}")
 
     def table(self) -> DataFrame:
         """All rows by now."""

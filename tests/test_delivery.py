@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from millrace.operators import aggregates
 from millrace.plans import spec
 from millrace.sources import files
 from millrace.streaming import delivery, pull
-from millrace.streaming.status import Status
+from millrace.streaming.status import SCHEMA, Status
 from millrace.streaming.totals import Totals
 
 
@@ -208,6 +209,26 @@ def test_status_of_a_running_query(spark, tmp_path):
     assert {r.query for r in table.collect()} == {"numbers"}
 
 
+def test_status_is_read_while_another_thread_writes_it(spark, tmp_path, monkeypatch):
+    """What is being written is no part of the table, and a reader waits for it."""
+    own, seen, got, real = Status(spark, f"{tmp_path}/status"), [], [], storage.commit
+    own.add("q", "s", 0, 1)
+    own.flush()
+
+    def commit(spark, staged, path):
+        seen.append(spark.read.schema(SCHEMA).parquet(own.path).count())
+        reader.start()
+        reader.join(2)
+        return real(spark, staged, path)
+
+    monkeypatch.setattr(storage, "commit", commit)
+    reader = threading.Thread(target=lambda: got.append(own.table().count()))
+    own.add("q", "s", 1, 1)
+    own.flush()
+    reader.join(60)
+    assert (seen, got) == ([1], [2])
+
+
 def test_totals_of_a_stream_equal_the_batch(spark, tmp_path):
     top, rng = str(tmp_path), random.Random(5)
     data = [(rng.choice("abcde"), rng.choice([None, 1.0, 2.5, 4.0])) for _ in range(300)]
