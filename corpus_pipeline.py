@@ -40,7 +40,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(docs))
+    return packing.pack_with_crc(docs)
 
 
 STAGES = [

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, doc_text, materialise, spread_join, unused
+from ._common import components, doc_text, materialise, spread_join, thrifty, unused
 
 RUN = 5
 THRESHOLD = 0.8
@@ -163,7 +163,7 @@ def signed(documents: DataFrame) -> DataFrame:
                     ["doc_id", "sha", "bands"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, sha binary, bands array<long>")
+    return documents.mapInArrow(thrifty(run), "doc_id long, sha binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(thrifty(run), "a long, b long, similarity double")
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -239,7 +239,7 @@ def differences(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     with_b = pairs.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_b")), "rep")
     both = with_b.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("text_a")), "leader")
     return both.select("leader", "rep", "text_a", "text_b").mapInArrow(
-        run, "leader long, rep long, size long, keep long, parts array<long>"
+        thrifty(run), "leader long, rep long, size long, keep long, parts array<long>"
     ).dropDuplicates(["leader", "rep"])
 
 

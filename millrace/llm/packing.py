@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_text
+from ._common import doc_text, thrifty
 from .encoding import VOCABULARY, encoded
 
 WINDOW = 4096
@@ -31,6 +31,7 @@ WINDOW = 4096
 OPEN_RESTS = 1024
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_CRC_SCHEMA = SCHEMA.replace("ids binary", "ids_crc32 long")
 
 
 def best_subset(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -73,8 +74,7 @@ def fill_windows(lengths: list[int], window: int = WINDOW) -> Iterator[list[int]
         yield own
 
 
-def pack(documents: DataFrame, end: int = 2, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row for each piece, with its ids (16 bit, little endian), its place in the document and in a sequence."""
+def _packer(end: int, window: int, vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
 
@@ -138,18 +138,31 @@ def pack(documents: DataFrame, end: int = 2, window: int = WINDOW, vocabulary: s
         settle(True)
         yield out()
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_text().alias("text")).mapInArrow(
-        run, SCHEMA
-    )
+    return run
+
+
+def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        crc = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in batch.column("ids")]
+        at = batch.schema.get_field_index("ids")
+        yield batch.set_column(at, "ids_crc32", pa.array(crc, pa.int64()))
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_text().alias("text"))
+
+
+def pack(documents: DataFrame, end: int = 2, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row for each piece, with its ids (16 bit, little endian), its place in the document and in a sequence."""
+    return _texts(documents).mapInArrow(thrifty(_packer(end, window, vocabulary)), SCHEMA)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
     """The pieces with the crc32 of their ids as 32-bit integers instead of the ids."""
+    return pieces.mapInArrow(thrifty(_crcs), _CRC_SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in batch.column("ids")]
-            at = batch.schema.get_field_index("ids")
-            yield batch.set_column(at, "ids_crc32", pa.array(crc, pa.int64()))
 
-    return pieces.mapInArrow(run, SCHEMA.replace("ids binary", "ids_crc32 long"))
+def pack_with_crc(documents: DataFrame, end: int = 2, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
+    """with_crc of pack by one Python worker for each task: two functions in a row hold one each, and both stay idle behind it."""
+    run = _packer(end, window, vocabulary)
+    return _texts(documents).mapInArrow(thrifty(lambda batches: _crcs(run(batches))), _CRC_SCHEMA)
